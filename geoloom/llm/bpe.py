@@ -2,7 +2,8 @@
 
 A word's symbols are the leaves' left ends; leaf i holds (rank, i) of the pair that begins at symbol i. The root is
 the least of these, that is the leftmost pair of lowest rank. A merge changes three leaves, each a walk to the root,
-until the root holds no rank. A word of n symbols takes O(n log n), however long it is.
+until the root holds no rank. A word of n symbols takes O(n log n), however long it is. Words of up to 64 bytes are merged many
+at a time, a tree in each row of an array; longer ones one by one.
 
 The vocabulary is a tokenizer file of the tokenizers library with lower-casing, word ends and byte-level symbols. It
 is read on the executors from the given path, which each of them must have. Merged words are kept in a bounded cache
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 250_000  # words kept in a worker
+CACHE = 250_000  # runs of signs kept in a generation of a worker's cache
 RUN = 50_000  # words handled at a time
+STEP = 1 << 21  # signs of text handled at a time
 
 #: Splits normalised text into contractions, runs of letters, single digits and runs of other signs (the file's own pattern).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -46,18 +49,16 @@ def byte_symbols() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern[str]:
-    """Matches signs that this Python's Unicode tables don't know; other tables may class them otherwise."""
-    ranges: list[list[int]] = []
-    for c in range(0x80, 0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+def unassigned() -> frozenset[str]:
+    """Signs that this Python's Unicode tables don't know; other tables may class them otherwise."""
+    return frozenset(chr(c) for c in range(0x378, 0x110000) if unicodedata.category(chr(c)) == "Cn")
 
 
+#: Signs beyond which a text may have some that tables differ on, or that only Python takes for white space.
+RARE = re.compile("[\x1c-\x1f\u0378-\U0010ffff]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+SPACE = re.compile(r"\s")
+
 NONE = 1 << 62
 
 
@@ -107,38 +108,152 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+class PairTable:
+    """Ranks of pairs of token ids, and the id of each merged token, for whole arrays of pairs."""
+
+    def __init__(self, ids: dict[str, int], ranks: dict[tuple[str, str], int]) -> None:
+        known = sorted((ids[a] << 20 | ids[b], r, ids[a + b]) for (a, b), r in ranks.items() if a in ids and b in ids and a + b in ids)
+        self.keys = np.array([k for k, _, _ in known], np.int64)
+        self.rank = np.array([r for _, r, _ in known], np.int64)
+        self.merged = np.zeros(len(ranks), np.int64)
+        self.merged[self.rank] = [m for _, _, m in known]
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """rank << 8 | place of each pair, or NONE."""
+        keys = left << 20 | right
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.rank[place] << 8 | at, NONE)
+
+
+def merge_many(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """`merge` for many words at once: a row of token ids and a segment tree for each, one merge of every word a step.
+
+    symbols: (words, n) with n a power of two below 256, of which sizes[i] are word i's. Returns ids and which are left.
+    """
+    words, n = symbols.shape
+    ids = np.concatenate([symbols, np.zeros((words, 1), np.int64)], axis=1)
+    places = np.arange(n)
+    after = np.where(places[None, :] + 1 < sizes[:, None], places[None, :] + 1, n).astype(np.int16)
+    after = np.concatenate([after, np.full((words, 1), n, np.int16)], axis=1)
+    before = np.tile(np.arange(-1, n, dtype=np.int16), (words, 1))
+    alive = places[None, :] < sizes[:, None]
+    tree = np.full((words, 2 * n), NONE, np.int64)
+    pairs = places[None, :-1] + 1 < sizes[:, None]
+    leaves = table.leaves(symbols[:, :-1], symbols[:, 1:], places[None, :-1])
+    tree[:, n : 2 * n - 1] = np.where(pairs, leaves, NONE)
+    k = n // 2
+    while k:
+        tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+        k //= 2
+    active = np.flatnonzero(tree[:, 1] != NONE)
+    while len(active):
+        top = tree[active, 1]
+        i = top & 255
+        j = after[active, i].astype(np.int64)
+        k = after[active, j].astype(np.int64)
+        h = before[active, i].astype(np.int64)
+        ids[active, i] = now = table.merged[top >> 8]
+        alive[active, j] = False
+        after[active, i] = k
+        before[active, k] = i
+        first = h < 0
+        right = np.where(k < n, table.leaves(now, ids[active, k], i), NONE)
+        left = np.where(first, NONE, table.leaves(ids[active, h], now, h))
+        for leaf, value in ((j, NONE), (i, right), (np.where(first, j, h), left)):
+            at = n + leaf
+            tree[active, at] = value
+            while at[0] > 1:
+                at >>= 1
+                tree[active, at] = np.minimum(tree[active, 2 * at], tree[active, 2 * at + 1])
+        active = active[tree[active, 1] != NONE]
+    return ids[:, :n], alive
+
+
+Entry = tuple[int, str, str]
+
+
 class Vocabulary:
-    """A word-level BPE vocabulary: encodes words through `merge`, with a bounded cache."""
+    """A word-level BPE vocabulary: encodes words through the segment tree, with a bounded cache in two generations."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        self.path = path
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.ranks = {(m.split(" ")[0], m.split(" ")[1]) if isinstance(m, str) else (m[0], m[1]): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.digits = [str(i) for i in range(len(self.names))]
         self.signs = byte_symbols()
-        self.path = path
+        self.inner = np.array([self.ids[c] for c in self.signs], np.int64)
+        self.last = np.array([self.ids[c + self.end] for c in self.signs], np.int64)
+        self.table = PairTable(self.ids, self.ranks)
         self.word = regex.compile(WORD)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.new: dict[str, Entry] = {}
+        self.old: dict[str, Entry] = {}
 
     def pieces(self, word: str) -> list[int]:
+        """The ids of one word of any length."""
         symbols = [self.signs[b] for b in word.encode()]
         symbols[-1] += self.end
         return [self.ids[s] for s in merge(symbols, self.ranks)]
 
-    def entry(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and token strings of a word, each joined by a space."""
-        ids = self.pieces(word)
-        found = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        if len(word) <= 64:
-            self.cache[word] = found
+    def pieces_of(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of distinct words: together, by the size of their trees; very long words one by one."""
+        out: dict[str, list[int]] = {}
+        coded = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        low = 0
+        for n in (4, 8, 16, 32, 64):
+            chosen = np.flatnonzero((sizes > low) & (sizes <= n)).tolist()
+            low = n
+            for s in range(0, len(chosen), 8192):
+                some = chosen[s : s + 8192]
+                size = sizes[some]
+                raw = np.frombuffer(b"".join([coded[i] for i in some]), np.uint8)
+                symbols = np.zeros((len(some), n), np.int64)
+                symbols[np.arange(n)[None, :] < size[:, None]] = self.inner[raw]
+                rows = np.arange(len(some))
+                symbols[rows, size - 1] = self.last[raw[np.cumsum(size) - 1]]
+                ids, alive = merge_many(symbols, size, self.table)
+                flat, ends = ids[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+                at = 0
+                for i, e in zip(some, ends, strict=True):
+                    out[words[i]] = flat[at:e]
+                    at = e
+        for i in np.flatnonzero(sizes > low).tolist():
+            out[words[i]] = self.pieces(words[i])
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put the entries of runs of signs without white space into the cache."""
+        words = {c: self.word.findall(c) for c in chunks}
+        pieces = self.pieces_of(list({w for ws in words.values() for w in ws}))
+        names, digits = self.names, self.digits
+        for c, ws in words.items():
+            ids = [i for w in ws for i in pieces[w]]
+            self.new[c] = (len(ids), " ".join([digits[i] for i in ids]), " ".join([names[i] for i in ids]))
+
+    def entries(self, chunks: list[str]) -> list[Entry]:
+        """Number of tokens, ids and token strings, each joined by a space, of every chunk."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = set(chunks).difference(new)
+        if missing:
+            for c in [c for c in missing if c in old]:
+                new[c] = old[c]
+                missing.discard(c)
+            self.learn(missing)
+        found = [new[c] for c in chunks]
+        for c in missing:
+            if len(c) > 100:  # not worth its place
+                del new[c]
         return found
 
     def library_words(self, text: str) -> list[str]:
@@ -150,30 +265,48 @@ class Vocabulary:
         normal, split = self.library
         return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
 
-    def entries(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        """The entries of a text's words and special tokens, a bounded number at a time."""
-        spans = [m.span() for m in self.cut.finditer(text)] if self.cut else []
+    def runs(self, text: str) -> Iterator[list[Entry]]:
+        """The entries of a text's chunks and special tokens, a bounded number at a time."""
+        spans = [m.span() for m in self.cut.finditer(text)] if self.cut and "<" in text else []
         at = 0
         for s, e in [*spans, (len(text), len(text))]:
-            part = text[at:s] if at or s < len(text) else text
-            get, make = self.cache.get, self.entry
-            new = not part.isascii() and unassigned().search(part)
-            part = part if new else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            if new:
-                yield [get(w) or make(w) for w in self.library_words(part)]
-            elif len(part) < 1 << 18:
-                yield [get(w) or make(w) for w in self.word.findall(part)]
-            else:
-                words = self.word.finditer(part)
-                while run := [get(m[0]) or make(m[0]) for m in islice(words, RUN)]:
-                    yield run
+            yield from self.plain(text[at:s] if spans else text)
             if e > s:
-                token = text[s:e]
-                yield [(1, str(self.special[token]), token)]
+                yield [(1, str(self.special[text[s:e]]), text[s:e])]
             at = e
 
+    def plain(self, text: str) -> Iterator[list[Entry]]:
+        """The entries of a text without special tokens."""
+        if RARE.search(text):
+            if not unassigned().isdisjoint(text):
+                words = self.library_words(text)
+                pieces = self.pieces_of(list(set(words)))
+                for s in range(0, len(words), RUN):
+                    yield [self.joined(pieces[w]) for w in words[s : s + RUN]]
+                return
+        if SEPARATORS.search(text):  # signs that Python, but not the vocabulary's pattern, takes for white space
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            words = self.word.finditer(text)
+            while run := [m[0] for m in islice(words, RUN)]:
+                pieces = self.pieces_of(list(set(run)))
+                yield [self.joined(pieces[w]) for w in run]
+            return
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > STEP:  # cut where there is white space
+                found = SPACE.search(text, at + STEP)
+                end = found.start() if found else end
+            part = text[at:end] if at or end < len(text) else text
+            part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
+            yield self.entries(part.replace("Σ", "σ").lower().split())
+            at = end
+
+    def joined(self, ids: list[int]) -> Entry:
+        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for run in self.entries(text) for x in run for i in x[1].split(" ")]
+        return [int(i) for run in self.runs(text) for x in run for i in x[1].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding of a vocabulary without a decoder: the token strings, joined by a space."""
@@ -183,7 +316,7 @@ class Vocabulary:
         """Number of tokens, and SHA-256 of the decimal ids and of the decoded text."""
         total, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
         lead = ""
-        for run in self.entries(text):
+        for run in self.runs(text):
             if run:
                 total += sum([x[0] for x in run])
                 ids.update((lead + " ".join([x[1] for x in run])).encode())
@@ -191,6 +324,31 @@ class Vocabulary:
                 lead = " "
         return total, ids.hexdigest(), decoded.hexdigest()
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the chunks of several short texts together, so that their words are merged together."""
+        chunks: set[str] = set()
+        for t in texts:
+            if len(t) < STEP and not RARE.search(t) and "<" not in t:
+                t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+                chunks.update(t.replace("Σ", "σ").lower().split())
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        chunks.difference_update(self.new)
+        for c in [c for c in chunks if c in self.old]:
+            self.new[c] = self.old[c]
+            chunks.discard(c)
+        self.learn(chunks)
+
+    def many(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """`digests` of texts, prepared a bounded size at a time."""
+        s = size = 0
+        for e, t in enumerate(texts):
+            size += len(t)
+            if size > STEP or e == len(texts) - 1:
+                self.prepare(texts[s : e + 1])
+                yield from map(self.digests, texts[s : e + 1])
+                s, size = e + 1, 0
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -230,7 +388,7 @@ def digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            found = [v.digests(x.as_py() or "") for x in batch.column(1)]
+            found = list(v.many([x.as_py() or "" for x in batch.column(1)]))
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -9,6 +9,11 @@ MODULES = (
     "telephony",
     "sharding",
     "bpe",
+    "urls",
+    "lines",
+    "simhash",
+    "templates",
+    "language",
 )
 
 

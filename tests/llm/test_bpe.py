@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from cases import ODD, odd
 from hypothesis import given, settings
@@ -19,7 +20,7 @@ def _library(text):
 
 
 def test_leftmost_lowest_merge_against_plain_search():
-    ranks = {("a", "b"): 1, ("b", "a"): 0, ("ab", "ab"): 2, ("a", "ba"): 3, ("ba", "ba"): 1}
+    ranks = {("a", "b"): 1, ("b", "a"): 0, ("ab", "ab"): 2, ("a", "ba"): 3, ("ba", "ba"): 4}
 
     def plain(parts):
         parts = list(parts)
@@ -29,10 +30,20 @@ def test_leftmost_lowest_merge_against_plain_search():
                 return parts
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
+    ids = {"a": 0, "b": 1}
+    for x, y in ranks:
+        ids.setdefault(x + y, len(ids))
+    table, names = B.PairTable(ids, ranks), {i: t for t, i in ids.items()}
+    rows, want = [], []
     for n in range(1, 9):
         for k in range(2**n):
             word = ["ab"[k >> i & 1] for i in range(n)]
             assert B.merge(word, ranks) == plain(word)
+            rows.append(word)
+            want.append(plain(word))
+    symbols = np.array([[ids[c] for c in w] + [0] * (8 - len(w)) for w in rows])
+    got, alive = B.merge_many(symbols, np.array([len(w) for w in rows]), table)
+    assert [[names[i] for i in r[a]] for r, a in zip(got, alive, strict=True)] == want
 
 
 @settings(max_examples=300, deadline=None)
@@ -53,7 +64,7 @@ def test_odd_texts(text):
 def test_long_texts_in_runs(monkeypatch):
     text = "Whole texts, never prefixes 123. " * 12000
     ids, decoded = _library(text)
-    monkeypatch.setattr(B, "RUN", 777)
+    monkeypatch.setattr(B, "STEP", 777)
     assert OWN.digests(text)[0] == len(ids) and OWN.digests(text)[2] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
