@@ -12,7 +12,9 @@ MODULES = (
     "urls",
     "lines",
     "simhash",
+    "suffixes",
     "templates",
+    "pii",
     "language",
 )
 

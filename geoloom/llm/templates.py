@@ -179,7 +179,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     covered = readings.where(one_to_one).select("doc_id", "text_hash", "item_id", F.explode("hashes").alias("hash"))
     covered = covered.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("hash").alias("matched"))
     share = F.col("matched") / F.col("windows")
-    return covered.join(totals, "item_id").select("doc_id", "text_hash", "item_id", "matched", "windows", share.alias("coverage")).where(F.col("coverage") >= COVER)
+    met = covered.join(totals.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
+    return met.select("doc_id", "text_hash", "item_id", "matched", "windows", share.alias("coverage")).where(F.col("coverage") >= COVER)
 
 
 def _vocabulary(questions: DataFrame) -> frozenset[str]:
