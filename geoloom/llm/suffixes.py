@@ -40,7 +40,7 @@ LENGTH, GRAM = 200, 32
 STEP = 1 << 18  # bytes scanned at a time
 RUN = 1 << 21  # bytes of segments sorted at a time
 ODD = np.uint64(0x9E3779B97F4A7C15)
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+PLACE = np.uint64((1 << 20) - 1)  # the lower bits, which give way to a place within a step
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ def _sliding_least(h: np.ndarray, n: int) -> np.ndarray:
 def segments(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Part, first window, number of windows and minimizer of each segment; windows are numbered by their first byte.
 
-    A segment has at most `length - gram + 1` windows, so that its bytes stay short where one hash is least for long.
+    The minimizer is the first place of the least hash (by its upper bits), and a segment holds the windows of one
+    place: so equal windows, which have it at equal distances, never share a segment, and a segment stays short.
     """
     raw = np.frombuffer(b"".join(parts), np.uint8)
     wide = length - gram + 1
@@ -79,17 +80,16 @@ def segments(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     found = []
     for s in range(0, max(len(raw) - length + 1, 0), STEP):
         e = min(s + STEP, len(raw) - length + 1)
-        least = _sliding_least(gram_hashes(raw[s : e + length - 1], gram), wide)
+        h = gram_hashes(raw[s : e + length - 1], gram)
+        least = _sliding_least((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), wide)
         part = np.searchsorted(starts, np.arange(s, e), "right") - 1
         at = np.arange(s, e) - starts[part]
         inside = at + length <= sizes[part]
         least, part, at = least[inside], part[inside], at[inside]
         if not len(at):
             continue
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (part[1:] != part[:-1])])
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        first = np.flatnonzero(run % wide == 0)  # a hash that stays least for long is cut into pieces
-        found.append((part[first], at[first], np.diff(np.concatenate([first, [len(at)]])), least[first]))
+        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (part[1:] != part[:-1])]))
+        found.append((part[first], at[first], np.diff(np.concatenate([first, [len(at)]])), h[least[first] & PLACE]))
     if not found:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -172,8 +172,8 @@ def _direct(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     keys = words[places]
     order = np.argsort(keys, kind="stable")
     places, keys = places[order], keys[order]
-    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
     tied = np.arange(len(places))
+    group = np.maximum.accumulate(np.where(np.concatenate([[True], keys[1:] != keys[:-1]]), tied, 0))  # named by its first place
     for d in range(8, depth, 8):
         size = np.bincount(group[tied], minlength=len(places))
         tied = tied[size[group[tied]] > 1]
@@ -185,7 +185,7 @@ def _direct(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         some, keys, of = some[order], keys[order], of[order]
         places[tied] = some
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]  # a group is named by its first place
+        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
     return places
 
 

@@ -55,6 +55,16 @@ def test_two_stage_sort_and_prefixes(seed):
     assert S.common_prefixes(words, order, depth).tolist() == want
 
 
+def test_direct_sort_of_much_that_is_equal():
+    rng = np.random.default_rng(7)
+    block = rng.integers(0, 2, 300).astype(np.uint8)
+    text = np.concatenate([np.concatenate([block[rng.integers(0, 80) :], rng.integers(0, 3, 20)]) for _ in range(60)] + [[0]]).astype(np.uint8)
+    raw = bytes(text) + bytes(216)
+    order = S.two_stage(text, np.ones(len(text), bool), S.packed(text))
+    keys = [raw[i : i + 200] for i in order.tolist()]
+    assert keys == sorted(keys)
+
+
 def test_partial_sort_keeps_the_order():
     text = np.concatenate([np.random.default_rng(9).integers(0, 4, 900), [0]]).astype(np.uint8)
     wanted = np.random.default_rng(1).random(901) < 0.3
@@ -78,7 +88,7 @@ def test_against_all_windows(spark, seed, hot, monkeypatch):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "RUN", 5000)
     texts = _texts(seed)
-    texts += texts[:5] + ["ab" * 200, "x" * 900, None, ""]
+    texts += texts[:5] + ["one line that comes again\n" * 30, "ab" * 200, "x" * 900, None, ""]
     length, gram = (50, 8) if seed < 3 else (200, 32)
     rows = S.repeats(odd(spark, list(enumerate(texts))), length=length, gram=gram).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
