@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Each module has QUERIES (name -> callable) and ORACLE (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("pixel", "scene", "change", "stream")
 
 
 def _collect(attribute: str) -> dict:
