@@ -27,8 +27,12 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _collect("QUERIES")
+    import corpus_pipeline
+
+    return {**_collect("QUERIES"), "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _collect("ORACLE")
+    import corpus_pipeline
+
+    return {**_collect("ORACLE"), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
