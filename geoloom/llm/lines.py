@@ -1,7 +1,7 @@
 """Line dedup: exact copies by hash, near copies by a deletion-neighbourhood join; the earliest line stays.
 
-Two lines are near if one edit (a sign replaced, inserted or deleted) turns one into the other; lines of fewer than
-`LEAST` signs are compared exactly. A line goes if an equal or near line stands before it, in the order of document id,
+Two lines are near if one edit (a sign replaced, inserted or deleted) turns one into the other; two lines
+of fewer than `LEAST` signs are compared exactly. A line goes if an equal or near line stands before it, in the order of document id,
 text hash and line number, whether or not that one stays itself. So the result depends on no order of execution.
 
 Deletion neighbourhood: lines that differ by a replaced sign agree once that sign is deleted from both; lines that
@@ -106,7 +106,7 @@ def _variants() -> Column:
     same = F.transform(places, lambda i: F.struct(F.lit("same").alias("kind"), F.xxhash64(F.lit("same"), outside, F.col("length"), i, cut(i)).alias("key")))
     short = F.array(F.struct(F.lit("short").alias("kind"), F.xxhash64(F.lit("more"), outside, block).alias("key")))
     long = F.transform(places, lambda i: F.struct(F.lit("long").alias("kind"), F.xxhash64(F.lit("more"), outside, cut(i)).alias("key")))
-    return F.when(F.col("role") == 0, F.concat(short, F.when(F.length(block) > 0, same).otherwise(F.slice(short, 1, 0)))).otherwise(long)
+    return F.when(F.col("role") == 0, F.concat(short, F.when((F.length(block) > 0) & (F.col("length") >= LEAST), same).otherwise(F.slice(short, 1, 0)))).otherwise(long)
 
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ WITH parts AS (
 ), near AS (
   SELECT DISTINCT b.pos FROM ends a JOIN ends b ON a.side = b.side AND a.half = b.half AND a.part = b.part
    AND a.pos < b.pos AND abs(a.size - b.size) <= 1
-  WHERE levenshtein(a.line, b.line) <= 1
+  WHERE greatest(a.size, b.size) >= 20 AND levenshtein(a.line, b.line) <= 1
 ), judged AS (
   SELECT l.*, l.line <> '' AND (l.doc_id * 1000000 + l.n > f.pos OR n.pos IS NOT NULL) AS gone
   FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON n.pos = l.doc_id * 1000000 + l.n

@@ -115,7 +115,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
-        F.col("slot").cast("int").alias("slot"),
+        F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
