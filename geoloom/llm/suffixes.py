@@ -371,7 +371,10 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     found = materialize(found, "segments")
     # An anchor that occurs once has no repeat; equal segments are counted and kept once, at any one of their places.
     twice = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    distinct = found.join(twice, "anchor").groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at"))
+    # Grouping by a hash of both keys deals the counts anew, after a partial sum: a hot anchor's rows need not meet.
+    chosen_at = F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")
+    distinct = found.join(twice, "anchor").groupBy(F.xxhash64("anchor", "same").alias("both"), "same").agg(F.max("anchor").alias("anchor"), F.count("*").alias("copies"), chosen_at)
+    distinct = distinct.select("anchor", "same", "copies", "at")
     distinct = materialize(distinct, "distinct-segments")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("anchor", F.lit(True).alias("hot"))
     marked = distinct.join(hot, "anchor", "left")
