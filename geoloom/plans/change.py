@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.config import T
+from geoloom.config import CLOUD, EDGE, T
 from geoloom.functions import columns as C
 from geoloom.operators import raster as R
 from geoloom.operators import spatial as S
@@ -182,6 +182,16 @@ EDGES = f"""WITH g AS ({RASTER}), m AS (SELECT obs, r, c, round(sum(nv * dc * (2
  SELECT obs, r, c, m FROM m JOIN (SELECT obs, quantile_cont(m, 0.9) AS p FROM m GROUP BY obs) USING (obs) WHERE m > p"""
 
 
+def edge_flag(spark, sf_dir):
+    """The mask after registration: strong edges of clean cells are flagged where an observation's residual is too large."""
+    grid = _raster(spark, sf_dir).select("obs", "r", "c", F.when(F.col("v") > 40, CLOUD).otherwise(0).alias("mask"))
+    edges = strong_edges(spark, sf_dir).select("obs", "r", "c", F.lit(True).alias("strong"))
+    residual = F.col("obs") % 4 * 0.3
+    flagged = F.coalesce("strong", F.lit(False)) & (F.col("mask") == 0) & (residual > T.residual_edge_px)
+    rows = grid.join(edges, ["obs", "r", "c"], "left")
+    return rows.select("obs", "r", "c", F.when(flagged, F.col("mask").bitwiseOR(EDGE)).otherwise(F.col("mask")).alias("mask"))
+
+
 def terrain(spark, sf_dir):
     """Slope and the cosine of the sun's incidence from differences to the four neighbours, one-sided at the edges."""
     grid = R.around(_raster(spark, sf_dir), [(1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)])
@@ -195,6 +205,9 @@ def terrain(spark, sf_dir):
     return rows.select("obs", "r", "c", F.round(slope, 4).alias("slope"), F.round(cos_i, 4).alias("cos_i"), (cos_i < T.min_cos_i).alias("dark"))
 
 
+EDGE_FLAG = f"""SELECT g.obs, g.r, g.c, CASE WHEN e.obs IS NOT NULL AND v <= 40 AND g.obs % 4 * 0.3::DOUBLE > 0.5 THEN 128 WHEN v > 40 THEN 4 ELSE 0 END AS mask
+ FROM ({RASTER}) g LEFT JOIN ({EDGES}) e ON e.obs = g.obs AND e.r = g.r AND e.c = g.c"""
+
 _D = "coalesce(({a} - {b}) / 2, {a} - v, v - {b}, 0.0) / 10"
 TERRAIN = f"""WITH g AS ({RASTER}), n AS (SELECT a.obs, a.r, a.c, a.v, s.v AS s, n.v AS n, e.v AS e, w.v AS w FROM g a
  LEFT JOIN g s ON s.obs = a.obs AND s.r = a.r + 1 AND s.c = a.c LEFT JOIN g n ON n.obs = a.obs AND n.r = a.r - 1 AND n.c = a.c
@@ -535,7 +548,7 @@ REGISTRATION = """SELECT event_id, status, CASE WHEN value / 100 < 0.05 THEN 'lo
 
 QUERIES = {
     "core_tile": core_tile, "pixel_tile_overlay": tile_overlay, "priority_zone_flag": zone_flags, "aoi_intersect": aoi_intersect, "near_layer": near_layer, "peer_departure": peer_departure,
-    "split_assign": split_assign, "dilate": dilate, "opening": opening, "components": components, "shadow_project": shadow_project, "local_sigma": local_sigma, "strong_edges": strong_edges,
+    "split_assign": split_assign, "dilate": dilate, "opening": opening, "components": components, "shadow_project": shadow_project, "local_sigma": local_sigma, "strong_edges": strong_edges, "edge_flag": edge_flag,
     "terrain": terrain, "overviews": overviews, "apply_shift": apply_shift, "vote_mask": vote_mask, "first_change": first_change, "object_series": object_series, "area_range": area_range,
     "stable_window": stable_window, "bracket_gap": bracket_gap, "same_season": same_season, "state_machine": state_machine, "gate_funnel": gate_funnel, "review_rank": review_rank,
     "calibration_bins": calibration_bins, "concept_match": concept_match, "cosine_knn": cosine_knn, "similar_pos_neg": similar_pos_neg, "percentile_rank": percentile_rank, "monthly_embed": monthly_embed,
@@ -544,7 +557,7 @@ QUERIES = {
 ORACLE = {
     "core_tile": CORE, "pixel_tile_overlay": OVERLAY, "priority_zone_flag": ZONE_FLAGS, "aoi_intersect": INTERSECT, "near_layer": NEAR, "peer_departure": PEERS, "split_assign": SPLIT,
     "dilate": f"SELECT DISTINCT r + dr AS r, c + dc AS c FROM ({CELLS}), (VALUES {_SQ}) o(dr, dc) WHERE r + dr BETWEEN 0 AND 60 AND c + dc BETWEEN 0 AND 52",
-    "opening": OPENING, "components": COMPONENTS, "shadow_project": SHADOW, "local_sigma": SIGMA, "strong_edges": EDGES, "terrain": TERRAIN, "overviews": OVERVIEWS, "apply_shift": SHIFT,
+    "opening": OPENING, "components": COMPONENTS, "shadow_project": SHADOW, "local_sigma": SIGMA, "strong_edges": EDGES, "edge_flag": EDGE_FLAG, "terrain": TERRAIN, "overviews": OVERVIEWS, "apply_shift": SHIFT,
     "vote_mask": VOTE, "first_change": FIRST, "object_series": OBJECT, "area_range": AREA, "stable_window": STABLE, "bracket_gap": GAP, "same_season": SEASON, "state_machine": STATE,
     "gate_funnel": FUNNEL, "review_rank": REVIEW, "calibration_bins": CALIBRATION, "concept_match": CONCEPT, "cosine_knn": KNN, "similar_pos_neg": SIMILAR, "percentile_rank": PERCENTILE,
     "monthly_embed": MONTHLY, "watch_hits": HITS, "registration_status": REGISTRATION,
