@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 250_000  # runs of signs kept in a generation of a worker's cache
+CACHE = 100_000  # runs of signs kept in a generation of a worker's cache
 RUN = 50_000  # words handled at a time
 STEP = 1 << 21  # signs of text handled at a time
 
@@ -392,6 +392,7 @@ def digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        v.old = {}  # a worker outlives its task: it keeps the newer generation only
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
