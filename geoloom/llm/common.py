@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/geoloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """All rows if there are at most `most`, else a repeatable sample by a hash of keys.
+
+    The share is set so that more than `most` rows are very unlikely; rows alike in all keys come together, so a limit
+    of twice as many guards what is collected. Each task passes on its share only, however many tasks there are.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    share = max(most - 4 * most**0.5, 1.0) / total
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *keys), 11).cast("double") / float(1 << 53)
+    return df.where(unit < share).limit(2 * most)

@@ -1,7 +1,7 @@
 """Language spans of mixed text: scripts narrow the candidates, word scores come from letter trigrams, Viterbi switches.
 
 Training: letter-trigram frequencies of each language in a bounded sample of labelled rows (`MAX_ROWS` rows of at most
-`MAX_BYTES` bytes, those with the smallest row hash), counted on the driver. A word's script is that of its first
+`MAX_BYTES` bytes, chosen by a row hash), counted on the driver. A word's script is that of its first
 letter; a language is a candidate for a script that makes up at least `SCRIPT_SHARE` of its letters. A word scores the
 log-likelihood of its trigrams under each candidate, relative to the best one and bounded below. Viterbi finds the
 best labelling of a text's words, where each change of language costs `SWITCH`. It runs for all texts of a batch at
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import bounded_sample, table
 
 MAX_ROWS = 4000
 MAX_BYTES = 20_000
@@ -209,7 +209,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model from at most MAX_ROWS labelled rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     able = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.octet_length("text").between(1, MAX_BYTES))
-    chosen = able.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_ROWS).select("lang", "text")
+    chosen = bounded_sample(able, MAX_ROWS, "doc_id", "text").select("lang", "text")
     return Model([(r.lang, r.text) for r in chosen.collect()])
 
 

@@ -1,7 +1,7 @@
 """URL filter: fixed host rules first, else gradient-boosted trees on lexical features of the URL.
 
 The labelled URLs are those that a rule decides. Trees are fitted on the driver to a bounded sample of them
-(`MAX_ROWS`, the smallest row hashes) with histograms of at most `BINS` quantile bins, and are then written as nested
+(`MAX_ROWS`, by a row hash) with histograms of at most `BINS` quantile bins, and are then written as nested
 CASE expressions, so scoring runs in the JVM over all rows. Suffix statistics (how many URLs end in a host suffix, and
 the share blocked among its labelled ones) are counted over all rows and joined by suffix.
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import bounded_sample, table
 
 #: (host, path, verdict)
 RULES = [
@@ -165,8 +165,9 @@ def featured(df: DataFrame, keep: list[str], url: str, rules=RULES) -> DataFrame
 def train(rows: DataFrame) -> Trees:
     """Trees from at most MAX_ROWS rows that a rule decides."""
     able = rows.where(F.col("decided").isNotNull())
-    chosen = able.orderBy(F.xxhash64("host", "path"), *FEATURES).limit(MAX_ROWS).select((F.col("decided") == "block").cast("int").alias("y"), *FEATURES).collect()
-    data = np.array([tuple(r) for r in chosen], float).reshape(-1, 1 + len(FEATURES))
+    chosen = bounded_sample(able, MAX_ROWS, "kept", "host", "path").select((F.col("decided") == "block").cast("int").alias("y"), *FEATURES).collect()
+    chosen = sorted(map(tuple, chosen))  # the trees do not depend on the order of arrival
+    data = np.array(chosen, float).reshape(-1, 1 + len(FEATURES))
     return fit(data[:, 1:], data[:, 0])
 
 
