@@ -11,8 +11,8 @@ range meets in a cell. In a cell, neighbours are found breadth first: each finge
 not yet reached, first by the Manhattan bound, then by the Hamming distance. So links of a dense group are not
 enumerated; a cell yields one edge for each fingerprint that is linked in it, which is all that components need.
 
-A pair of documents similar enough to be copies of each other with changed words differs in more bits; for these, the
-same search runs over fingerprints of four times 64 bits, with cells of 2 blocks of each (`SIMILAR`).
+Documents similar enough to be copies of each other with changed words differ in more bits; for these, candidates share
+a band of least hashes of their shingles and are verified by the exact similarity of their sets (`similar_texts`).
 
 Copies share a fingerprint and take part once. Fingerprints and edges stay in DataFrames.
 
@@ -24,7 +24,7 @@ repeated rows give repeated results; an empty table gives an empty table; only t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -221,16 +221,179 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = WORDS, s
 
 #: For documents of a similarity of 0.8 or more of their sets of five-word shingles: four times 64 bits, of which such a
 #: pair differs in 39 on average (the angle that belongs to a Jaccard similarity of 0.8 is 0.152 of a half turn).
-SIMILAR = {"words": 5, "seeds": 4, "bits": 41, "agreeing": 2}
+SIMILAR = {"words": 5, "seeds": 4, "bits": 41}
+NEAR = (4, 5)  # the least similarity, as a fraction
+LOOSE = SIMILAR["bits"] + 23  # bits; beyond 64 a similarity of 0.8 is more than four deviations off
+BANDS, ROWS = 24, 5  # a pair of similarity 0.8 agrees on all rows of a band in 1 - (1 - 0.8 ** 5) ** 24 = 0.99993 of cases
+FEW = 17  # members of a cell up to which all its pairs are candidates at once
+_odd = np.random.default_rng(SEED)
+FACTORS = _odd.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + ONE
+MASKS = _odd.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int = SIMILAR["words"]) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    parts = (text or "").encode().lower().split()
+    k = min(words, len(parts))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)] if parts else [], np.uint64))
+
+
+def sketch(found: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a set of shingles: four times 64 bits (the majority of each), and the keys of its bands of least hashes."""
+    if not len(found):
+        return [0] * SIMILAR["seeds"], []
+    counts, least = np.zeros(64 * SIMILAR["seeds"], np.int64), np.full(BANDS * ROWS, ~np.uint64(0))
+    for s in range(0, len(found), 4096):
+        part = found[s : s + 4096]
+        every = np.stack([part, *(scramble(part, i) for i in range(1, SIMILAR["seeds"]))], axis=1)
+        counts += np.unpackbits(every.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((part[:, None] ^ MASKS) * FACTORS).min(axis=0))
+    bits = np.packbits(2 * counts > len(found), bitorder="little").view(np.int64)
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = scramble(keys ^ row, 1)
+    return bits.tolist(), keys.view(np.int64).tolist()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, sizes, bits, bands = [], [], [], []
+        for x in batch.column(1):
+            found = shingles(x.as_py())
+            b, keys = sketch(found)
+            nodes.append(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+            sizes.append(len(found))
+            bits.append(b)
+            bands.append(keys)
+        prints = np.array(bits, np.int64).reshape(-1, SIMILAR["seeds"])
+        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(prints[:, i].copy()) for i in range(SIMILAR["seeds"]))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], ["kept", "node", "size", *PRINTS, "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+
+
+PRINTS = [f"f{i}" for i in range(SIMILAR["seeds"])]
+MEMBER = ["choice", "cell", "done", "label", "node", "size", *PRINTS]
+
+
+def _alike(rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the members at p and q are not linked yet and may be similar: by their sizes, then by their bits."""
+    small, large = np.minimum(rows[p, 5], rows[q, 5]), np.maximum(rows[p, 5], rows[q, 5])
+    return (rows[p, 3] != rows[q, 3]) & (np.uint64(NEAR[1]) * small >= np.uint64(NEAR[0]) * large) & (np.bitwise_count(rows[p, 6:] ^ rows[q, 6:]).sum(axis=1, dtype=np.int64) <= LOOSE)
+
+
+def _candidates(turn: int):
+    """Pairs (a, b) of nodes to verify, and (choice, cell, done) of the cells that have members left to compare.
+
+    Cells of up to FEW members give all their pairs. In a larger one, members are compared in order with all that
+    follow and are not linked to them, as far as about two pairs a member, and eight times as many each further turn;
+    `done` counts those compared. The rest waits for the next turn, when what the verified pairs have linked need not
+    be compared again: so a dense group's links are not enumerated.
+    """
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        bits = rows.view(np.uint64)
+        cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        starts = np.concatenate([[0], cuts])
+        sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+        few = sizes <= FEW
+        at = np.flatnonzero(np.repeat(few, sizes))
+        end = np.repeat(starts + sizes, sizes)[at]
+        left, right, wait = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for d in range(1, FEW):
+            inside = at + d < end
+            at, end = at[inside], end[inside]
+            near = at[_alike(bits, at, at + d)]
+            left.append(near)
+            right.append(near + d)
+        for s, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+            p, made = s + int(rows[s, 2]), 0
+            while p < s + n - 1 and made <= 2 * n * 8**turn:
+                rest = p + 1 + np.flatnonzero(rows[p + 1 : s + n, 3] != rows[p, 3])
+                if not len(rest):  # all that follow are linked
+                    p = s + n - 1
+                    break
+                rest = rest[_alike(bits, np.full(len(rest), p), rest)]
+                left.append(np.full(len(rest), p))
+                right.append(rest)
+                made += len(rest)
+                p += 1
+            if p < s + n - 1:
+                wait.append((rows[s, 0], rows[s, 1], p - s))
+        a, b = np.concatenate(left), np.concatenate(right)
+        none, more = [None] * len(a), np.array(wait, np.int64).reshape(-1, 3)
+        blank = [None] * len(more)
+        whole = lambda x, y: pa.array([*x, *y], pa.int64())
+        return pa.RecordBatch.from_arrays([*(whole(none, more[:, i]) for i in range(3)), whole(rows[a, 4], blank), whole(rows[b, 4], blank)], ["choice", "cell", "done", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # of the cell that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if held and (held[0][0, :2] == rows[-1, :2]).all():
+                held.append(rows)
+                continue
+            other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if held or last:
+                yield solve(np.concatenate([*held, rows[:last]]))
+            held = [rows[last:]]
+        if held:
+            yield solve(np.concatenate(held))
+
+    return run
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of NEAR or more; texts: node, text."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets, "node long, found array<long>"), "sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("found").alias(f"of_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    return both.where(NEAR[1] * F.col("n") >= NEAR[0] * (F.col("total") - F.col("n"))).select("a", "b")
+
+
+def similar_texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, node (its set of shingles) and root of every row; equal roots: linked by pairs of similarity NEAR.
+
+    Candidates share a band of least hashes; each is verified by its sets of shingles, which are made only for these.
+    """
+    rows = df.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("kept"), F.col(text).alias("text"))
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, node long, size long, " + ", ".join(f"{f} long" for f in PRINTS) + ", bands array<long>"
+    docs = materialize(rows.mapInArrow(_sketches, schema).select("kept.*", "node", "size", *PRINTS, "bands"), "sketches")
+    nodes = docs.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *[F.min(c).alias(c) for c in ("size", *PRINTS, "bands")])
+    nodes = materialize(nodes, "nodes")
+    texts = df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text")
+    cells = nodes.select("node", "size", *PRINTS, F.posexplode("bands").alias("choice", "cell")).withColumn("choice", F.col("choice").cast("long"))
+    now, edges = cells.withColumn("done", F.lit(0).cast("long")).withColumn("label", F.col("node")), None
+    for turn in count():
+        dealt = now.select(*MEMBER).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "node")
+        out = materialize(dealt.mapInArrow(_candidates(turn), "choice long, cell long, done long, a long, b long"), "candidates")
+        pairs = out.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = materialize(_similar(pairs, texts), "similar")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges, "near")
+        wait = out.where("a IS NULL").select("choice", "cell", "done")
+        if wait.isEmpty():
+            break
+        now = cells.join(wait, ["choice", "cell"]).join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    return docs.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their group of similar texts (`SIMILAR`); of rows with one id, one stays.
+    """The rows of docs whose id is the least of their group of similar texts (`similar_texts`); of rows with one id, one stays.
 
     Texts without words are all alike, so one of them stays.
     """
-    near = near_duplicates(docs, doc_id, text, **SIMILAR)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    near = similar_texts(docs, doc_id, text)
+    kept = near.join(near.groupBy("root").agg(F.min("doc_id").alias("least")), "root").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([doc_id])
 
 

@@ -130,3 +130,49 @@ def test_small_and_large_cells_agree(spark, monkeypatch):
     want = {(r.node, r.root) for r in graph.components(S.links(frame)).collect()}
     monkeypatch.setattr(S, "SMALL", 1000)
     assert {(r.node, r.root) for r in graph.components(S.links(frame)).collect()} == want
+
+
+def _slow_sets(texts, k=5):
+    out = []
+    for t in texts:
+        words = t.lower().split()
+        out.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+    return out
+
+
+def test_all_pairs_of_the_least_similarity_and_no_others(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for g in range(300):  # pairs of a similarity from 0.65 to 0.95, most near the bound
+        base = [word() for _ in range(200)]
+        other = list(base)
+        for at in range(0, 5 * (1 + g % 8), 5):
+            other[at + 7] = word()
+        texts += [" ".join(base), " ".join(other)]
+    sets = _slow_sets(texts)
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 600, 2)]
+    assert sum(0.78 < x < 0.82 for x in like) >= 30 and sum(x < 0.8 for x in like) >= 60
+    kept = {r.doc_id for r in S.keep_one(odd(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(range(600)) - {2 * i + 1 for i, x in enumerate(like) if x >= 0.8}
+
+
+def test_large_cells_are_compared_to_the_end(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(3):  # groups that share most of a text, and copies within a group
+        own = base[:165] + [word() for _ in range(35)]
+        for _ in range(30):
+            text = list(own)
+            text[int(rng.integers(0, 160))] = word()
+            texts.append(" ".join(text))
+    sets = _slow_sets(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = {r.doc_id for r in S.keep_one(odd(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(root) and 1 < len(kept) < 10
