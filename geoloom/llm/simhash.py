@@ -388,13 +388,16 @@ def similar_texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their group of similar texts (`similar_texts`); of rows with one id, one stays.
+    """One row of docs of each group of similar texts (`similar_texts`): that with the least id, then the least text hash.
 
-    Texts without words are all alike, so one of them stays.
+    Rows are told apart by id and text; a null id comes after all others. Texts without words are all alike, so one of
+    them stays.
     """
-    near = similar_texts(docs, doc_id, text)
-    kept = near.join(near.groupBy("root").agg(F.min("doc_id").alias("least")), "root").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([doc_id])
+    near = similar_texts(docs, doc_id, text).withColumn("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    kept = near.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.text_hash").alias("__kept_hash"))
+    rows = docs.withColumn("__hash", F.xxhash64(text))
+    stay = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    return stay.dropDuplicates([doc_id, "__hash"]).drop("__hash")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,11 @@ def test_large_cells_are_compared_to_the_end(spark):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     kept = {r.doc_id for r in S.keep_one(odd(spark, list(enumerate(texts)))).collect()}
     assert kept == set(root) and 1 < len(kept) < 10
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    docs = [(None, text(k)) for k in "abcdef"] + [(9, text("g")), (9, text("h")), (None, text("h")), (3, text("a")), (9, text("g"))]
+    kept = [(r.doc_id, r.text) for r in S.keep_one(odd(spark, docs)).collect()]
+    want = [(None, text(k)) for k in "bcdef"] + [(9, text("g")), (9, text("h")), (3, text("a"))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
