@@ -2,7 +2,9 @@
 
 Canonical form of a text: words in lower case; a number becomes <num>; a known unit that follows a number becomes
 <unit>; a capitalised word becomes <name> if the text has it within a sentence, never has it in lower case, and it is
-no ordinary word of the benchmark. A window is `WORDS` tokens of this form, of which at least `LITERALS` are words.
+no ordinary word of the benchmark. So that a copy's form does not depend on the rest of its document, a text has two
+more forms: one in which every capitalised word that is no ordinary word of the benchmark is a name, and one without
+names; an item is met if it is met in any of its forms. A window is `WORDS` tokens of this form, of which at least `LITERALS` are words.
 Windows of documents and of benchmark items are hash-joined; matches of one item that lie on one diagonal (position in
 the document less position in the item) are one reading of it. A reading counts if its slots are consistent: what
 stood in the placeholders of the item maps one to one to what stands in those of the document, so a question with
@@ -79,38 +81,56 @@ class Canonical:
         self.cache[token] = found
         return found
 
-    def tokens(self, text: str) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
-        """Hashes of the canonical tokens, and (placeholder, value) by the position of those that are placeholders."""
+    def forms(self, text: str) -> list[tuple[np.ndarray, dict[int, tuple[str, str]]]]:
+        """The canonical forms of a text, those that are equal once: with the names of the text, of the benchmark, none.
+
+        Each has the hashes of the canonical tokens, and (placeholder, value) by the position of the placeholders.
+        """
         get, look = self.cache.get, self.look
         found = [get(t) or look(t) for t in TOKEN.findall(text)]
         kinds = [f[0] for f in found]
-        slots: dict[int, tuple[str, str]] = {}
+        plain: dict[int, tuple[str, str]] = {}
         names: set[str] = set()
         if "cap" in kinds:
             mid = {f[2] for p, f in zip(kinds, found[1:], strict=False) if f[0] == "cap" and p != "stop"} - self.ordinary
             names = mid - {f[2] for f in found if f[0] == "word"} if mid else mid
-        hashes = [f[1] for f in found if f[0] != "stop"]
-        if names or "num" in kinds:
+        words = [f for f in found if f[0] != "stop"]
+        literal = np.array([f[1] for f in words], np.uint64)
+        if "num" in kinds:
             i, after_number = 0, False
             for kind, _, value in found:
                 if kind == "stop":
                     after_number = False
                     continue
                 if kind == "num":
-                    slots[i] = (NUM, value)
+                    plain[i] = (NUM, value)
                 elif after_number and value in UNITS:
-                    hashes[i] = self.marks[UNIT]
-                    slots[i] = (UNIT, value)
-                elif kind == "cap" and value in names:
-                    hashes[i] = self.marks[NAME]
-                    slots[i] = (NAME, value)
+                    literal[i] = self.marks[UNIT]
+                    plain[i] = (UNIT, value)
                 after_number = kind == "num"
                 i += 1
-        return np.array(hashes, np.uint64), slots
+        caps = [(i, f[2]) for i, f in enumerate(words) if f[0] == "cap" and f[2] not in self.ordinary and i not in plain] if "cap" in kinds else []
+        out: list[tuple[np.ndarray, dict[int, tuple[str, str]]]] = []
+        before: list[list[int]] = []
+        for chosen in ([x for x in caps if x[1] in names], caps, []):
+            places = [i for i, _ in chosen]
+            if places in before:
+                continue
+            before.append(places)
+            hashes = literal.copy()
+            hashes[places] = self.marks[NAME]
+            out.append((hashes, plain | {i: (NAME, v) for i, v in chosen}))
+        return out
+
+    def tokens(self, text: str) -> tuple[np.ndarray, dict[int, tuple[str, str]]]:
+        """The form with the names of the text."""
+        return self.forms(text)[0]
 
     def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[str, str]]]:
-        """Hashes and positions of the windows with enough words, and the slots by position."""
-        hashes, slots = self.tokens(text)
+        """Hashes and positions of the windows with enough words, and the slots by position, with the names of the text."""
+        return self.cut(*self.tokens(text))
+
+    def cut(self, hashes: np.ndarray, slots: dict[int, tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[str, str]]]:
         n = len(hashes) - WORDS + 1
         if n < 1:
             return np.empty(0, np.uint64), np.empty(0, np.int64), slots
@@ -134,7 +154,7 @@ SLOTS = pa.list_(pa.string())
 
 
 def _windows(df: DataFrame, shared, wanted) -> DataFrame:
-    """kept, hash, at, slots of the windows of df (kept, text); of those among `wanted`, a sorted array, if it is given."""
+    """kept, form, hash, at, slots of the windows of df (kept, text) in each form; of those among `wanted`, a sorted array, if it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical(shared.value)
@@ -144,17 +164,18 @@ def _windows(df: DataFrame, shared, wanted) -> DataFrame:
                 text = batch.column(1)[i].as_py()
                 if not text:
                     continue
-                hashes, at, slots = canonical.windows(text)
-                if among is not None and len(hashes):
-                    place = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
-                    hit = among[place] == hashes
-                    hashes, at = hashes[hit], at[hit]
-                if len(hashes):
-                    kept = batch.column(0).take(pa.array(np.full(len(hashes), i)))
-                    columns = [kept, pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), pa.array([_slots(slots, x) for x in at.tolist()], SLOTS)]
-                    yield pa.RecordBatch.from_arrays(columns, ["kept", "hash", "at", "slots"])
+                for form, tokens in enumerate(canonical.forms(text)):
+                    hashes, at, slots = canonical.cut(*tokens)
+                    if among is not None and len(hashes):
+                        place = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+                        hit = among[place] == hashes
+                        hashes, at = hashes[hit], at[hit]
+                    if len(hashes):
+                        kept = batch.column(0).take(pa.array(np.full(len(hashes), i)))
+                        columns = [kept, pa.array(np.full(len(hashes), form, np.int8)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([_slots(slots, x) for x in at.tolist()], SLOTS)], ["kept", "form", "hash", "at", "slots"])
 
-    return df.mapInArrow(run, f"kept {df.schema['kept'].dataType.simpleString()}, hash long, at int, slots array<string>")
+    return df.mapInArrow(run, f"kept {df.schema['kept'].dataType.simpleString()}, form byte, hash long, at int, slots array<string>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -162,8 +183,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     sc = docs.sparkSession.sparkContext
     questions = items.select(F.struct(F.col(item_id).alias("item_id")).alias("kept"), F.col(item_text).alias("text")).where("text is not null")
     vocabulary = sc.broadcast(_vocabulary(questions))
-    own = materialize(_windows(questions, vocabulary, None).select("kept.item_id", "hash", F.col("at").alias("place"), F.col("slots").alias("own")), "item-windows")
-    totals = own.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
+    own = materialize(_windows(questions, vocabulary, None).select("kept.item_id", "form", "hash", F.col("at").alias("place"), F.col("slots").alias("own")), "item-windows")
+    totals = own.groupBy("item_id", "form").agg(F.count_distinct("hash").alias("windows"))
     hashes = own.select("hash").distinct()
     wanted = None
     if hashes.count() <= FILTER:
@@ -171,16 +192,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         if not len(wanted.value):
             wanted = sc.broadcast(np.zeros(1, np.uint64))
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("kept"), F.col(text).alias("text"))
-    found = _windows(rows, vocabulary, wanted).select("kept.*", "hash", "at", "slots")
-    met = found.join(own, "hash").select("doc_id", "text_hash", "item_id", "hash", (F.col("at") - F.col("place")).alias("diagonal"), F.arrays_zip("own", "slots").alias("pairs"))
-    readings = met.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(F.collect_set("hash").alias("hashes"), F.flatten(F.collect_set("pairs")).alias("pairs"))
+    found = _windows(rows, vocabulary, wanted).select("kept.*", "hash", "at", "slots")  # an item's form says which are met
+    met = found.join(own, "hash").select("doc_id", "text_hash", "item_id", "form", "hash", (F.col("at") - F.col("place")).alias("diagonal"), F.arrays_zip("own", "slots").alias("pairs"))
+    readings = met.groupBy("doc_id", "text_hash", "item_id", "form", "diagonal").agg(F.collect_set("hash").alias("hashes"), F.flatten(F.collect_set("pairs")).alias("pairs"))
     pairs = F.array_distinct("pairs")
     one_to_one = (F.size(pairs) == F.size(F.array_distinct("pairs.own"))) & (F.size(pairs) == F.size(F.array_distinct("pairs.slots")))
-    covered = readings.where(one_to_one).select("doc_id", "text_hash", "item_id", F.explode("hashes").alias("hash"))
-    covered = covered.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("hash").alias("matched"))
+    covered = readings.where(one_to_one).select("doc_id", "text_hash", "item_id", "form", F.explode("hashes").alias("hash"))
+    covered = covered.groupBy("doc_id", "text_hash", "item_id", "form").agg(F.count_distinct("hash").alias("matched"))
     share = F.col("matched") / F.col("windows")
-    met = covered.join(totals.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
-    return met.select("doc_id", "text_hash", "item_id", "matched", "windows", share.alias("coverage")).where(F.col("coverage") >= COVER)
+    totals = totals.withColumnRenamed("item_id", "item").withColumnRenamed("form", "of")
+    met = covered.join(totals, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("form") == F.col("of")))
+    best = met.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(share.alias("coverage"), "matched", "windows")).alias("best"))
+    return best.select("doc_id", "text_hash", "item_id", "best.matched", "best.windows", "best.coverage").where(F.col("coverage") >= COVER)
 
 
 def _vocabulary(questions: DataFrame) -> frozenset[str]:

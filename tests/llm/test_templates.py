@@ -107,3 +107,11 @@ def test_query_against_plain_python(spark, sf_small):
 def test_windows_do_not_wrap():
     assert [len(x) for x in T.Canonical().windows("one two three four")[:2]] == [0, 0]
     assert np.array_equal(T.Canonical().windows("a b c d e f")[1], [0, 1])
+
+
+def test_names_do_not_depend_on_the_rest_of_the_document(spark):
+    item = "Mark sold nine red flowers to Rose on the market and Rose gave Mark a coin for each of them, so how many coins does Mark hold when Rose goes home at last in the evening?"
+    other = item.replace("Mark", "Bill").replace("Rose", "May")
+    before = "Please mark the box and smell a rose. You may pay the bill. "
+    docs = [(1, f"A neutral sentence. {item}"), (2, before + item), (3, item.lower()), (4, before + other), (5, before + item[: len(item) // 2])]
+    assert _found(spark, docs, [(7, item), (8, OTHER)]) == [(1, 7), (2, 7), (3, 7), (4, 7)]
