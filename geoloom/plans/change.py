@@ -458,7 +458,7 @@ HITS = f"SELECT query_id, vec_id, score, true AS is_new FROM ({KNN}) WHERE vec_i
 
 
 def mmr_rank(spark, sf_dir):
-    """Diverse results of each query: the candidates (top 5) in greedy order of relevance less likeness to what is chosen.
+    """Diverse results of each query: of the T.fetch_k nearest, the first five in greedy order of relevance less likeness to what is chosen.
 
     A query's candidates are few, so each greedy run is one bounded group.
     """
@@ -466,19 +466,20 @@ def mmr_rank(spark, sf_dir):
     import pandas as pd
 
     v = _vectors(spark, sf_dir)
-    found = cosine_knn(spark, sf_dir).join(v.select("vec_id", "embedding"), "vec_id")
+    k = 5
+    found = nearest(v, v.where("vec_id % 20 = 0"), T.fetch_k).join(v.select("vec_id", "embedding"), "vec_id")
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)
         m = np.stack(f.embedding.to_numpy()).astype(float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         like, chosen = m @ m.T, []
-        while len(chosen) < len(f):
+        while len(chosen) < min(k, len(f)):
             worst = like[:, chosen].max(axis=1) if chosen else np.zeros(len(f))
             value = T.mmr_lambda * f.score.to_numpy() - (1 - T.mmr_lambda) * worst
             value[chosen] = -np.inf
             chosen.append(int(value.argmax()))
-        return pd.DataFrame({"query_id": f.query_id[chosen].to_numpy(), "vec_id": f.vec_id[chosen].to_numpy(), "place": range(1, len(f) + 1)})
+        return pd.DataFrame({"query_id": f.query_id[chosen].to_numpy(), "vec_id": f.vec_id[chosen].to_numpy(), "place": range(1, len(chosen) + 1)})
 
     return found.groupBy("query_id").applyInPandas(greedy, "query_id long, vec_id long, place int")
 
