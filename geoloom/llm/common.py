@@ -14,19 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own_folder: list[str] = []
+_written: list[str] = []  # tables that `materialize` wrote and `sweep` has not removed
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests, one machine), a folder of this process."""
+    """The cluster's spark.checkpoint.dir; where it is unset on one machine, a folder of this process.
+
+    Off one machine an unset folder is an error: executors would write where the driver cannot read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="geoloom-shared-"))
     return f"file://{_own_folder[0]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Cuts the lineage with files that survive a lost executor, lets several branches read one computation, and gives
@@ -34,10 +40,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geoloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.append(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of written tables, for `sweep`."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the tables written after the mark `since` but the last `keep`; only for when no result to come reads them."""
+    gone = _written[since : len(_written) - keep]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    del _written[since : len(_written) - keep]
+
+
 def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """All rows if there are at most `most`, else a repeatable sample by a hash of keys.
 

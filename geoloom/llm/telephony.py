@@ -2,7 +2,9 @@
 
 Companded samples are expanded through 256-entry tables built from the G.711 rule. ADPCM blocks are decoded across
 blocks: step t of the decoder runs for all blocks of a batch at once, so the Python work does not grow with their
-number. Nothing here holds more than one Arrow batch and a fixed number of samples.
+number. Stored forms are written to the shared folder: the payload as mu-law WAV, and what it decodes to, resampled to
+half its rate, as 16-bit PCM WAV; digests and features are read from the written bytes. Rows of an Arrow batch are
+worked on `HELD` bytes at a time (or one row, if that is longer).
 
 Defined cases: a null or empty payload is stored as 64 zero bytes; equal payloads give equal stored forms; a stored
 form that is no WAV file of a known format decodes to null. Only the named columns are read, so further columns of
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import materialize, table
 
 RATE = 8000
 BLOCK = 64
+HELD = 1 << 21  # bytes of payloads worked on at a time
 PIECE = 1 << 18  # samples expanded at a time
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 
@@ -175,117 +178,124 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def _transcode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, media in zip(batch.column(0), batch.column(1), strict=True):
-            found = decode(media.as_py())
-            out = None if found is None else wav(double_rate(found[1]).tobytes(), PCM, 2 * found[0])
-            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([out], pa.binary())], ["key", "pcm"])
+def halve_rate(pcm: np.ndarray) -> np.ndarray:
+    """PCM at half the rate: every second sample of a three-tap low-pass; beyond the ends the end samples are repeated."""
+    if not len(pcm):
+        return pcm.astype(np.int16)
+    x = np.concatenate([pcm[:1], pcm, pcm[-1:]]).astype(np.int32)
+    return ((x[:-2:2] + 2 * x[1:-1:2] + x[2::2] + 2) >> 2).astype(np.int16)
+
+
+def _groups(sizes: list[int]) -> Iterator[slice]:
+    """Runs of rows of at most HELD bytes together, or of one row."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > HELD:
+            yield slice(at, i)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield slice(at, len(sizes))
 
 
-def transcode(df: DataFrame, key: str, media: str) -> DataFrame:
-    """key and the stored form decoded and resampled to twice its rate, as 16-bit PCM in column `pcm`."""
+def _sizes(column: pa.Array) -> list[int]:
+    return [len(x.as_buffer()) if x.is_valid else 0 for x in column]
+
+
+def pcm_form(media: bytes | None, double: bool = False) -> bytes | None:
+    """The stored form's audio as a 16-bit PCM file of half (or twice) its rate; None for an unknown form."""
+    found = decode(media)
+    if found is None:
+        return None
+    rate, pcm = found
+    return wav(double_rate(pcm).tobytes(), PCM, 2 * rate) if double else wav(halve_rate(pcm).tobytes(), PCM, rate // 2)
+
+
+def transcode(df: DataFrame, key: str, media: str, double: bool = False) -> DataFrame:
+    """key and `pcm`, the stored form decoded and resampled to half (or twice) its rate, as a 16-bit PCM file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _groups(_sizes(batch.column(1))):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                out = [pcm_form(x.as_py(), double) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["key", "pcm"])
+
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media"))
-    return rows.mapInArrow(_transcode, f"key {kind}, pcm binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, pcm binary").withColumnRenamed("key", key)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, sizes = [], []
-        for data in batch.column(1):
-            data = data.as_py() or b""
-            sizes.append(len(data))
-            out.append(wav(data + bytes(-len(data) % BLOCK if data else BLOCK), MULAW))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["key", "n_bytes", "media"])
+        for rows in _groups(_sizes(batch.column(1))):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            payloads = [x.as_py() or b"" for x in part.column(1)]
+            media = [wav(x + bytes(-len(x) % BLOCK if x else BLOCK), MULAW) for x in payloads]
+            columns = [part.column(0), pa.array(map(len, payloads), pa.int64()), pa.array(media, pa.binary()), pa.array(map(pcm_form, media), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "media", "pcm"])
 
 
 def store(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, n_bytes and `media`: the payload, filled with zero bytes to a positive multiple of 64, as mu-law WAV."""
+    """key, n_bytes, `media` (the payload, filled with zero bytes to a positive multiple of 64, as mu-law WAV) and `pcm`
+    (what it decodes to at half the rate, as PCM WAV), written to the shared folder."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload"))
-    return rows.mapInArrow(_store, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
+    return materialize(rows.mapInArrow(_store, f"key {kind}, n_bytes long, media binary, pcm binary").withColumnRenamed("key", key), "media", "zstd")
 
 
-def _pieces(raw: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-    """Per 64-byte block of the batch's payloads: sums and peaks, a fixed number of samples at a time.
-
-    Columns: mu-law energy, peak and sign changes; energy of the resampled half samples; A-law energy; ADPCM energy.
-    """
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[ends] = True  # a payload begins here
-    edge[0] = True
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Per 64-byte block of payloads: mu-law energy, peak and sign changes within it, A-law energy, ADPCM energy."""
     for s in range(0, len(raw), PIECE):
-        e = min(s + PIECE, len(raw))
-        data = raw[s:e]
-        around = np.concatenate([raw[max(s - 1, 0) : s] if s else raw[:1], data, raw[e : e + 2], raw[-1:], raw[-1:]])[: e - s + 3]
-        x = MU[around].astype(np.int32)
-        x0, x1, x2, x3 = x[:-3].copy(), x[1:-2], x[2:-1].copy(), x[3:].copy()
-        first, last = np.flatnonzero(edge[s:e]), np.flatnonzero(edge[s + 1 : e + 1])
-        x0[first] = x1[first]
-        x2[last] = x3[last] = x1[last]
-        near = last[last > 0] - 1
-        x3[near] = x2[near]
-        if e == len(raw) or not edge[e]:  # the sample before a payload that ends just after this piece
-            if e + 1 <= len(raw) and edge[e + 1 if e + 1 <= len(raw) else e] and e < len(raw):
-                x3[-1] = x2[-1]
-        half = _between(x0, x1, x2, x3)
-        blocks = x1.reshape(-1, BLOCK)
-        change = ((x1 < 0) != (x2 < 0)).reshape(-1, BLOCK)
-        adpcm = ima_decode(data.reshape(-1, BLOCK)).astype(np.int64)
-        law = A[data].astype(np.int64).reshape(-1, BLOCK)
-        wide, halves = blocks.astype(np.int64), half.astype(np.int64).reshape(-1, BLOCK)
-        yield np.stack(
-            [
-                np.einsum("ij,ij->i", wide, wide),
-                np.abs(blocks).max(1),
-                change.sum(1),
-                np.einsum("ij,ij->i", halves, halves),
-                np.einsum("ij,ij->i", law, law),
-                np.einsum("ij,ij->i", adpcm, adpcm),
-            ]
-        )
+        data = raw[s : s + PIECE].reshape(-1, BLOCK)
+        x = MU[data].astype(np.int64)
+        law = A[data].astype(np.int64)
+        adpcm = ima_decode(data).astype(np.int64)
+        energy = lambda v: np.einsum("ij,ij->i", v, v)
+        yield np.stack([energy(x), np.abs(x).max(1), ((x[:, 1:] < 0) != (x[:, :-1] < 0)).sum(1), energy(law), energy(adpcm)])
 
 
-def features(payloads: list[memoryview]) -> list[str]:
-    """Features of payloads (each a positive multiple of 64 bytes) in whole numbers, so that equal bytes agree."""
+def features(payloads: list[memoryview], resampled: list[np.ndarray]) -> list[str]:
+    """Features of payloads (each a positive multiple of 64 bytes) and of their resampled PCM in whole numbers, so that equal bytes agree."""
     sizes = np.array([len(p) for p in payloads])
-    raw = np.frombuffer(b"".join(payloads), np.uint8)
-    ends = np.cumsum(sizes)
-    found = np.concatenate(list(_pieces(raw, ends)), axis=1)
-    starts = (ends - sizes) // BLOCK
+    found = np.concatenate(list(_pieces(np.frombuffer(b"".join(payloads), np.uint8))), axis=1)
+    starts = (np.cumsum(sizes) - sizes) // BLOCK
     sums, peaks = np.add.reduceat(found, starts, axis=1), np.maximum.reduceat(found[1], starts)
     rms = lambda total, n: np.sqrt(total / n).astype(np.int64)
-    mu, half, law = rms(sums[0], sizes), rms(sums[3], sizes), rms(sums[4], sizes)
-    ima = rms(sums[5], sizes // BLOCK * (1 + 2 * (BLOCK - 4)))
-    return [f"mulaw:{a}:{p}:{z};half:{h};alaw:{b};adpcm:{c}" for a, p, z, h, b, c in zip(mu, peaks, sums[2], half, law, ima, strict=True)]
+    mu, law = rms(sums[0], sizes), rms(sums[3], sizes)
+    ima = rms(sums[4], sizes // BLOCK * (1 + 2 * (BLOCK - 4)))
+    wide = [x.astype(np.int64) for x in resampled]
+    low = [int(np.sqrt((x * x).sum() / len(x))) for x in wide]
+    return [f"mulaw:{a}:{p}:{z};pcm:{r}:{np.abs(x).max()};alaw:{b};adpcm:{c}" for a, p, z, r, x, b, c in zip(mu, peaks, sums[2], low, wide, law, ima, strict=True)]
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
     for batch in batches:
-        media = [x.as_py() for x in batch.column(2)]
-        if not media:
-            continue
-        payloads = [unwav(x)[3] for x in media]
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        columns = [
-            batch.column(0),
-            batch.column(1),
-            pa.array([len(x) for x in payloads], pa.int64()),
-            pa.array([sha(x) for x in payloads]),
-            pa.array([zlib.crc32(x[-BLOCK:]) for x in payloads], pa.int64()),
-            pa.array([len(x) for x in media], pa.int64()),
-            pa.array([sha(x) for x in media]),
-            pa.array(features(payloads)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for rows in _groups(_sizes(batch.column(2))):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            media, pcm = ([x.as_py() for x in part.column(i)] for i in (2, 3))
+            payloads = [unwav(x)[3] for x in media]
+            columns = [
+                part.column(0),
+                part.column(1),
+                pa.array([len(x) for x in payloads], pa.int64()),
+                pa.array([sha(x) for x in payloads]),
+                pa.array([zlib.crc32(x[-BLOCK:]) for x in payloads], pa.int64()),
+                pa.array([len(x) for x in media], pa.int64()),
+                pa.array([sha(x) for x in media]),
+                pa.array(features(payloads, [decode(x)[1] for x in pcm])),
+                pa.array([len(x) for x in pcm], pa.int64()),
+                pa.array([sha(x) for x in pcm]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"])
 
 
 def read_back(df: DataFrame, key: str) -> DataFrame:
     """Digests and features of what `store` wrote, from the stored bytes."""
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    rows = df.select(F.col(key).alias("key"), "n_bytes", "media")
+    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+    rows = df.select(F.col(key).alias("key"), "n_bytes", "media", "pcm")
     return rows.mapInArrow(_read_back, schema).withColumnRenamed("key", key)
 
 
