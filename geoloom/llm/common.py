@@ -32,16 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Cuts the lineage with files that survive a lost executor, lets several branches read one computation, and gives
-    the planner a measured size, so that it broadcasts only what is known to be small.
+    the planner a measured size, so that it broadcasts only what is known to be small. options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geoloom/{tag}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

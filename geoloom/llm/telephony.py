@@ -30,6 +30,8 @@ BLOCK = 64
 HELD = 1 << 21  # bytes of payloads worked on at a time
 PIECE = 1 << 18  # samples expanded at a time
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
+#: Options of the written media: audio is large and read once, so it is packed well, in pages that hold many rows.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 # Fixed values of the IMA ADPCM format: the step sizes and the index steps of the eight magnitudes.
 IMA_STEPS = [
@@ -241,7 +243,7 @@ def store(df: DataFrame, key: str, payload: str) -> DataFrame:
     (what it decodes to at half the rate, as PCM WAV), written to the shared folder."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload"))
-    return materialize(rows.mapInArrow(_store, f"key {kind}, n_bytes long, media binary, pcm binary").withColumnRenamed("key", key), "media", "zstd")
+    return materialize(rows.mapInArrow(_store, f"key {kind}, n_bytes long, media binary, pcm binary").withColumnRenamed("key", key), "media", **PACKED)
 
 
 def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
