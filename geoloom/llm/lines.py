@@ -1,26 +1,29 @@
 """Line dedup: exact copies by hash, near copies by a deletion-neighbourhood join; the earliest line stays.
 
-Two lines are near if one edit (a sign replaced, inserted or deleted) turns one into the other; two lines
-of fewer than `LEAST` signs are compared exactly. A line goes if an equal or near line stands before it, in the order of document id,
-text hash and line number, whether or not that one stays itself. So the result depends on no order of execution.
-
-Deletion neighbourhood: lines that differ by a replaced sign agree once that sign is deleted from both; lines that
-differ by an inserted sign agree once it is deleted from the longer. Variants are hashed together with the place of the
-deletion (replacement) or joined with the whole shorter line (insertion), so equal keys mean one edit exactly, and a
-line need only be held against the earliest of its key: groups are reduced to their minimum, pairs are never listed.
-The edit distance of each match is verified on the texts.
-
-Emitting all variants of every line would cost the square of its length, so two filters by hash joins come first. Both
-are exact: near lines share a first or a last part of a length that depends on the line's length only (`_half`), and
-they agree outside one block of a grid of blocks whose width depends on it too. Variants are emitted only for blocks
-outside of which another line agrees, and are hashed with the hash of what is outside.
-
-Only ids, line numbers and hashes are shuffled for all lines; texts are shuffled once to pick the lines that pass the
-first filter and once to rebuild the documents.
+Two lines are near if at most `edits` edits (a sign replaced, inserted or deleted) turn one into the other, whatever
+their length. A line goes if an equal or near line stands before it, in the order of document id, text hash and line
+number, whether or not that one stays itself. So the result depends on no order of execution.
+
+Deletion neighbourhood: two lines are within k edits if and only if, for some a + b + s <= k, deleting a signs from one
+and b from the other makes them equal but for s places. So a line emits, for all a + s <= k, the hash of each of its
+forms with a signs deleted and s places left open, with these places. Equal keys with a + b + s <= k mean near lines,
+and a line need only be held against the earliest of its key for each b: groups are reduced to their minimum, pairs
+are never listed. The edit distance of each match is verified on the texts.
+
+Emitting all forms of a line costs the square of its length (for one edit). Lines of up to `LEAST` signs do just that, and all
+lines do for other bounds. For one edit, lines of LEAST signs or more pass two exact filters by hash joins first: near
+lines share a first or a last part of a length that depends on the line's length only (`_half`), and they agree outside
+one block of a grid of blocks whose width depends on it too. Forms are emitted only for blocks outside of which another
+line agrees, and are hashed with the hash of what is outside. (Lengths that differ by one lie on one side of LEAST or
+take the first way both, since a line of LEAST signs goes both ways.)
+
+Only ids, line numbers, hashes and short lines are shuffled for all lines; texts are shuffled once to pick the lines
+that pass the first filter and once to rebuild the documents.
 
 Defined cases: lines are compared without spaces, tabs and carriage returns at their ends; blank lines always stay; a
 null text has no lines and stays null; a text that loses no line stays as it is; rows that repeat an id and a text are
-one document and get the same result; null ids come first; an empty table gives an empty table.
+one document and get the same result; null ids come first; an empty table gives an empty table; a column of the input
+named __lines or __gone gives way to the result's.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import materialize, table
 
-LEAST = 20
+LEAST = 20  # signs from which the filters are used; the result does not depend on it
+OPEN = "\x00"
 ENDS = " \t\r"
 
 
@@ -62,7 +66,7 @@ def _end_keys(line: Column) -> Column:
         return [F.xxhash64(F.lit("first"), half, F.left(line, half)), F.xxhash64(F.lit("last"), half, F.right(line, half))]
 
     both = F.array(*keys(_half(n)), *keys(_half(n + 1)))
-    return F.when(n < LEAST - 1, F.array().cast("array<bigint>")).when(_half(n) == _half(n + 1), F.array(*keys(_half(n)))).otherwise(both)
+    return F.when(n < LEAST, F.array().cast("array<bigint>")).when(_half(n) == _half(n + 1), F.array(*keys(_half(n)))).otherwise(both)
 
 
 def _blocks(line: Column) -> Column:
@@ -92,25 +96,45 @@ def _blocks(line: Column) -> Column:
     return F.concat(role(0, own), role(1, own), F.when(own == longer, F.slice(role(0, own), 1, 0)).otherwise(role(0, longer)))
 
 
-def _variants() -> Column:
-    """Keys of a block's deletion variants with the role that each has for the match.
+def _form(deleted: int, opened: int, *parts) -> Column:
+    return F.struct(F.lit(deleted).alias("deleted"), F.lit(opened).alias("opened"), F.xxhash64(F.lit(opened), *parts).alias("key"))
 
-    'same': equal keys mean one replaced sign at most. 'short' and 'long' with equal keys mean one inserted sign.
-    """
-    block, outside = F.col("block"), F.col("outside")
 
-    def cut(i: Column) -> Column:
-        return F.concat(F.substr(block, F.lit(1), i), F.substr(block, i + 2, F.length(block)))
+def _places(text: Column, first: Column | int = 1) -> Column:
+    """The numbers of a text's signs, from `first` on."""
+    first, last = (first if isinstance(first, Column) else F.lit(first)), F.length(text)
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
 
-    places = F.sequence(F.lit(0), F.greatest(F.length(block) - 1, F.lit(0)))
-    same = F.transform(places, lambda i: F.struct(F.lit("same").alias("kind"), F.xxhash64(F.lit("same"), outside, F.col("length"), i, cut(i)).alias("key")))
-    short = F.array(F.struct(F.lit("short").alias("kind"), F.xxhash64(F.lit("more"), outside, block).alias("key")))
-    long = F.transform(places, lambda i: F.struct(F.lit("long").alias("kind"), F.xxhash64(F.lit("more"), outside, cut(i)).alias("key")))
-    return F.when(F.col("role") == 0, F.concat(short, F.when((F.length(block) > 0) & (F.col("length") >= LEAST), same).otherwise(F.slice(short, 1, 0)))).otherwise(long)
+def _cut(text: Column, i: Column, put: str = "") -> Column:
+    return F.concat(F.substr(text, F.lit(1), i - 1), F.lit(put), F.substr(text, i + 1, F.length(text)))
 
 
-def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Positions of lines with an earlier near line. lines: doc_id, text_hash, n, h, h2, ends of all lines that are not blank."""
+def _forms_of_block() -> Column:
+    """For one edit: the forms of a block, hashed with what is outside; of role 0 as it is or with a place open, of role 1 with a sign deleted."""
+    block, outside = F.col("block"), F.col("outside")
+    whole = F.array(_form(0, 0, outside, block))
+    opened = F.transform(_places(block), lambda i: _form(0, 1, outside, F.col("length"), i, _cut(block, i)))
+    return F.when(F.col("role") == 0, F.concat(whole, opened)).otherwise(F.transform(_places(block), lambda i: _form(1, 0, outside, _cut(block, i))))
+
+
+def _forms_of_line(line: Column, edits: int) -> Column:
+    """All forms of a line with up to `edits` signs deleted and places open together."""
+    texts, made = F.array(line), []
+    for deleted in range(edits + 1):
+        if deleted:
+            texts = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.transform(_places(t), lambda i: _cut(t, i)))))
+        opened = F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(0).alias("last"), F.lit("").alias("at")))
+        made.append(F.transform(opened, lambda x: _form(deleted, 0, x["t"], x["at"])))
+        for n in range(1, edits - deleted + 1):
+            step = lambda x: F.transform(_places(x["t"], x["last"] + 1), lambda i: F.struct(_cut(x["t"], i, OPEN).alias("t"), i.alias("last"), F.concat_ws(",", x["at"], i).alias("at")))
+            opened = F.flatten(F.transform(opened, step))
+            made.append(F.transform(opened, lambda x: _form(deleted, n, x["t"], x["at"])))
+    return F.concat(*made)
+
+
+def _passed(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """at, line: the distinct lines of LEAST signs or more that share an end with another, at their first place."""
     ends = lines.select("doc_id", "text_hash", "n", "h", F.explode("ends").alias("end"))
     shared = materialize(ends.groupBy("end").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("end"), "line-ends")
     passed = ends.join(shared, "end", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("ns"))
@@ -119,46 +143,66 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
     parts = F.split("text", "\n", -1)
     picked = picked.select("doc_id", "text_hash", F.explode(F.transform("ns", lambda i: F.struct(i.alias("n"), F.trim(F.get(parts, i), F.lit(ENDS)).alias("line")))).alias("x"))
-    picked = picked.select("doc_id", "text_hash", "x.n", "x.line")
-    one = picked.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2")).agg(F.min(_at()).alias("at"), F.first("line").alias("line"))
-    kept = materialize(one, "line-classes")  # one row for each distinct line that passed, at its first place
-    blocks = kept.select("at", "h", F.length("line").alias("length"), F.explode(_blocks(F.col("line"))).alias("x")).select("at", "h", "length", "x.*")
-    agree = blocks.groupBy("outside").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("outside")
-    agree = materialize(agree, "line-blocks")
-    keys = blocks.join(agree, "outside", "left_semi").select("at", F.explode(_variants()).alias("x")).select("at", "x.kind", "x.key")
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
-    groups = keys.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), first("same").alias("same"), first("short").alias("short"), first("long").alias("long"))
-    groups = materialize(groups.where("low <> high").select("key", "same", "short", "long"), "line-variants")
-    earlier = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "short", F.col("long")).otherwise(F.col("short"))
+    return _classes(picked.select("doc_id", "text_hash", "x.n", "x.line"))
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """at, line: each distinct line at its first place."""
+    return lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2")).agg(F.min(_at()).alias("at"), F.first("line").alias("line")).select("at", "line")
+
+
+def _near(docs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Positions of lines with an earlier near line. lines: doc_id, text_hash, n, h, h2, short, ends of all lines that are not blank."""
+    short = materialize(_classes(lines.where("short is not null").select("doc_id", "text_hash", "n", F.col("short").alias("line"))), "line-classes")
+    keys, classes = short.select("at", F.explode(_forms_of_line(F.col("line"), edits)).alias("x")), short
+    if edits == 1:
+        # Few bytes become many: dealt over all cores before they do.
+        many = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.sparkSession.sparkContext.defaultParallelism)
+        long = materialize(_passed(docs, lines), "line-classes")
+        blocks = long.repartition(many, "at").select("at", F.xxhash64("line").alias("h"), F.length("line").alias("length"), F.explode(_blocks(F.col("line"))).alias("x"))
+        blocks = materialize(blocks.select("at", "h", "length", "x.*"), "line-blocks")
+        agree = blocks.groupBy("outside").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("outside")
+        blocks = blocks.join(materialize(agree, "line-outsides"), "outside", "left_semi")
+        keys = keys.unionByName(blocks.select("at", F.explode(_forms_of_block()).alias("x")))
+        classes = short.unionByName(long.where(F.length("line") > LEAST))
+    keys = materialize(keys.select("at", "x.*"), "line-forms")
+    first = [F.min(F.when(F.col("deleted") == b, F.col("at"))).alias(f"first{b}") for b in range(edits + 1)]
+    groups = keys.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), *first).where("low <> high").drop("low", "high")
+    groups = materialize(groups, "line-groups")
+    allowed = edits - F.col("deleted") - F.col("opened")
+    earlier = F.array_min(F.array(*[F.when(allowed >= b, F.col(f"first{b}")) for b in range(edits + 1)]))  # nulls are left out
     found = keys.join(groups, "key").select("at", earlier.alias("other")).where("other < at").distinct()
-    lined = kept.select("at", "line")
-    found = found.join(lined, "at").join(lined.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
-    return found.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("at").distinct().select("at.*")
+    other = classes.select(F.col("at").alias("other"), F.col("line").alias("other_line"))
+    found = materialize(found, "line-pairs").join(classes, "at").join(other, "other")
+    return found.where(F.levenshtein("line", "other_line", edits).between(0, edits)).select("at").distinct().select("at.*")
 
 
-def removals(df: DataFrame, near: bool = True) -> DataFrame:
+def removals(df: DataFrame, edits: int = 1) -> DataFrame:
     """doc_id, text_hash and `gone`, the numbers of the lines to remove, of rows (doc_id, text)."""
     docs = df.select("doc_id", "text")
-    lines = _lines(docs).select("doc_id", "text_hash", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"), _end_keys(F.col("line")).alias("ends"))
+    short = F.when((F.length("line") <= LEAST) | F.lit(edits > 1), F.col("line"))
+    ends = _end_keys(F.col("line")) if edits == 1 else F.array().cast("array<bigint>")
+    lines = _lines(docs).select("doc_id", "text_hash", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"), short.alias("short"), ends.alias("ends"))
     lines = materialize(lines, "lines")
     copies = lines.groupBy("h", "h2").agg(F.min(_at()).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "h2", "first")
-    gone = lines.join(copies, ["h", "h2"]).where(_at() > F.col("first")).select("doc_id", "text_hash", "n")
-    if near:
-        gone = gone.unionByName(_near(docs, lines))
+    # Written first, so that the join deals the lines by its own exchange, which adaptive execution splits at a hot line.
+    gone = lines.join(materialize(copies, "line-copies"), ["h", "h2"]).where(_at() > F.col("first")).select("doc_id", "text_hash", "n")
+    if edits:
+        gone = gone.unionByName(_near(docs, lines, edits))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("gone"))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 1) -> DataFrame:
     """All columns of df, its text without the lines that repeat an earlier one, and __lines, __gone: how many it had and lost."""
-    gone = removals(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), near)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__set"))
-    joined = df.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__set", i)), "\n")
-    new = F.when(F.col("__set").isNull(), F.col(text)).otherwise(kept)
-    count = F.coalesce(F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long")
-    lost = F.when(F.col("__set").isNull(), 0).otherwise(F.size("__set")).cast("long")
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in df.columns], count.alias("__lines"), lost.alias("__gone"))
+    gone = removals(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), edits).alias("g")
+    own = lambda c: F.col(f"d.`{c}`")
+    joined = df.alias("d").join(gone, own(doc_id).eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(own(text)) == F.col("g.text_hash")), "left")
+    parts, lost = F.split(own(text), "\n", -1), F.col("g.gone")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(lost, i)), "\n")
+    new = F.when(lost.isNull(), own(text)).otherwise(kept)
+    count = F.coalesce(F.when(own(text).isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long")
+    left = [c for c in df.columns if c not in ("__lines", "__gone")]
+    return joined.select(*[(new if c == text else own(c)).alias(c) for c in left], count.alias("__lines"), F.when(lost.isNull(), 0).otherwise(F.size(lost)).cast("long").alias("__gone"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +212,11 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), kept.alias("kept_sha256"))
 
 
-SQL = """
+# DuckDB's levenshtein counts bytes, of which a sign has four at most: it only picks the pairs to compare by signs.
+_LESS = lambda t: f"substr({t}.line, 1, i - 1) || substr({t}.line, i + 1)"
+_NEAR = f"""levenshtein(a.line, b.line) <= 4 AND len(list_filter(range(1, greatest(a.size, b.size) + 1), lambda i: CASE WHEN a.size = b.size THEN {_LESS("a")} = {_LESS("b")}
+   WHEN a.size > b.size THEN {_LESS("a")} = b.line ELSE {_LESS("b")} = a.line END)) > 0"""
+SQL = f"""
 WITH parts AS (
   SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines,
          unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n
@@ -178,7 +226,7 @@ WITH parts AS (
 ), firsts AS (
   SELECT line, size, min(doc_id * 1000000 + n) AS pos FROM lines WHERE line <> '' GROUP BY ALL
 ), cut AS (
-  SELECT *, CAST(2 ** (floor(log2(size + 0.25)) - 1) AS INT) AS half, CAST(2 ** (floor(log2(size + 1.25)) - 1) AS INT) AS next FROM firsts WHERE size >= 19
+  SELECT *, CAST(2 ** (floor(log2(size + 0.25)) - 1) AS INT) AS half, CAST(2 ** (floor(log2(size + 1.25)) - 1) AS INT) AS next FROM firsts WHERE size >= 20
 ), ends AS (
   SELECT line, size, pos, 'first' AS side, half, substr(line, 1, half) AS part FROM cut
   UNION ALL SELECT line, size, pos, 'last', half, substr(line, size - half + 1) FROM cut
@@ -187,7 +235,9 @@ WITH parts AS (
 ), near AS (
   SELECT DISTINCT b.pos FROM ends a JOIN ends b ON a.side = b.side AND a.half = b.half AND a.part = b.part
    AND a.pos < b.pos AND abs(a.size - b.size) <= 1
-  WHERE greatest(a.size, b.size) >= 20 AND levenshtein(a.line, b.line) <= 1
+  WHERE {_NEAR}
+  UNION SELECT DISTINCT b.pos FROM firsts a JOIN firsts b ON a.size <= 20 AND b.size <= 20 AND a.pos < b.pos AND abs(a.size - b.size) <= 1
+  WHERE {_NEAR}
 ), judged AS (
   SELECT l.*, l.line <> '' AND (l.doc_id * 1000000 + l.n > f.pos OR n.pos IS NOT NULL) AS gone
   FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON n.pos = l.doc_id * 1000000 + l.n

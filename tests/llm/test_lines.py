@@ -6,29 +6,32 @@ from cases import ODD, odd
 from geoloom.llm import lines as L
 
 
-def _edits(a, b):
-    """Whether one edit at most turns a into b."""
-    if abs(len(a) - len(b)) > 1:
+def _edits(a, b, most):
+    """Whether so many edits at most turn a into b."""
+    if abs(len(a) - len(b)) > most:
         return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
-    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
 
 
-def _slow(docs):
+def _slow(docs, edits=1):
     """docs: (id, text) with distinct ids, in order. The texts that stay."""
     before, out = [], []
     for _, text in docs:
         kept = []
         for raw in (text or "").split("\n"):
             line = raw.strip(" \t\r")
-            if line and any(line == x or (min(len(line), len(x)) >= L.LEAST - 1 and max(len(line), len(x)) >= L.LEAST and _edits(line, x)) for x in before):
-                before.append(line)
-                continue
+            gone = line and any(_edits(line, x, edits) for x in before)
             if line:
                 before.append(line)
-            kept.append(raw)
+            if not gone:
+                kept.append(raw)
         out.append("\n".join(kept) if text is not None else None)
     return out
 
@@ -50,6 +53,23 @@ def _random_docs(seed):
     return docs
 
 
+def test_short_lines_and_other_bounds_against_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab\x00") for _ in range(rng.randint(1, 8)))
+    near = lambda n: "".join(rng.choice("ab") if rng.random() < 0.08 else "ab"[i % 2] for i in range(n))
+    docs = [(i, "\n".join([word(), near(rng.choice([19, 20, 21, 22]))])) for i in range(60)]
+    for edits in (1, 2, 3):
+        some = docs if edits < 3 else [(i, t.split("\n")[0]) for i, t in docs]
+        got = {r.doc_id: r.text for r in L.dedup_lines(odd(spark, some), edits=edits).collect()}
+        assert [got[i] for i, _ in some] == _slow(some, edits)
+
+
+def test_names_that_clash(spark):
+    df = odd(spark, [(1, "one line"), (2, "one line\nmore")]).selectExpr("*", "7L as __gone", "8 as __lines", "9 as __set", "1 as gone", "2 as text_hash")
+    rows = {r.doc_id: r for r in L.dedup_lines(df).collect()}
+    assert (rows[2].text, rows[2]["__gone"], rows[2]["__set"], rows[2].gone, rows[2].text_hash) == ("more", 1, 9, 1, 2)
+
+
 def test_near_lines_against_all_pairs(spark):
     for seed in (1, 2):
         docs = _random_docs(seed)
@@ -70,7 +90,7 @@ def test_odd_rows(spark):
 
 def test_one_hot_line_and_exact_only(spark):
     docs = [(i, f"the same long line in every document\nown line number {i} {'x' * (i % 7)}") for i in range(500)]
-    rows = L.dedup_lines(odd(spark, docs), near=False).collect()
+    rows = L.dedup_lines(odd(spark, docs), edits=0).collect()
     assert sum(r["__gone"] for r in rows) == 499
     near = sorted(L.dedup_lines(odd(spark, docs)).collect(), key=lambda r: r.doc_id)
     assert [r.text for r in near] == _slow(docs)
