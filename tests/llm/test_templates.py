@@ -1,4 +1,3 @@
-import numpy as np
 from cases import odd
 
 from geoloom.llm import templates as T
@@ -17,10 +16,12 @@ def _found(spark, docs, items=((7, ITEM), (8, OTHER))):
 
 
 def test_canonical_tokens():
-    c = T.Canonical()
-    hashes, slots = c.tokens("He saw Alice walk 3.5 km to Alice. Then 1,200 people left.")
-    assert slots == {2: (T.NAME, "alice"), 4: (T.NUM, "3.5"), 5: (T.UNIT, "km"), 7: (T.NAME, "alice"), 9: (T.NUM, "1200")}
-    assert hashes[2] == hashes[7] == c.marks[T.NAME] and len(hashes) == 12
+    g = T.Group(T.Tokens(), ["", "He saw Alice walk 3.5 km to Alice. Then 1,200 people left.", "a b"])
+    one = [(int(g.at[i]), x) for i in range(12) for x in g.slots(0, i, i + 1)]
+    assert one == [(2, "<name>alice"), (4, "<num>3.5"), (5, "<unit>km"), (7, "<name>alice"), (9, "<num>1200")]
+    assert g.slots(1, 0, 12) == ["<name>he", "<name>alice", "<num>3.5", "<unit>km", "<name>alice", "<name>then", "<num>1200"]
+    assert g.slots(2, 0, 12) == ["<num>3.5", "<unit>km", "<num>1200"]
+    assert g.form(0)[2] == g.form(0)[7] == T.MARKS[T.NAME] and g.text.tolist() == [1] * 12 + [2] * 2
 
 
 def test_verbatim_and_reparameterised_questions(spark):
@@ -56,43 +57,92 @@ def test_odd_rows(spark):
     assert T.decontaminate(docs, items).count() == odd(spark).count()
 
 
-def _slow(texts, items):
-    """The definition, plainly: windows, readings by diagonal, one-to-one slots, cover."""
-    ordinary = _ordinary([t for _, t in items])
-    c = T.Canonical(ordinary)
+def _forms(text):
+    """The canonical tokens of a text in its three forms, and (placeholder, value) by place; by words, plainly."""
+    found, kinds = T.TOKEN.findall(text), []
+    for t in found:
+        kinds.append("stop" if t in T.STOPS else "num" if t[0].isdigit() else "cap" if len(t) > 1 and t[0].isupper() and t[1:].islower() else "word")
+    mid = {t.lower() for i, (t, k) in enumerate(zip(found, kinds)) if k == "cap" and i and kinds[i - 1] != "stop"}
+    names = mid - {t.lower() for t, k in zip(found, kinds) if k == "word"}
     out = []
+    for form in range(3):
+        tokens, slots = [], {}
+        for i, (t, k) in enumerate(zip(found, kinds)):
+            low = t.replace(",", "") if k == "num" else t.lower()
+            if k == "stop":
+                continue
+            mark = T.NUM if k == "num" else None
+            if k != "num" and i and kinds[i - 1] == "num" and low in T.UNITS:
+                mark = T.UNIT
+            elif k == "cap" and (form == 1 or form == 0 and low in names):
+                mark = T.NAME
+            if mark:
+                slots[len(tokens)] = mark + low
+            tokens.append(mark or low)
+        out.append((tokens, slots))
+    return out
+
+
+def _cuts(tokens, slots, a, b):
+    """Whole template of a part, with its slots."""
+    return (tuple(tokens[a:b]), a, [slots[i] for i in range(a, b) if i in slots])
+
+
+def _windows(tokens, slots):
+    some = range(len(tokens) - T.WORDS + 1)
+    return [_cuts(tokens, slots, i, i + T.WORDS) for i in some if sum(j in slots for j in range(i, i + T.WORDS)) <= T.WORDS - T.LITERALS]
+
+
+def _slow(texts, items):
+    """The definition, plainly: forms, windows, readings by diagonal, one-to-one slots, cover."""
+    out = set()
     for i, text in texts:
-        hashes, at, slots = c.windows(text or "")
+        text = text or ""
+        seen = [x for f in _forms(text) for x in _windows(*f)]
+        ends = [0]
+        for line in text.split("\n"):
+            ends.append(ends[-1] + sum(t not in T.STOPS for t in T.TOKEN.findall(line)))
+        whole = [_cuts(*f, a, b) for f in _forms(text) for a, b in {*zip(ends, ends[1:]), (0, ends[-1])} if b > a]
         for j, question in items:
-            own, places, mine = c.windows(question)
-            if not len(own):
-                continue
-            readings = {}
-            for h, a in zip(hashes.tolist(), at.tolist()):
-                for g, p in zip(own.tolist(), places.tolist()):
-                    if g == h:
-                        got = readings.setdefault(a - p, (set(), set()))
-                        got[0].add(h)
-                        got[1].update(zip(T._slots(mine, p), T._slots(slots, a)))
-            covered = set()
-            for seen, pairs in readings.values():
-                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
-                    covered |= seen
-            if len(covered) >= T.COVER * len(set(own.tolist())):
-                out.append((i, j))
+            for form in _forms(question):
+                mine, theirs = _windows(*form), seen
+                if not mine and form[0]:
+                    mine, theirs = [_cuts(*form, 0, len(form[0]))], whole
+                readings = {}
+                for g, p, x in mine:
+                    for h, a, y in theirs:
+                        if g == h:
+                            got = readings.setdefault(a - p, (set(), set()))
+                            got[0].add(h)
+                            got[1].update(zip(x, y, strict=True))
+                covered = set()
+                for hit, pairs in readings.values():
+                    if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                        covered |= hit
+                if mine and len(covered) >= T.COVER * len({g for g, *_ in mine}):
+                    out.add((i, j))
     return sorted(out)
 
 
-def _ordinary(texts):
-    lower, initial, mid = set(), set(), set()
-    for t in texts:
-        before = "."
-        for w in T.TOKEN.findall(t):
-            if w not in T.STOPS and not w[0].isdigit():
-                cap = len(w) > 1 and w[0].isupper() and w[1:].islower()
-                (lower if not cap else initial if before in T.STOPS else mid).add(w.lower())
-            before = w
-    return frozenset(lower | (initial - mid))
+def test_short_items_and_shared_windows(spark):
+    items = [(1, "Yes, Bob has 3"), (2, "7 of 9 is 3"), (3, "too short"), (4, "one\ntwo"), *((10 + i, f"which of the following statements is true about topic{chr(97 + i % 26) * (1 + i // 26)} in the big wide world") for i in range(40))]
+    docs = [(1, "Some text.\nYes, Tom has 5!\nand more"), (2, "Some text. Yes, Tom has 5"), (3, "6 of 8 is 1"), (4, "6 of 8 is 6"), (5, "too short"), (6, "not too short"), (7, "one\ntwo"), (8, "one\ntwo\n3")]
+    docs += [(20 + i, "Well, which of the following statements is true about topic%s in the big wide world" % "abc"[i]) for i in range(3)] + [(30, "which of the following statements is true about nothing")]
+    got = _found(spark, docs, items)
+    assert got == _slow(docs, items) and {(1, 1), (3, 2), (5, 3), (7, 4), (20, 10), (21, 11), (22, 12)} == set(got)
+
+
+def test_groups_do_not_matter(spark, monkeypatch):
+    docs = [(i, f"A word{i} other. " * 9 + (ITEM if i % 3 == 0 else "Short one.")) for i in range(12)]
+    want = _found(spark, docs)
+    for size in (0, 100, 1000):
+        parts, tokens = [], T.Tokens()
+        monkeypatch.setattr(T, "GROUP", size)
+        monkeypatch.setattr(T, "CACHE", size)
+        assert _found(spark, docs) == want == [(i, 7) for i in range(0, 12, 3)]
+        parts.append(T.Group(tokens, [t for _, t in docs]).windows(0)[0])
+    alone = [T.Group(T.Tokens(), [t]).windows(0)[0].tolist() for _, t in docs]
+    assert parts[0].tolist() == [h for x in alone for h in x]
 
 
 def test_query_against_plain_python(spark, sf_small):
@@ -105,8 +155,8 @@ def test_query_against_plain_python(spark, sf_small):
 
 
 def test_windows_do_not_wrap():
-    assert [len(x) for x in T.Canonical().windows("one two three four")[:2]] == [0, 0]
-    assert np.array_equal(T.Canonical().windows("a b c d e f")[1], [0, 1])
+    g = T.Group(T.Tokens(), ["one two three four", "a b c d e f", "", "g h i"])
+    assert [int(x) for x in g.at[g.windows(2)[1]]] == [0, 1] and g.text[g.windows(2)[1]].tolist() == [1, 1]
 
 
 def test_names_do_not_depend_on_the_rest_of_the_document(spark):
