@@ -16,7 +16,9 @@ A byte goes if a string of `LENGTH` bytes that covers it starts anywhere else to
 4. Windows that repeat are gathered per document as ranges and cut out of its bytes.
 
 A minimizer that more than `HOT` distinct segments share is dealt out further by the least hashes of a window in two
-other orders of the hashes, which equal windows share too.
+other orders of the hashes, which equal windows share too. So a worker holds at most `VAST` segments of one key. The
+windows of a minimizer that more distinct segments share (a passage of hardly more than LENGTH bytes with ever other
+neighbours) are not sorted but counted by a hash of 128 bits, with partial sums, so that none of its groups need meet.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; repeated rows are occurrences like
 any other, so both lose what they share; rows with a null id are told apart by their text; an empty table gives an
@@ -198,7 +200,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int = LENGTH) -
         differ = words[a[live] + d] ^ words[b[live] + d]
         ended = differ != 0
         if ended.any():
-            same = 7 - (np.floor(np.log2((differ[ended] >> np.uint64(1)).astype(np.float64) * 2 + 1)) // 8).astype(np.int64)
+            same = sum((differ[ended] >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8))
             out[live[ended]] = np.minimum(d + same, depth)
             live = live[~ended]
         if not len(live):
@@ -286,6 +288,23 @@ def _cut(length: int, gram: int):
     return run
 
 
+def _window_hashes(length: int):
+    """The windows of the chosen segments of each document, each by a hash of 128 bits."""
+    digest = xxhash.xxh3_128_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = _bytes(batch.column(0)[i])
+                for x in batch.column(1)[i].as_py():
+                    a, n = x["first"], x["n"]
+                    halves = np.frombuffer(b"".join([digest(data[k : k + length]) for k in range(a, a + n)]), np.int64).reshape(-1, 2)
+                    columns = [pa.array([x[c]] * n, pa.int64()) for c in ("anchor", "same", "copies")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n, dtype=np.int32)), *(pa.array(h.copy()) for h in halves.T)], ["anchor", "same", "copies", "start", "w1", "w2"])
+
+    return run
+
+
 SEGMENT = [("anchor", pa.int64()), ("second", pa.int64()), ("same", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("data", pa.binary())]
 
 
@@ -359,6 +378,7 @@ def _removed(length: int):
 
 
 HOT = 512  # segments of one anchor beyond which it is dealt out further
+VAST = 1 << 16  # segments of one anchor beyond which its windows are counted by hash
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -370,21 +390,31 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     found = long.mapInArrow(_anchors(length, gram), f"kept {kind}, first int, n short, anchor long, same long").select("kept.*", "first", "n", "anchor", "same")
     found = materialize(found, "segments")
     # An anchor that occurs once has no repeat; equal segments are counted and kept once, at any one of their places.
-    twice = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # What is joined by anchor is written first: so the join has its own exchange, which adaptive execution splits at a hot one.
+    twice = materialize(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     # Grouping by a hash of both keys deals the counts anew, after a partial sum: a hot anchor's rows need not meet.
     chosen_at = F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")
     distinct = found.join(twice, "anchor").groupBy(F.xxhash64("anchor", "same").alias("both"), "same").agg(F.max("anchor").alias("anchor"), F.count("*").alias("copies"), chosen_at)
     distinct = distinct.select("anchor", "same", "copies", "at")
     distinct = materialize(distinct, "distinct-segments")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("anchor", F.lit(True).alias("hot"))
+    hot = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT), "hot-anchors")
     marked = distinct.join(hot, "anchor", "left")
-    one = F.struct("anchor", "same", F.col("at.first").alias("first"), F.col("at.n").alias("n"), "copies", F.coalesce("hot", F.lit(False)).alias("hot"))
-    chosen = marked.groupBy(F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash")).agg(F.collect_list(one).alias("chosen"))
     same_row = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    unique = rows.where("text is not null").join(chosen, same_row).select("text", "chosen")
-    cut = unique.mapInArrow(_cut(length, gram), "anchor long, second long, same long, offset int, n int, copies long, data binary")
+
+    def with_text(chosen: DataFrame) -> DataFrame:
+        """Text and chosen segments of the documents that hold them."""
+        one = F.struct("anchor", "same", F.col("at.first").alias("first"), F.col("at.n").alias("n"), "copies", F.col("kinds").isNotNull().alias("hot"))
+        chosen = chosen.groupBy(F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash")).agg(F.collect_list(one).alias("chosen"))
+        return rows.where("text is not null").join(chosen, same_row).select("text", "chosen")
+
+    cut = with_text(marked.where((F.col("kinds") <= VAST) | F.col("kinds").isNull())).mapInArrow(_cut(length, gram), "anchor long, second long, same long, offset int, n int, copies long, data binary")
     dealt = cut.repartition("anchor", "second").sortWithinPartitions("anchor", "second", "same", "offset")
     spans = dealt.mapInArrow(_sorted_runs(length), "anchor long, same long, start int, n int")
+    if not hot.where(F.col("kinds") > VAST).isEmpty():
+        windows = with_text(marked.where(F.col("kinds") > VAST)).mapInArrow(_window_hashes(length), "anchor long, same long, copies long, start int, w1 long, w2 long")
+        windows = materialize(windows, "windows")
+        many = materialize(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).where("times > 1").select("w1", "w2"), "window-counts")
+        spans = spans.unionByName(windows.join(many, ["w1", "w2"]).select("anchor", "same", "start", F.lit(1).alias("n")))
     spans = materialize(spans.groupBy("anchor", "same").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "segment-spans")
     placed = found.join(spans, ["anchor", "same"]).select("doc_id", "text_hash", F.explode(F.transform("spans", lambda x: F.struct((x["start"] + F.col("first")).alias("start"), x["n"].alias("n")))).alias("x"))
     gathered = placed.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("x").alias("spans"))

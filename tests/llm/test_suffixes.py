@@ -83,9 +83,30 @@ def test_segments_cover_every_window_once():
     assert n.max() <= 169
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 512), (2, 2), (3, 512)])
-def test_against_all_windows(spark, seed, hot, monkeypatch):
+def test_prefixes_of_any_difference():
+    for k in range(8):
+        for low in (0x00, 0x01, 0x7F, 0xFF):
+            a, b = bytes([9] * k + [1] + [0] * (15 - k)), bytes([9] * k + [low if low != 1 else 2] + [255] * (15 - k))
+            text = np.frombuffer(a + b"\0" + b + b"\0", np.uint8)
+            assert S.common_prefixes(S.packed(text, 16), np.array([0, 17]), 16).tolist() == [k]
+
+
+def test_passage_with_ever_other_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "VAST", 20)
+    rng = np.random.default_rng(4)
+    rand = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = rand(203)
+    texts = [rand(int(rng.integers(150, 400))) + passage[i % 3 :] + rand(int(rng.integers(150, 400))) for i in range(90)]
+    rows = S.repeats(odd(spark, list(enumerate(texts)))).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert [got[i] for i in range(len(texts))] == _slow(texts, 200) and all(got[i][1] >= 200 for i in got)
+
+
+@pytest.mark.parametrize(("seed", "hot", "vast"), [(1, 512, 1 << 16), (2, 2, 1 << 16), (3, 512, 1 << 16), (1, 2, 4)])
+def test_against_all_windows(spark, seed, hot, vast, monkeypatch):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "VAST", vast)
     monkeypatch.setattr(S, "RUN", 5000)
     texts = _texts(seed)
     texts += texts[:5] + ["one line that comes again\n" * 30, "ab" * 200, "x" * 900, None, ""]
