@@ -1,9 +1,14 @@
 """URL filter: fixed host rules first, else gradient-boosted trees on lexical features of the URL.
 
 The labelled URLs are those that a rule decides. Trees are fitted on the driver to a bounded sample of them
-(`MAX_ROWS`, by a row hash) with histograms of at most `BINS` quantile bins, and are then written as nested
-CASE expressions, so scoring runs in the JVM over all rows. Suffix statistics (how many URLs end in a host suffix, and
-the share blocked among its labelled ones) are counted over all rows and joined by suffix.
+(`MAX_ROWS`, by a row hash) with histograms of at most `BINS` quantile bins, both verdicts weighing the same, and are
+then written as nested CASE expressions, so scoring runs in the JVM over all rows.
+
+Suffix statistics are counted over all rows: how many URLs have the host's last three labels, and the share blocked
+among the labelled URLs that agree in the host's last two labels, in the suffix of the file name, and in the first part
+of the path. Hosts are dealt to `FOLDS` folds; what a labelled URL gets is counted without the hosts of its own fold, so that
+a share does not tell the label that it is to help to predict. `held_out` measures the trees on hosts that they have not
+seen.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and is judged by the trees; with no
 labelled URL every verdict of the trees is `allow`; with labels of one kind only it is that kind; repeated rows give
@@ -19,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import bounded_sample, table
+from geoloom.llm.common import bounded_sample, materialize, table
 
 #: (host, path, verdict)
 RULES = [
@@ -30,8 +35,12 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 MAX_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAST, SMOOTH = 30, 3, 32, 0.3, 20, 1.0
-FEATURES = ["url_length", "host_length", "host_labels", "host_hyphens", "depth", "digit_ratio", "entropy", "params", "fragment", "dots_in_path", "suffix_log", "suffix_blocked"]
+TREES, DEPTH, BINS, RATE, LEAST, SMOOTH, FOLDS = 30, 3, 32, 0.3, 20, 1.0, 5
+STATISTICS = ["site", "suffix", "ending", "head"]
+FEATURES = [
+    "url_length", "host_length", "host_labels", "host_hyphens", "depth", "digit_ratio", "entropy", "params", "fragment", "dots_in_path",
+    "site_log", "suffix_blocked", "ending_blocked", "head_blocked",
+]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -107,13 +116,13 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Boosted trees for the log-odds of y, by Newton steps on histograms."""
+    """Boosted trees for the log-odds of y, by Newton steps on histograms; both values of y weigh the same."""
     if not len(y) or y.min() == y.max():
         return Trees(-1.0 if not len(y) or y[0] == 0 else 1.0, [])
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
-    prior = float(np.log(y.mean() / (1 - y.mean())))
-    raw, trees = np.full(len(y), prior), []
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    raw, trees = np.zeros(len(y)), []
 
     def grow(rows: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int):
         g, h = grad[rows].sum(), hess[rows].sum()
@@ -141,42 +150,77 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-raw))
-        trees.append(grow(np.arange(len(y)), p - y, p * (1 - p), 0))
-    return Trees(prior, trees)
+        trees.append(grow(np.arange(len(y)), weight * (p - y), weight * p * (1 - p), 0))
+    return Trees(0.0, trees)
 
 
-def featured(df: DataFrame, keep: list[str], url: str, rules=RULES) -> DataFrame:
-    """keep, host, path, rule, decided and the features of every row."""
+def parted(df: DataFrame, keep: list[str], url: str, rules=RULES) -> DataFrame:
+    """kept, url, host, path, rule, decided, fold, site, suffix, ending and head of every row."""
     rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(url).alias("url"))
     host, path = host_path(F.col("url"))
     rows = rows.select("kept", "url", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    suffix = F.substring_index("host", ".", -2)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("decided"), suffix.alias("suffix"))
-    blocked = F.col("decided") == "block"
-    stats = rows.groupBy("suffix").agg(
-        F.log1p(F.count("*").cast("double")).alias("suffix_log"),
-        ((F.count(F.when(blocked, 1)) + 1) / (F.count("decided") + 2)).alias("suffix_blocked"),
-    )
-    made = lexical(F.col("url"), F.col("host"), F.col("path"))
-    return rows.join(stats, "suffix").select("kept", "host", "path", "rule", "decided", *[c.alias(n) for n, c in made.items()], "suffix_log", "suffix_blocked")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(FOLDS)).cast("int")
+    ending, head = F.regexp_extract("path", r"\.([^./]*)$", 1), F.regexp_extract("path", r"^/([^/]*)/", 1)
+    return rows.select("*", rule.alias("rule"), verdict.alias("decided"), fold.alias("fold"), F.substring_index("host", ".", -3).alias("site"), F.substring_index("host", ".", -2).alias("suffix"), ending.alias("ending"), head.alias("head"))
+
 
+def statistics(rows: DataFrame) -> DataFrame:
+    """kind, value, urls, told (labelled URLs) and blocked of every suffix, and the arrays told_in, blocked_in by fold."""
+    told, blocked = F.col("decided").isNotNull().cast("long"), F.coalesce((F.col("decided") == "block").cast("long"), F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in STATISTICS])).alias("x")
+    counts = rows.select("fold", told.alias("t"), blocked.alias("b"), each).select("fold", "t", "b", "x.*").groupBy("kind", "value")
+    by_fold = lambda c: F.array(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for f in range(FOLDS)])
+    out = counts.agg(F.count("*").alias("urls"), F.sum("t").alias("told"), F.sum("b").alias("blocked"), by_fold("t").alias("told_in"), by_fold("b").alias("blocked_in"))
+    return materialize(out, "url-statistics")
 
-def train(rows: DataFrame) -> Trees:
-    """Trees from at most MAX_ROWS rows that a rule decides."""
-    able = rows.where(F.col("decided").isNotNull())
-    chosen = bounded_sample(able, MAX_ROWS, "kept", "host", "path").select((F.col("decided") == "block").cast("int").alias("y"), *FEATURES).collect()
-    chosen = sorted(map(tuple, chosen))  # the trees do not depend on the order of arrival
-    data = np.array(chosen, float).reshape(-1, 1 + len(FEATURES))
-    return fit(data[:, 1:], data[:, 0])
+
+def featured(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """kept, host, path, rule, decided, fold and the features of rows of `parted`; counts: `statistics` of all rows."""
+    made = lexical(F.col("url"), F.col("host"), F.col("path"))
+    out = rows.select("kept", "host", "path", "rule", "decided", "fold", *STATISTICS, *[c.alias(n) for n, c in made.items()])
+    own = F.col("decided").isNotNull()
+    for kind in STATISTICS:
+        of = counts.where(F.col("kind") == kind).drop("kind").withColumnRenamed("value", kind)
+        out = out.join(of, kind)
+        without = lambda c: F.col(c) - F.when(own, F.get(f"{c}_in", F.col("fold"))).otherwise(0)
+        share = (without("blocked") + 1) / (without("told") + 2)
+        made = {"site_log": F.log1p(F.col("urls").cast("double"))} if kind == "site" else {f"{kind}_blocked": share}
+        out = out.withColumns(made).drop("urls", "told", "blocked", "told_in", "blocked_in", kind)
+    return out
+
+
+def sample(rows: DataFrame, counts: DataFrame) -> np.ndarray:
+    """Label (1: block), fold and features of at most MAX_ROWS rows that a rule decides, in order of their values."""
+    chosen = bounded_sample(rows.where(F.col("decided").isNotNull()), MAX_ROWS, "kept", "url")
+    data = featured(chosen, counts).select((F.col("decided") == "block").cast("int").alias("y"), "fold", *FEATURES).collect()
+    data = sorted(map(tuple, data))  # the trees do not depend on the order of arrival
+    return np.array(data, float).reshape(-1, 2 + len(FEATURES))
+
+
+def held_out(data: np.ndarray) -> float:
+    """The probability that trees fitted to the other folds' hosts score a blocked URL above an allowed one, over each fold's URLs; the mean over folds with both."""
+    out = []
+    for f in range(FOLDS):
+        test = data[:, 1] == f
+        y = data[test, 0]
+        if y.min(initial=1) == y.max(initial=0) or not test.any():
+            continue
+        score = fit(data[~test, 2:], data[~test, 0]).score(data[test, 2:])
+        yes, no = np.sort(score[y == 1]), score[y == 0]
+        below, upto = np.searchsorted(yes, no, "left"), np.searchsorted(yes, no, "right")
+        out.append(1 - ((below + upto) / 2).mean() / len(yes))
+    return float(np.mean(out)) if out else float("nan")
 
 
 def judge(df: DataFrame, keep: list[str], url: str, rules=RULES) -> DataFrame:
     """keep, host, path, rule, verdict and block_odds (the trees' log-odds of a block) of every row."""
-    rows = featured(df, keep, url, rules)
-    odds = train(rows).expression([F.col(f) for f in FEATURES])
+    rows = parted(df, keep, url, rules)
+    counts = statistics(rows)
+    data = sample(rows, counts)
+    odds = fit(data[:, 2:], data[:, 0]).expression([F.col(f) for f in FEATURES])
     verdict = F.coalesce("decided", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
-    rows = rows.select("kept", "host", "path", "rule", "decided", odds.alias("block_odds"))
+    rows = featured(rows, counts).select("kept", "host", "path", "rule", "decided", odds.alias("block_odds"))
     return rows.select(*[F.col(f"kept.{c}").alias(c) for c in keep], "host", "path", "rule", verdict.alias("verdict"), "block_odds")
 
 

@@ -34,8 +34,13 @@ def _frame(spark, urls):
     return spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
 
 
+def _featured(df):
+    rows = U.parted(df, ["page_id"], "url")
+    return U.featured(rows, U.statistics(rows))
+
+
 def test_rules_and_features_against_plain_python(spark):
-    rows = U.featured(_frame(spark, URLS * 2), ["page_id"], "url").collect()
+    rows = _featured(_frame(spark, URLS * 2)).collect()
     assert len(rows) == 2 * len(URLS)
     for r in rows:
         url = URLS[r.kept.page_id % len(URLS)]
@@ -43,10 +48,38 @@ def test_rules_and_features_against_plain_python(spark):
         assert np.allclose([r[f] for f in U.FEATURES[:10]], _features(url), atol=1e-9)
 
 
-def test_suffix_statistics_cover_all_rows(spark):
-    urls = [f"http://h{i}.a.net/{'es' if i % 4 == 0 else 'en'}/{i}" for i in range(40)]
-    r = U.featured(_frame(spark, urls), ["page_id"], "url").first()
-    assert math.isclose(r.suffix_log, math.log1p(40)) and math.isclose(r.suffix_blocked, 11 / 12)
+def _statistics(urls, folds):
+    """For each URL its four statistics, plainly: a labelled one does without the hosts of its fold."""
+    facts = []
+    for u in urls:
+        host, path, _, decided = _slow(u)
+        ending, head = re.search(r"\.([^./]*)$", path), re.match(r"/([^/]*)/", path)
+        facts.append((".".join(host.split(".")[-2:]), ending[1] if ending else "", head[1] if head else "", decided, folds[host], ".".join(host.split(".")[-3:])))
+    out = []
+    for f in facts:
+        row = [math.log1p(sum(g[5] == f[5] for g in facts))]
+        for k in range(3):
+            some = [g for g in facts if g[k] == f[k] and g[3] and not (f[3] and g[4] == f[4])]
+            row.append((sum(g[3] == "block" for g in some) + 1) / (len(some) + 2))
+        out.append(row)
+    return out
+
+
+def test_statistics_cover_all_rows_but_the_own_fold(spark):
+    urls = URLS + [f"http://h{i % 17}.a.{'net' if i % 3 else 'com'}/{'es' if i % 4 == 0 else 'en'}/{i}.html" for i in range(80)]
+    rows = _featured(_frame(spark, urls)).collect()
+    want = _statistics(urls, {r.host: r.fold for r in rows})
+    assert all(np.allclose([r[f] for f in U.FEATURES[10:]], want[r.kept.page_id]) for r in rows) and len({r.fold for r in rows}) == U.FOLDS
+
+
+def test_held_out_hosts(spark):
+    """The trees rank labelled URLs of hosts that they have not seen, and do not judge all undecided URLs alike."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = U.parted(pages, ["page_id"], "url")
+    data = U.sample(rows, U.statistics(rows))
+    assert U.held_out(data) > 0.85
+    open_ones = U.judge(pages, ["page_id"], "url").where("rule is null").groupBy("verdict").count().collect()
+    assert len(open_ones) == 2 and min(r["count"] for r in open_ones) > 50
 
 
 def test_trees_learn_and_score_alike_in_both_engines(spark):
@@ -62,13 +95,17 @@ def test_trees_learn_and_score_alike_in_both_engines(spark):
 
 def test_query_against_plain_python(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
-    trees = U.train(U.featured(pages, ["page_id"], "url"))
-    facts = {r.kept.page_id: r for r in U.featured(pages, ["page_id"], "url").collect()}
+    rows = U.parted(pages, ["page_id"], "url")
+    counts = U.statistics(rows)
+    data = U.sample(rows, counts)
+    trees = U.fit(data[:, 2:], data[:, 0])
+    facts = {r.kept.page_id: r for r in U.featured(rows, counts).collect()}
     urls = {r.page_id: r.url for r in pages.collect()}
     rows = U.op4_urls(spark, sf_small).collect()
     assert len(rows) == len(urls)
     for r in rows:
         host, path, rule, decided = _slow(urls[r.page_id])
+        assert np.allclose([facts[r.page_id][f] for f in U.FEATURES[:10]], _features(urls[r.page_id]))
         odds = trees.score(np.array([[facts[r.page_id][f] for f in U.FEATURES]]))[0]
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (decided or ("block" if odds > 0 else "allow"))
 
