@@ -119,7 +119,7 @@ class Archive:
         """Undecided events by zone, state, confidence and magnitude, with hash slices for audit and uncertainty."""
         decided = self["analyst_decisions"].select(F.col("event_id").alias("id")).distinct()
         u = unit_hash(F.lit("review"), F.col("id"))
-        piece = F.when(u < T.audit_slice, "audit").when(u < T.audit_slice + T.uncertainty_slice, "uncertainty").otherwise("rank")
+        piece = F.when(u < T.audit_slice_fraction, "audit").when(u < T.audit_slice_fraction + T.uncertainty_slice_fraction, "uncertainty").otherwise("rank")
         rank = F.array_position(F.array(*[F.lit(s) for s in STATE_RANK]), F.col("machine_state"))
         rows = self["change_events"].join(decided, "id", "left_anti").withColumn("slice", piece)
         return rows.orderBy(F.col("in_zone").desc(), rank, F.col("confidence").desc(), F.col("magnitude").desc(), "id")

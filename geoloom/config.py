@@ -5,71 +5,74 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The threshold set T-2026.09-01, by its groups and keys, and a few limits that stand in the rules.
 @dataclass(frozen=True)
 class Thresholds:
+    id: str = "T-2026.09-01"
     # quality
     cloud_dilate_px: int = 3
     shadow_dilate_px: int = 2
     shadow_heights_m: tuple[int, ...] = (500, 1000, 1500, 2000, 3000)
-    dark_nir: float = 0.16
-    hot_k: float = 4.0
-    hot_min: float = 0.02
+    shadow_dark_nir: float = 0.16
+    haze_hot_mad_k: float = 4.0
+    haze_min_hot: float = 0.02
+    haze_least_clear: int = 500
     snow_ndsi: float = 0.4
-    snow_green: float = 0.3
+    snow_min_green: float = 0.3
     saturation_dn: int = 65535
-    min_cos_i: float = 0.15
-    object_usable: float = 0.8
-    obs_usable: float = 0.05
+    terrain_min_cos_i: float = 0.15
+    terrain_min_slope: float = 10.0
+    object_min_usable: float = 0.8
+    obs_min_usable_fraction: float = 0.05
+    reference_min_usable: float = 0.6
     # registration
-    max_shift_px: float = 2.0
+    max_correctable_px: float = 2.0
     min_correct_px: float = 0.1
-    residual_edge_px: float = 0.5
+    residual_edge_suppress_px: float = 0.5
     min_peak_ratio: float = 3.0
+    edge_band_px: int = 1
     # radiometry
-    max_rmse: float = 0.04
-    gain_low: float = 0.8
-    gain_high: float = 1.25
-    pif_stable: float = 0.05
-    pif_cap: int = 1500
-    pif_least: int = 200
+    max_norm_rmse: float = 0.04
+    invariant_cap: int = 1500
+    invariant_least: int = 200
+    probe_offset_dn: int = 950
     # season
-    season_radius_m: int = 5000
-    season_min_peers: int = 200
-    season_z: float = 2.0
-    green_months: tuple[int, int] = (8, 11)
-    same_season_days: int = 45
-    # size
-    mmu_px: int = 10
+    peer_radius_m: int = 5000
+    peer_min_pixels: int = 200
+    min_abs_peer_z: float = 2.0
+    green_season_months: tuple[int, ...] = (8, 9, 10, 11)
+    same_season_window_days: int = 45
     # detection
     p_detect: float = 0.6
     stable_window: int = 4
-    stable_min: int = 3
+    stable_min_obs: int = 3
     stable_agreement: float = 0.8
-    post_share: float = 0.6
-    pre_share: float = 0.6
+    object_post_share: float = 0.6
+    object_pre_share: float = 0.6
+    sample_per_class: int = 400
     # persistence
-    provisional_after: int = 1
-    confirmed_after: int = 2
-    confirm_span_days: int = 20
-    insufficient_days: int = 60
-    reverse_after: int = 2
+    provisional_confirming_obs: int = 1
+    confirmed_confirming_obs: int = 2
+    confirmed_min_span_days: int = 20
+    insufficient_data_days: int = 60
+    reverse_consecutive_contradicting: int = 2
     # temporal
     abrupt_sharpness: float = 0.7
-    gradual_steps: int = 3
+    gradual_min_intermediate_obs: int = 3
     long_gap_days: int = 45
     # confidence
     level_low: float = 0.4
     level_high: float = 0.7
     # review
-    audit_slice: float = 0.07
-    uncertainty_slice: float = 0.05
+    audit_slice_fraction: float = 0.07
+    uncertainty_slice_fraction: float = 0.05
     # retrieval
-    background: int = 5000
+    background_sample: int = 5000
     fetch_k: int = 200
-    exclusion_m: int = 1500
+    exclusion_radius_m: int = 1500
     mmr_lambda: float = 0.7
-    negative_weight: float = 0.5
-    near_m: int = 500
+    negative_lambda: float = 0.5
+    near_default_m: int = 500
 
 
 T = Thresholds()

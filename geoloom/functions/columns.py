@@ -91,7 +91,7 @@ def registration(windows: Column, shift: Column, peak: Column) -> Column:
     """Status of an estimated shift; the first rule that holds decides."""
     return (
         F.when(windows == 0, "suspect")
-        .when((shift > T.max_shift_px) | (peak < T.min_peak_ratio), "unusable")
+        .when((shift > T.max_correctable_px) | (peak < T.min_peak_ratio), "unusable")
         .when(shift >= T.min_correct_px, "corrected")
         .otherwise("ok")
     )
@@ -99,7 +99,7 @@ def registration(windows: Column, shift: Column, peak: Column) -> Column:
 
 def usability(fraction: Column, status: Column) -> Column:
     """Why an observation is not usable, or 'usable'."""
-    return F.when(fraction < T.obs_usable, "low_usable_fraction").when(status.isin("unusable", "suspect"), F.concat(F.lit("registration_"), status)).otherwise("usable")
+    return F.when(fraction < T.obs_min_usable_fraction, "low_usable_fraction").when(status.isin("unusable", "suspect"), F.concat(F.lit("registration_"), status)).otherwise("usable")
 
 
 def confidence_level(p: Column, confirmed: Column) -> Column:

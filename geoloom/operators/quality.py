@@ -34,14 +34,14 @@ def quality_mask(df: DataFrame, moves: list[tuple[int, int]], least_clear: int =
     med = clear.groupBy("obs").agg(F.median("hot").alias("med"), F.count("*").alias("clear"))
     mad = clear.join(med, "obs").groupBy("obs").agg((F.median(F.abs(F.col("hot") - F.col("med"))) * 1.4826).alias("mad"))
     rows = rows.join(med.join(mad, "obs"), "obs", "left")
-    hazy = (F.col("clear") > least_clear) & ~(F.col("mndwi") > 0.1) & (F.col("hot") > F.col("med") + T.hot_k * F.greatest(F.col("mad"), F.lit(0.001))) & (F.col("hot") > T.hot_min)
+    hazy = (F.col("clear") > least_clear) & ~(F.col("mndwi") > 0.1) & (F.col("hot") > F.col("med") + T.haze_hot_mad_k * F.greatest(F.col("mad"), F.lit(0.001))) & (F.col("hot") > T.haze_min_hot)
     rows = rows.withColumn("haze", ((F.col("scl") == 10) | F.coalesce(hazy & F.col("valid"), F.lit(False))) & ~F.col("cloud"))
     at = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in moves])).alias("o")
     cast = rows.where("cloud").select("obs", "r", "c", at).select("obs", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
     rows = _flag(rows, cast, "cast")
-    dark = rows.where((F.col("scl") == 3) | (F.col("cast") & (F.coalesce("b08", F.lit(1.0)) < T.dark_nir) & (F.col("mndwi") < 0.2))).select("obs", "r", "c")
+    dark = rows.where((F.col("scl") == 3) | (F.col("cast") & (F.coalesce("b08", F.lit(1.0)) < T.shadow_dark_nir) & (F.col("mndwi") < 0.2))).select("obs", "r", "c")
     rows = _flag(rows, _grown(dark, T.shadow_dilate_px), "near_shadow").withColumn("shadow", F.col("near_shadow") & F.col("valid") & ~F.col("cloud"))
-    snow = ((F.col("scl") == 11) | ((F.col("ndsi") > T.snow_ndsi) & (F.col("b03") > T.snow_green))) & F.col("valid")
+    snow = ((F.col("scl") == 11) | ((F.col("ndsi") > T.snow_ndsi) & (F.col("b03") > T.snow_min_green))) & F.col("valid")
     bits = [("nodata", NODATA), ("saturated", SATURATED), ("cloud", CLOUD), ("haze", HAZE), ("shadow", SHADOW), ("snow", SNOW)]
     mask = sum((F.when(F.col(n), b).otherwise(0) for n, b in bits), F.lit(0))
     return rows.withColumn("snow", snow).select("obs", "r", "c", mask.alias("mask"))

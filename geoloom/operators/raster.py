@@ -32,6 +32,12 @@ def dilate(cells: DataFrame, offsets: list[tuple[int, int, float]]) -> DataFrame
     return cells.select("r", "c", at).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
 
 
+def spread(cells: DataFrame, offsets: list[tuple[int, int, float]], by: list[str]) -> DataFrame:
+    """`dilate` for cells (by, r, c) of several rasters."""
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b, _ in offsets])).alias("o")
+    return cells.select(*by, "r", "c", at).select(*by, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
+
+
 def erode(cells: DataFrame, offsets: list[tuple[int, int, float]]) -> DataFrame:
     """The cells all of whose offsets are in the set: those that are reached from every offset."""
     at = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b, _ in offsets])).alias("o")

@@ -27,3 +27,32 @@ def in_boxes(points: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
     placed = points.select("*", cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy"))
     hit = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     return placed.join(spread, ["gx", "gy"]).where(hit).drop("gx", "gy")
+
+
+def sums_within(points: DataFrame, radius: int, parts: int) -> DataFrame:
+    """points (id, x, y, v) with n, total and squares of the values of all points at most `radius` away, itself included.
+
+    Places are whole numbers. Cells have a side of radius / parts. Cells that lie within the radius as a whole, seen
+    from anywhere in a point's cell, add their sums, once for each cell; points meet points only in cells that the
+    circle may cut.
+    """
+    side = radius // parts
+    span = range(-parts - 2, parts + 3)
+    far = lambda i, j: ((abs(i) + 1) * side) ** 2 + ((abs(j) + 1) * side) ** 2
+    near = lambda i, j: (max(abs(i) - 1, 0) * side) ** 2 + (max(abs(j) - 1, 0) * side) ** 2
+    inner = [(i, j) for i in span for j in span if far(i, j) <= radius * radius]
+    cut = [(i, j) for i in span for j in span if far(i, j) > radius * radius >= near(i, j)]
+
+    def moved(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+        o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])).alias("o")
+        return df.select("*", o).withColumns({"gx": F.col("gx") + F.col("o.i"), "gy": F.col("gy") + F.col("o.j")}).drop("o")
+
+    placed = points.select("id", "x", "y", "v", cell(F.col("x"), side).alias("gx"), cell(F.col("y"), side).alias("gy"))
+    sums = placed.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
+    whole = moved(sums, inner).groupBy("gx", "gy").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+    whole = placed.join(whole, ["gx", "gy"]).select("id", "v", "n", "total", "squares")
+    other = moved(placed.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("v").alias("ov"), "gx", "gy"), cut)
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    pairs = placed.join(other, ["gx", "gy"]).where(d2 <= radius * radius)
+    some = pairs.groupBy("id", "v").agg(F.count("*").alias("n"), F.sum("ov").alias("total"), F.sum(F.col("ov") * F.col("ov")).alias("squares"))
+    return whole.unionByName(some).groupBy("id", "v").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])

@@ -24,6 +24,14 @@ def _from(spark, sf_dir, sql, name):
     return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=read(spark, sf_dir, name))
 
 
+#: A day of the events stands for 15, so that a month of them spans the seasons and gaps that the thresholds speak of.
+DAYS = 15
+
+
+def _day(ts="ts"):
+    return F.datediff(F.col(ts).cast("date"), F.to_date(F.lit("2024-01-01"))) * DAYS
+
+
 def _points(spark, sf_dir):
     return _from(spark, sf_dir, POINTS, "customer")
 
@@ -74,28 +82,35 @@ INTERSECT = f"SELECT id, count(*) AS areas, min(zone) AS first_area FROM ({POINT
 
 
 def near_layer(spark, sf_dir):
-    """The nearest layer feature of each point within the radius."""
-    pairs = S.within(_points(spark, sf_dir).select("id", "x", "y"), _from(spark, sf_dir, LAYERS, "supplier"), 4000)
+    """The nearest layer feature of each point within the radius; the fixture's places are drawn together by 8."""
+    near = lambda df, *cols: df.select(*[c for c in df.columns if c not in cols], *[F.floor(F.col(c) / 8).alias(c) for c in cols])
+    pairs = S.within(near(_points(spark, sf_dir).select("id", "x", "y"), "x", "y"), near(_from(spark, sf_dir, LAYERS, "supplier"), "ox", "oy"), T.near_default_m)
     return first_ranked(pairs, ["id"], [F.col("d2"), F.col("oid")], 1).select("id", "oid", "kind", "d2")
 
 
-NEAR = f"SELECT id, oid, kind, (x-ox)*(x-ox)+(y-oy)*(y-oy) AS d2 FROM ({POINTS}) JOIN ({LAYERS}) ON (x-ox)*(x-ox)+(y-oy)*(y-oy) <= 16000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, oid) = 1"
+NEAR = f"""WITH p AS (SELECT id, x // 8 AS x, y // 8 AS y FROM ({POINTS})), l AS (SELECT oid, kind, ox // 8 AS ox, oy // 8 AS oy FROM ({LAYERS}))
+ SELECT id, oid, kind, (x-ox)*(x-ox)+(y-oy)*(y-oy) AS d2 FROM p JOIN l ON (x-ox)*(x-ox)+(y-oy)*(y-oy) <= 250000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, oid) = 1"""
 
 
 def peer_departure(spark, sf_dir):
-    """How far each point's value departs from that of its peers within 5 km, in their standard deviations.
+    """How far each point's value departs from that of its peers within the radius, in their standard deviations, with enough peers.
 
-    Peers are summed by grid cell pairs; a cell holds the points of 5 km by 5 km, so the number of pairs is bounded by
-    the density of points, not by their number.
+    The sums of whole grid cells in reach are added cell by cell; only points in cells that the circle cuts are met
+    one by one (`operators.spatial.sums_within`). The fixture's places are drawn together by 8.
     """
-    p = _points(spark, sf_dir)
-    others = p.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("v").alias("ov"))
-    pairs = S.within(p, others, T.season_radius_m).where("id <> oid")
-    out = pairs.groupBy("id").agg(F.count("*").alias("peers"), F.avg("ov").alias("m"), F.stddev_pop("ov").alias("s"), F.first("v").alias("v"))
-    return out.select("id", "peers", F.round(F.try_divide(F.col("v") - F.col("m"), "s"), 4).alias("z"))
+    p = _points(spark, sf_dir).select("id", F.floor(F.col("x") / 8).alias("x"), F.floor(F.col("y") / 8).alias("y"), F.round(F.col("v") * 100).cast("long").alias("v"))
+    out = S.sums_within(p, T.peer_radius_m, 16).where(F.col("n") - 1 >= T.peer_min_pixels)
+    n, total, squares = F.col("n") - 1, F.col("total") - F.col("v"), F.col("squares") - F.col("v") * F.col("v")
+    mean = total / n
+    spread = F.sqrt(squares / n - mean * mean)
+    z = F.try_divide(F.col("v") - mean, spread)
+    return out.select("id", n.alias("peers"), F.round(z, 4).alias("z"), F.coalesce(F.abs(z) >= T.min_abs_peer_z, F.lit(False)).alias("departs"))
 
 
-PEERS = f"WITH p AS ({POINTS}) SELECT a.id, count(*) AS peers, round((any_value(a.v) - avg(b.v)) / nullif(stddev_pop(b.v), 0), 4) AS z FROM p a JOIN p b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 25000000 GROUP BY a.id"
+PEERS = f"""WITH p AS (SELECT id, x // 8 AS x, y // 8 AS y, round(v * 100)::BIGINT AS v FROM ({POINTS})),
+ z AS (SELECT a.id, count(*) AS peers, (any_value(a.v) - avg(b.v)) / nullif(sqrt(sum(b.v * b.v)::DOUBLE / count(*) - (sum(b.v)::DOUBLE / count(*)) * (sum(b.v)::DOUBLE / count(*))), 0) AS z
+ FROM p a JOIN p b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 25000000 GROUP BY a.id HAVING count(*) >= 200)
+ SELECT id, peers, round(z, 4) AS z, coalesce(abs(z) >= 2, false) AS departs FROM z"""
 
 
 def split_assign(spark, sf_dir):
@@ -169,25 +184,28 @@ SIGMA = f"WITH g AS ({RASTER}) SELECT obs, r, c, round(sqrt(greatest(avg(nv * nv
 
 
 def strong_edges(spark, sf_dir):
-    """Cells whose Sobel magnitude is above the 90th percentile of their observation."""
+    """Cells whose Sobel magnitude is above the 90th percentile of their observation, and those next to them (`edge_band_px`)."""
     grid = R.around(_raster(spark, sf_dir), R.square(1), 48)
     gx = F.sum(F.col("nv") * F.col("dc") * (2 - F.abs("dr")))
     gy = F.sum(F.col("nv") * F.col("dr") * (2 - F.abs("dc")))
     mag = grid.groupBy("obs", "r", "c").agg(F.round(gx * gx + gy * gy, 8).alias("m"))
-    limit = mag.groupBy("obs").agg(F.percentile("m", 0.9).alias("p"))
-    return mag.join(limit, "obs").where("m > p").select("obs", "r", "c", "m")
+    strong = mag.withColumn("p", F.percentile("m", 0.9).over(W.partitionBy("obs"))).where("m > p").select("obs", "r", "c")
+    for _ in range(T.edge_band_px):
+        strong = R.spread(strong, R.CROSS, ["obs"])
+    return strong.where("r BETWEEN 0 AND 47 AND c BETWEEN 0 AND 47")
 
 
 EDGES = f"""WITH g AS ({RASTER}), m AS (SELECT obs, r, c, round(sum(nv * dc * (2 - abs(dr))) ** 2 + sum(nv * dr * (2 - abs(dc))) ** 2, 8) AS m FROM ({_NEAR.format(o=_SQ)}) GROUP BY obs, r, c)
- SELECT obs, r, c, m FROM m JOIN (SELECT obs, quantile_cont(m, 0.9) AS p FROM m GROUP BY obs) USING (obs) WHERE m > p"""
+ SELECT DISTINCT obs, r + dr AS r, c + dc AS c FROM (SELECT obs, r, c FROM m JOIN (SELECT obs, quantile_cont(m, 0.9) AS p FROM m GROUP BY obs) USING (obs) WHERE m > p), (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dr, dc)
+ WHERE r + dr BETWEEN 0 AND 47 AND c + dc BETWEEN 0 AND 47"""
 
 
 def edge_flag(spark, sf_dir):
-    """The mask after registration: strong edges of clean cells are flagged where an observation's residual is too large."""
+    """The mask after registration: strong edges of clean cells are flagged where a registered observation's residual is too large."""
     grid = _raster(spark, sf_dir).select("obs", "r", "c", F.when(F.col("v") > 40, CLOUD).otherwise(0).alias("mask"))
     edges = strong_edges(spark, sf_dir).select("obs", "r", "c", F.lit(True).alias("strong"))
-    residual = F.col("obs") % 4 * 0.3
-    flagged = F.coalesce("strong", F.lit(False)) & (F.col("mask") == 0) & (residual > T.residual_edge_px)
+    residual, status = F.col("obs") % 4 * 0.3, F.element_at(F.array(*map(F.lit, ("ok", "corrected", "suspect"))), (F.col("obs") % 3 + 1).cast("int"))
+    flagged = F.coalesce("strong", F.lit(False)) & (F.col("mask") == 0) & status.isin("ok", "corrected") & (residual > T.residual_edge_suppress_px)
     rows = grid.join(edges, ["obs", "r", "c"], "left")
     return rows.select("obs", "r", "c", F.when(flagged, F.col("mask").bitwiseOR(EDGE)).otherwise(F.col("mask")).alias("mask"))
 
@@ -202,10 +220,10 @@ def terrain(spark, sf_dir):
     slope, aspect = F.atan(F.sqrt(gx * gx + gy * gy)), F.atan2(-gx, gy)
     zen, az = 0.7853981633974483, 2.6179938779914944
     cos_i = F.cos(slope) * F.cos(F.lit(zen)) + F.sin(slope) * F.sin(F.lit(zen)) * F.cos(F.lit(az) - aspect)
-    return rows.select("obs", "r", "c", F.round(slope, 4).alias("slope"), F.round(cos_i, 4).alias("cos_i"), (cos_i < T.min_cos_i).alias("dark"))
+    return rows.select("obs", "r", "c", F.round(slope, 4).alias("slope"), F.round(cos_i, 4).alias("cos_i"), (cos_i < T.terrain_min_cos_i).alias("dark"))
 
 
-EDGE_FLAG = f"""SELECT g.obs, g.r, g.c, CASE WHEN e.obs IS NOT NULL AND v <= 40 AND g.obs % 4 * 0.3::DOUBLE > 0.5 THEN 128 WHEN v > 40 THEN 4 ELSE 0 END AS mask
+EDGE_FLAG = f"""SELECT g.obs, g.r, g.c, CASE WHEN e.obs IS NOT NULL AND v <= 40 AND g.obs % 3 < 2 AND g.obs % 4 * 0.3::DOUBLE > 0.5 THEN 128 WHEN v > 40 THEN 4 ELSE 0 END AS mask
  FROM ({RASTER}) g LEFT JOIN ({EDGES}) e ON e.obs = g.obs AND e.r = g.r AND e.c = g.c"""
 
 _D = "coalesce(({a} - {b}) / 2, {a} - v, v - {b}, 0.0) / 10"
@@ -247,12 +265,12 @@ def vote_mask(spark, sf_dir):
     """Tiles that were in the state before in most frames of the first half and in the state after in enough of the second."""
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     s = _series(spark, sf_dir).where("usable")
-    g = s.groupBy("user_id").agg(F.avg(F.when(F.col("ts") < cut, (F.col("value") < 60).cast("double"))).alias("before"), F.count(F.when(F.col("ts") >= cut, 1)).alias("n"), F.count(F.when((F.col("ts") >= cut) & F.col("post"), 1)).alias("votes"))
-    return g.select("user_id", F.round("before", 6).alias("before"), "n", "votes", ((F.col("before") >= 0.6) & (F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)))).alias("changed"))
+    g = s.groupBy("user_id").agg(F.avg(F.when(F.col("ts") < cut, (F.col("value") < 60).cast("double"))).alias("before"), F.count(F.when(F.col("ts") >= cut, 1)).alias("n"), F.count(F.when((F.col("ts") >= cut) & (F.col("value") >= 15), 1)).alias("votes"))
+    return g.select("user_id", F.round("before", 6).alias("before"), "n", "votes", ((F.col("before") >= T.object_pre_share) & (F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("n") * T.object_post_share)))).alias("changed"))
 
 
-VOTE = f"""SELECT user_id, round(before, 6) AS before, n, votes, before >= 0.6 AND votes >= greatest(1, ceil(n * 0.1)) AS changed FROM (SELECT user_id, avg((value < 60)::INT) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before,
- count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS n, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16' AND post) AS votes FROM ({SERIES}) WHERE usable GROUP BY user_id)"""
+VOTE = f"""SELECT user_id, round(before, 6) AS before, n, votes, before >= 0.6 AND votes >= greatest(1, ceil(n * 0.6::DOUBLE)) AS changed FROM (SELECT user_id, avg((value < 60)::INT) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before,
+ count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS n, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16' AND value >= 15) AS votes FROM ({SERIES}) WHERE usable GROUP BY user_id)"""
 
 
 def first_change(spark, sf_dir):
@@ -266,7 +284,7 @@ FIRST = f"SELECT user_id, min(ts) FILTER (WHERE post) AS first_ts, arg_min(event
 def object_series(spark, sf_dir):
     """Per tile and day: usable share; the post share and area only where enough is usable."""
     s = _series(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.avg(F.col("usable").cast("double")).alias("u"), F.avg(F.when(F.col("usable"), F.col("post").cast("double"))).alias("p"), F.count("*").alias("n"))
-    able = F.col("u") >= T.object_usable
+    able = F.col("u") >= T.object_min_usable
     return s.select("user_id", "day", F.round("u", 4).alias("usable_share"), F.round(F.when(able, F.col("p")), 4).alias("post_share"), F.round(F.when(able, F.col("p") * F.col("n") * 0.04), 4).alias("area_ha"))
 
 
@@ -290,7 +308,7 @@ def stable_window(spark, sf_dir):
     s = _series(spark, sf_dir).where("usable").select("user_id", "event_id", "ts", F.col("post").cast("int").alias("state"))
     s = s.select("user_id", "event_id", F.count("state").over(w).alias("n"), F.avg("state").over(w).alias("share"))
     agree = F.greatest("share", 1 - F.col("share"))
-    return s.select("user_id", "event_id", "n", F.round("share", 4).alias("share"), ((F.col("n") >= T.stable_min) & (agree >= T.stable_agreement)).alias("stable"))
+    return s.select("user_id", "event_id", "n", F.round("share", 4).alias("share"), ((F.col("n") >= T.stable_min_obs) & (agree >= T.stable_agreement)).alias("stable"))
 
 
 STABLE = f"""SELECT user_id, event_id, n, round(share, 4) AS share, coalesce(n >= 3 AND greatest(share, 1 - share) >= 0.8, false) AS stable FROM (SELECT user_id, event_id, count(*) OVER w AS n, avg(post::INT) OVER w AS share
@@ -298,50 +316,70 @@ STABLE = f"""SELECT user_id, event_id, n, round(share, 4) AS share, coalesce(n >
 
 
 def bracket_gap(spark, sf_dir):
-    """Days between neighbouring usable observations, and whether the gap is long (a day here stands for 15)."""
+    """Days between neighbouring usable observations, whether the gap is long, how sharp the step is, and its kind.
+
+    Sharpness is the step's share of the change from the observation before it to the one after it; a step is abrupt if that
+    reaches `abrupt_sharpness`, gradual if at least `gradual_min_intermediate_obs` intermediate states stand before it.
+    """
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    s = _series(spark, sf_dir).where("usable").select("user_id", "event_id", F.datediff(F.col("ts").cast("date"), F.lag("ts", 1).over(w).cast("date")).alias("gap"))
-    return s.select("user_id", "event_id", "gap", (F.col("gap") * 15 >= T.long_gap_days).alias("long_gap"))
+    gap = F.datediff(F.col("ts").cast("date"), F.lag("ts", 1).over(w).cast("date")) * DAYS
+    step, whole = F.abs(F.col("value") - F.lag("value", 1).over(w)), F.abs(F.lead("value", 1).over(w) - F.lag("value", 1).over(w))
+    between = F.sum((~F.col("post") & ~F.col("pre")).cast("int")).over(w.rowsBetween(-4, -1))
+    s = _series(spark, sf_dir).where("usable").select("user_id", "event_id", gap.alias("gap"), F.try_divide(step, F.greatest(whole, step)).alias("sharpness"), between.alias("between"))
+    kind = F.when(F.col("sharpness") >= T.abrupt_sharpness, "abrupt").when(F.col("between") >= T.gradual_min_intermediate_obs, "gradual").otherwise("unclear")
+    return s.select("user_id", "event_id", "gap", (F.col("gap") >= T.long_gap_days).alias("long_gap"), F.round("sharpness", 6).alias("sharpness"), kind.alias("kind"))
 
 
-GAP = f"SELECT user_id, event_id, gap::INT AS gap, gap * 15 >= 45 AS long_gap FROM (SELECT user_id, event_id, date_diff('day', CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE), CAST(ts AS DATE)) AS gap FROM ({SERIES}) WHERE usable)"
+GAP = f"""SELECT user_id, event_id, (gap * 15)::INT AS gap, gap * 15 >= 45 AS long_gap, round(sharpness, 6) AS sharpness, CASE WHEN sharpness >= 0.7 THEN 'abrupt' WHEN between_ >= 3 THEN 'gradual' ELSE 'unclear' END AS kind FROM (SELECT user_id, event_id, date_diff('day', CAST(lag(ts) OVER w AS DATE), CAST(ts AS DATE)) AS gap,
+ abs(value - lag(value) OVER w) / nullif(greatest(abs(lead(value) OVER w - lag(value) OVER w), abs(value - lag(value) OVER w)), 0) AS sharpness, sum((NOT post AND NOT pre)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS between_
+ FROM ({SERIES}) WHERE usable WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
 def same_season(spark, sf_dir):
-    """Mean of the values within three days of the same tile, by a range frame on the day number."""
-    day = F.datediff(F.col("ts").cast("date"), F.to_date(F.lit("2024-01-01")))
-    w = W.partitionBy("user_id").orderBy("d").rangeBetween(-3, 3)
-    s = _series(spark, sf_dir).withColumn("d", day)
-    return s.select("user_id", "event_id", F.count("*").over(w).alias("n"), F.round(F.avg("value").over(w), 8).alias("season_mean"))
+    """Mean of the values of the same tile in the same season, by a range frame on the day number; and whether it is green."""
+    w = W.partitionBy("user_id").orderBy("d").rangeBetween(-T.same_season_window_days, T.same_season_window_days)
+    s = _series(spark, sf_dir).withColumn("d", _day())
+    green = F.month(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("d"))).isin(list(T.green_season_months))
+    return s.select("user_id", "event_id", F.count("*").over(w).alias("n"), F.round(F.avg("value").over(w), 8).alias("season_mean"), green.alias("green"))
 
 
-SEASON = f"SELECT user_id, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 8) AS season_mean FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d FROM ({SERIES})) WINDOW w AS (PARTITION BY user_id ORDER BY d RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+SEASON = f"SELECT user_id, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 8) AS season_mean, month(DATE '2024-01-01' + d::INT) IN (8, 9, 10, 11) AS green FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 15 AS d FROM ({SERIES})) WINDOW w AS (PARTITION BY user_id ORDER BY d RANGE BETWEEN 45 PRECEDING AND 45 FOLLOWING)"
 
 
 def state_machine(spark, sf_dir):
-    """Machine state of each tile's event from its usable observations in time order.
+    """State of each tile's event from its usable observations in time order.
 
-    Ten days stand for the confirmation span. Two contradictions in a row end an event: REVERSED if it was confirmed
-    before the second of them, else TRANSIENT.
+    Two contradictions in a row end an event: REVERSED if it was confirmed before the second of them, else TRANSIENT.
+    CONFIRMED takes two confirmations over the least span, one of them in the green season; below that, a time without
+    any usable observation makes it INSUFFICIENT_DATA. A failed gate (here: every tenth tile) makes it SUPPRESSED, and
+    an analyst's rejection (every thirteenth) REJECTED; the machine's state stays beside it.
     """
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    s = _series(spark, sf_dir).where("usable").withColumn("first_at", F.min(F.when(F.col("post"), F.col("ts"))).over(W.partitionBy("user_id")))
+    w, all_of = W.partitionBy("user_id").orderBy("ts", "event_id"), W.partitionBy("user_id")
+    s = _series(spark, sf_dir).where("usable").withColumn("d", _day()).withColumn("first_at", F.min(F.when(F.col("post"), F.col("ts"))).over(all_of))
     s = s.withColumn("twice", F.col("pre") & F.coalesce(F.lag("pre", 1).over(w), F.lit(False)) & (F.col("ts") > F.col("first_at")))
-    end = F.min(F.when(F.col("twice"), F.col("ts"))).over(W.partitionBy("user_id"))
-    s = s.withColumn("end_at", end)
+    s = s.withColumn("end_at", F.min(F.when(F.col("twice"), F.col("ts"))).over(all_of)).withColumn("gap", F.col("d") - F.lag("d", 1).over(w))
     later = F.col("post") & (F.col("ts") > F.col("first_at")) & (F.col("end_at").isNull() | (F.col("ts") < F.col("end_at")))
-    g = s.groupBy("user_id").agg(F.first("first_at").alias("first_at"), F.first("end_at").alias("end_at"), F.count(F.when(later, 1)).alias("n_after"), F.max(F.when(later, F.col("ts"))).alias("last_at"))
-    confirmed = (F.col("n_after") >= T.confirmed_after) & (F.datediff(F.col("last_at").cast("date"), F.col("first_at").cast("date")) >= 10)
-    state = F.when(F.col("first_at").isNull(), "NONE").when(F.col("end_at").isNotNull() & confirmed, "REVERSED").when(F.col("end_at").isNotNull(), "TRANSIENT").when(confirmed, "CONFIRMED").when(F.col("n_after") >= T.provisional_after, "PROVISIONAL").otherwise("TENTATIVE")
-    return g.select("user_id", state.alias("state"), "n_after", "first_at")
-
-
-STATE = f"""WITH s AS (SELECT *, min(ts) FILTER (WHERE post) OVER (PARTITION BY user_id) AS first_at, lag(pre) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lp FROM ({SERIES}) WHERE usable),
- t AS (SELECT *, min(ts) FILTER (WHERE pre AND coalesce(lp, false) AND ts > first_at) OVER (PARTITION BY user_id) AS end_at FROM s),
- g AS (SELECT user_id, any_value(first_at) AS first_at, any_value(end_at) AS end_at, count(*) FILTER (WHERE post AND ts > first_at AND (end_at IS NULL OR ts < end_at)) AS n_after,
- max(ts) FILTER (WHERE post AND ts > first_at AND (end_at IS NULL OR ts < end_at)) AS last_at FROM t GROUP BY user_id),
- c AS (SELECT *, coalesce(n_after >= 2 AND date_diff('day', CAST(first_at AS DATE), CAST(last_at AS DATE)) >= 10, false) AS ok FROM g)
- SELECT user_id, CASE WHEN first_at IS NULL THEN 'NONE' WHEN end_at IS NOT NULL AND ok THEN 'REVERSED' WHEN end_at IS NOT NULL THEN 'TRANSIENT' WHEN ok THEN 'CONFIRMED' WHEN n_after >= 1 THEN 'PROVISIONAL' ELSE 'TENTATIVE' END AS state, n_after, first_at FROM c"""
+    green = F.month(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("d"))).isin(list(T.green_season_months))
+    g = s.groupBy("user_id").agg(
+        F.max("first_at").alias("first_at"), F.max("end_at").alias("end_at"), F.count(F.when(later, 1)).alias("n_after"), F.max(F.when(later, F.col("d"))).alias("last_d"),
+        F.min(F.when(F.col("ts") == F.col("first_at"), F.col("d"))).alias("first_d"), F.max((later & green).cast("int")).alias("green"), F.max(F.when(F.col("ts") > F.col("first_at"), F.col("gap"))).alias("gap"),
+    )
+    confirmed = (F.col("n_after") >= T.confirmed_confirming_obs) & (F.col("last_d") - F.col("first_d") >= T.confirmed_min_span_days) & (F.col("green") == 1)
+    state = F.when(F.col("first_at").isNull(), "NONE").when(F.col("end_at").isNotNull() & confirmed, "REVERSED").when(F.col("end_at").isNotNull(), "TRANSIENT").when(confirmed, "CONFIRMED")
+    state = state.when(F.col("gap") >= T.insufficient_data_days, "INSUFFICIENT_DATA").when(F.col("n_after") >= T.provisional_confirming_obs, "PROVISIONAL").otherwise("TENTATIVE")
+    shown = F.when(state == "NONE", state).when(F.col("user_id") % 13 == 0, "REJECTED").when(F.col("user_id") % 10 == 0, "SUPPRESSED").otherwise(state)
+    return g.select("user_id", state.alias("machine_state"), shown.alias("state"), "n_after", "first_at")
+
+
+STATE = f"""WITH s AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 15 AS d, min(ts) FILTER (WHERE post) OVER (PARTITION BY user_id) AS first_at, lag(pre) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lp FROM ({SERIES}) WHERE usable),
+ t AS (SELECT *, d - lag(d) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap, min(ts) FILTER (WHERE pre AND coalesce(lp, false) AND ts > first_at) OVER (PARTITION BY user_id) AS end_at FROM s),
+ l AS (SELECT *, coalesce(post AND ts > first_at AND (end_at IS NULL OR ts < end_at), false) AS later FROM t),
+ g AS (SELECT user_id, max(first_at) AS first_at, max(end_at) AS end_at, count(*) FILTER (WHERE later) AS n_after, max(d) FILTER (WHERE later) AS last_d, min(d) FILTER (WHERE ts = first_at) AS first_d,
+ coalesce(bool_or(later AND month(DATE '2024-01-01' + d::INT) IN (8, 9, 10, 11)), false) AS green, max(gap) FILTER (WHERE ts > first_at) AS gap FROM l GROUP BY user_id),
+ c AS (SELECT *, coalesce(n_after >= 2 AND last_d - first_d >= 20 AND green, false) AS ok FROM g),
+ m AS (SELECT user_id, n_after, first_at, CASE WHEN first_at IS NULL THEN 'NONE' WHEN end_at IS NOT NULL AND ok THEN 'REVERSED' WHEN end_at IS NOT NULL THEN 'TRANSIENT' WHEN ok THEN 'CONFIRMED'
+ WHEN gap >= 60 THEN 'INSUFFICIENT_DATA' WHEN n_after >= 1 THEN 'PROVISIONAL' ELSE 'TENTATIVE' END AS machine_state FROM c)
+ SELECT user_id, machine_state, CASE WHEN machine_state = 'NONE' THEN 'NONE' WHEN user_id % 13 = 0 THEN 'REJECTED' WHEN user_id % 10 = 0 THEN 'SUPPRESSED' ELSE machine_state END AS state, n_after, first_at FROM m"""
 
 
 def gate_funnel(spark, sf_dir):
@@ -363,7 +401,7 @@ def review_rank(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
     u = C.unit_hash(F.lit("review"), F.col("doc_id"))
     conf = F.least(F.lit(1.0), F.col("n_chars") / 4000)
-    rows = d.select("doc_id", (F.col("lang") == "en").cast("int").alias("zone"), F.round(conf, 6).alias("confidence"), F.when(u < T.audit_slice, "audit").when(u < T.audit_slice + T.uncertainty_slice, "uncertainty").otherwise("rank").alias("slice"))
+    rows = d.select("doc_id", (F.col("lang") == "en").cast("int").alias("zone"), F.round(conf, 6).alias("confidence"), F.when(u < T.audit_slice_fraction, "audit").when(u < T.audit_slice_fraction + T.uncertainty_slice_fraction, "uncertainty").otherwise("rank").alias("slice"))
     rows = rows.withColumn("level", C.confidence_level(F.col("confidence"), F.col("zone") == 1))
     return rows.withColumn("place", F.row_number().over(W.partitionBy("slice", "level").orderBy(F.col("zone").desc(), F.col("confidence").desc(), "doc_id")))
 
@@ -419,7 +457,7 @@ def similar_pos_neg(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     mean = lambda cond: v.where(cond).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
     both = mean("label = 0").select(F.col("m").alias("pos")).crossJoin(mean("label = 1").select(F.col("m").alias("neg")))  # one row
-    score = C.cosine(F.col("embedding"), F.col("pos")) - T.negative_weight * C.cosine(F.col("embedding"), F.col("neg"))
+    score = C.cosine(F.col("embedding"), F.col("pos")) - T.negative_lambda * C.cosine(F.col("embedding"), F.col("neg"))
     rows = v.join(F.broadcast(both)).select("vec_id", "label", F.round(score, 6).alias("score"))
     return first_ranked(rows, ["label"], [F.col("score").desc(), F.col("vec_id")], 10).select("vec_id", "label", "score")
 
@@ -448,13 +486,16 @@ MONTHLY = "SELECT user_id, strftime(ts, '%Y-%m') AS period, event_id, CAST(json_
 
 
 def watch_hits(spark, sf_dir):
-    """Hits of a watch set's rerun (similar rows of this run) that the run before did not have."""
-    hits = cosine_knn(spark, sf_dir).select("query_id", "vec_id", "score")
-    before = hits.where("vec_id % 2 = 0").select("query_id", "vec_id")
-    return hits.join(before, ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", "score", F.lit(True).alias("is_new"))
+    """Hits of a watch set's rerun (similar rows) that the run before did not have: it searched the archive without its newest rows."""
+    v = _vectors(spark, sf_dir)
+    queries = v.where("vec_id % 20 = 0")
+    before = nearest(v.where("label <> 0"), queries, 5).select("query_id", "vec_id", F.lit(True).alias("old"))
+    hits = cosine_knn(spark, sf_dir).select("query_id", "vec_id", "score").join(before, ["query_id", "vec_id"], "left")
+    return hits.select("query_id", "vec_id", "score", F.col("old").isNull().alias("is_new"))
 
 
-HITS = f"SELECT query_id, vec_id, score, true AS is_new FROM ({KNN}) WHERE vec_id % 2 <> 0"
+HITS = f"""WITH old AS ({KNN.replace("a.vec_id <> b.vec_id QUALIFY", "a.vec_id <> b.vec_id AND b.label <> 0 QUALIFY")})
+ SELECT query_id, vec_id, score, (query_id, vec_id) NOT IN (SELECT (query_id, vec_id) FROM old) AS is_new FROM ({KNN})"""
 
 
 def mmr_rank(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoloom.config import T
 from geoloom.operators.timeline import first_ranked
 from geoloom.plans.change import CELLS, POINTS, _cells, _points
 from geoloom.operators import raster as R
@@ -71,24 +72,25 @@ STATES = f"""SELECT obs_id, px, CASE WHEN obs_id % 3 = 0 THEN {_V} >= 0.3 WHEN o
 
 
 def offset_probe(spark, sf_dir):
-    """Offset of each scene class by its low percentile where the baseline is recent."""
-    p = pixels(spark, sf_dir).groupBy("scl").agg(F.percentile("b08", 0.005).alias("a"), F.percentile("b11", 0.005).alias("b"))
-    return p.select("scl", F.when((F.col("scl") >= 4) & (F.greatest("a", "b") > 15), -1000).otherwise(0).alias("shift"), F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+    """Offset of each observation by its low percentiles where the baseline is recent (the fixture's scenes of even number)."""
+    p = pixels(spark, sf_dir).groupBy(F.floor(F.col("obs_id") / 500).alias("scene")).agg(*[F.percentile(F.col(b) + 940, 0.005).alias(n) for n, b in (("a", "b08"), ("b", "b11"))])
+    recent = F.col("scene") % 2 == 0
+    return p.select("scene", F.when(recent & (F.greatest("a", "b") > T.probe_offset_dn), -1000).otherwise(0).alias("shift"), F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-PROBE = f"SELECT scl, CASE WHEN scl >= 4 AND greatest(a, b) > 15 THEN -1000 ELSE 0 END AS shift, round(a, 4) AS a, round(b, 4) AS b FROM (SELECT scl, quantile_cont(b08, 0.005) AS a, quantile_cont(b11, 0.005) AS b FROM ({PIXELS}) GROUP BY scl)"
+PROBE = f"SELECT scene, CASE WHEN scene % 2 = 0 AND greatest(a, b) > 950 THEN -1000 ELSE 0 END AS shift, round(a, 4) AS a, round(b, 4) AS b FROM (SELECT CAST(floor(obs_id / 500) AS BIGINT) AS scene, quantile_cont(b08 + 940, 0.005) AS a, quantile_cont(b11 + 940, 0.005) AS b FROM ({PIXELS}) GROUP BY 1)"
 
 
 def reference_bootstrap(spark, sf_dir):
-    """The first scene of an area with enough usable becomes its reference; scenes before it are suspect."""
-    s = scenes(spark, sf_dir).withColumn("good", F.col("cloud") < 120000)
+    """The first scene of an area with enough usable becomes its reference; scenes before it are suspect. Usable: 1 less the cloud figure's share."""
+    s = scenes(spark, sf_dir).withColumn("good", 1 - F.col("cloud") / 300000 >= T.reference_min_usable)
     first = s.where("good").groupBy("aoi").agg(F.min_by(F.struct("acquired_at", "scene_id"), F.struct("acquired_at", "scene_id")).alias("ref"))
     at = F.struct("acquired_at", "scene_id")
     status = F.when(F.col("ref").isNull() | (at < F.col("ref")), "suspect").when(at == F.col("ref"), "reference").otherwise("compare")
     return s.join(first, "aoi", "left").select("scene_id", "aoi", status.alias("reg_status"))
 
 
-BOOT = f"""WITH s AS ({SCENES}), f AS (SELECT aoi, scene_id AS ref, acquired_at AS at_ref FROM s WHERE cloud < 120000 QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY acquired_at, scene_id) = 1)
+BOOT = f"""WITH s AS ({SCENES}), f AS (SELECT aoi, scene_id AS ref, acquired_at AS at_ref FROM s WHERE 1 - cloud / 300000 >= 0.6 QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY acquired_at, scene_id) = 1)
  SELECT scene_id, s.aoi, CASE WHEN ref IS NULL OR acquired_at < at_ref OR (acquired_at = at_ref AND scene_id < ref) THEN 'suspect' WHEN scene_id = ref THEN 'reference' ELSE 'compare' END AS reg_status FROM s LEFT JOIN f ON s.aoi = f.aoi"""
 
 
@@ -135,13 +137,16 @@ PREDICATES = "SELECT event_id, user_id, event_type, ts FROM events WHERE event_t
 
 
 def footprint_filter(spark, sf_dir):
-    """Candidate scenes whose footprint, shrunk by a margin, contains their area's box: bounds only."""
-    p = _points(spark, sf_dir)
-    inside = (F.col("x") - 4000 + 200 <= F.col("x") - F.col("id") % 5000) & (F.col("x") + F.col("id") % 5000 <= F.col("x") + 4000 - 200)
-    return p.where(inside & (F.col("v") < 9000)).select("id", "x", "y")
+    """Scenes in the grid's projection whose footprint, shrunk by a margin, contains their area's box: an equality on the area, then bounds."""
+    sc = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 7919 % 100000).alias("x"), (F.col("c_custkey") * 104729 % 100000).alias("y"), (32643 + F.col("c_nationkey") % 3).alias("epsg"), (F.col("c_custkey") % 100 + 1).alias("area"))
+    box = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("area"), (F.col("s_suppkey") * 6151 % 100000).alias("x0"), (F.col("s_suppkey") * 49157 % 100000).alias("y0"))
+    half, margin, side = 40000, 200, 4000
+    inside = (F.col("x") - half + margin <= F.col("x0")) & (F.col("x0") + side <= F.col("x") + half - margin) & (F.col("y") - half + margin <= F.col("y0")) & (F.col("y0") + side <= F.col("y") + half - margin)
+    return sc.where("epsg = 32644").join(box, "area").where(inside).select("c_custkey", "area")
 
 
-FOOTPRINT = f"SELECT id, x, y FROM ({POINTS}) WHERE x - 4000 + 200 <= x - id % 5000 AND x + id % 5000 <= x + 4000 - 200 AND v < 9000"
+FOOTPRINT = """SELECT c_custkey, area FROM (SELECT c_custkey, c_custkey * 7919 % 100000 AS x, c_custkey * 104729 % 100000 AS y, c_custkey % 100 + 1 AS area FROM customer WHERE 32643 + c_nationkey % 3 = 32644)
+ JOIN (SELECT s_suppkey AS area, s_suppkey * 6151 % 100000 AS x0, s_suppkey * 49157 % 100000 AS y0 FROM supplier) USING (area) WHERE x - 39800 <= x0 AND x0 + 4000 <= x + 39800 AND y - 39800 <= y0 AND y0 + 4000 <= y + 39800"""
 
 
 def text_search(spark, sf_dir):

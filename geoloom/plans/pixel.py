@@ -77,12 +77,23 @@ LABEL = f"""CASE WHEN cover = 60 AND {NDVI} < 0.25 AND {MNDWI} < 0 THEN 3 WHEN c
 
 
 def pixel_features(spark, sf_dir):
-    """The per-pixel part of the classifier's features: reflectances, indices, brightness."""
-    bright = sum((F.col(b) for b in BANDS), F.lit(0)) / 60000
-    return pixels(spark, sf_dir).select("obs_id", "px", *[F.round(F.col(b) / 10000, 6).alias(f"r_{b}") for b in BANDS], F.round(C.ndvi(), 6).alias("ndvi"), F.round(C.bsi(), 6).alias("bsi"), F.round(bright, 6).alias("brightness"))
+    """The classifier's twelve features: reflectances, indices, brightness of the visible bands, 3 x 3 deviation of B08.
+
+    An observation's pixels are one row of a raster here; beyond its ends the end pixels are repeated. The deviation is
+    taken in whole digital numbers.
+    """
+    w = W.partitionBy("obs_id").orderBy("px", *BANDS)
+    near = [F.coalesce(F.lag("b08", 1).over(w), F.col("b08")), F.col("b08"), F.coalesce(F.lead("b08", 1).over(w), F.col("b08"))]
+    near = [x.cast("long") for x in near]
+    spread = F.sqrt((3 * sum((x * x for x in near), F.lit(0)) - sum(near, F.lit(0)) * sum(near, F.lit(0))).cast("double")) / 3 / 10000
+    bright = (F.col("b02") + F.col("b03") + F.col("b04")) / 30000
+    made = {"ndvi": C.ndvi(), "mndwi": C.mndwi(), "ndbi": C.ndbi(), "bsi": C.bsi(), "brightness": bright, "nir_std3": spread}
+    return pixels(spark, sf_dir).select("obs_id", "px", *[F.round(F.col(b) / 10000, 6).alias(f"r_{b}") for b in BANDS], *[F.round(c, 6).alias(n) for n, c in made.items()])
 
 
-FEATURES = "SELECT obs_id, px, " + ", ".join(f"round({b} / 10000.0::DOUBLE, 6) AS r_{b}" for b in BANDS) + f", round({NDVI}, 6) AS ndvi, round({BSI}, 6) AS bsi, round((b02+b03+b04+b08+b11+b12) / 60000.0::DOUBLE, 6) AS brightness FROM ({PIXELS})"
+FEATURES = f"""SELECT obs_id, px, {", ".join(f"round({b} / 10000.0::DOUBLE, 6) AS r_{b}" for b in BANDS)}, round({NDVI}, 6) AS ndvi, round({MNDWI}, 6) AS mndwi, round({NDBI}, 6) AS ndbi, round({BSI}, 6) AS bsi,
+ round((b02 + b03 + b04) / 30000.0::DOUBLE, 6) AS brightness, round(sqrt((3 * (b * b + b08::BIGINT * b08 + a * a) - (b + b08 + a) * (b + b08 + a))::DOUBLE) / 3 / 10000, 6) AS nir_std3
+ FROM (SELECT *, coalesce(lag(b08) OVER w, b08)::BIGINT AS b, coalesce(lead(b08) OVER w, b08)::BIGINT AS a FROM ({PIXELS}) WINDOW w AS (PARTITION BY obs_id ORDER BY px, b02, b03, b04, b08, b11, b12))"""
 
 
 def mask_stats(spark, sf_dir):
@@ -125,72 +136,100 @@ CLASSES = f"""SELECT * FROM (SELECT obs_id, label, round(count(*) / sum(count(*)
  FROM (SELECT obs_id, {LABEL} AS label FROM ({PIXELS}) WHERE scl IN (4,5,6,7)) GROUP BY obs_id, label) WHERE label >= 0"""
 
 
+#: Observations of a few thousand pixels each, whose number grows with the table.
+SCENE = "CAST(floor(obs_id / 500) AS BIGINT)"
+
+
+def _scene_pixels(spark, sf_dir):
+    return pixels(spark, sf_dir).withColumn("scene", F.floor(F.col("obs_id") / 500))
+
+
 def haze_mad(spark, sf_dir):
-    """Median and scaled MAD of the haze transform over clear pixels of each class, and the pixels above the haze limit."""
-    clear = pixels(spark, sf_dir).where("scl IN (4, 5)").select("cover", (F.col("b02") / 10000 - F.col("b04") / 20000 - 0.08).alias("hot"))
-    med = clear.groupBy("cover").agg(F.median("hot").alias("med"), F.count("*").alias("n"))
-    with_med = clear.join(med, "cover")
-    mad = with_med.groupBy("cover").agg((F.median(F.abs(F.col("hot") - F.col("med"))) * 1.4826).alias("mad"))
-    limit = F.col("med") + T.hot_k * F.greatest(F.col("mad"), F.lit(0.001))
-    hazy = with_med.join(mad, "cover").groupBy("cover").agg(F.sum(((F.col("hot") > limit) & (F.col("hot") > T.hot_min)).cast("int")).alias("hazy"))
-    return med.join(mad, "cover").join(hazy, "cover").select("cover", "n", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.col("hazy").cast("long").alias("hazy"))
+    """Per observation: median and scaled MAD of the haze transform over clear pixels, and the pixels above the haze limit.
+
+    There is no limit with `haze_least_clear` clear pixels or fewer. One scan and one shuffle: both medians are windows
+    over an observation's clear pixels.
+    """
+    w = W.partitionBy("scene")
+    hot = F.col("b02") / 10000 - F.col("b04") / 20000 - 0.08
+    clear = _scene_pixels(spark, sf_dir).where("scl IN (4, 5)").select("scene", hot.alias("hot")).withColumn("med", F.median("hot").over(w))
+    clear = clear.withColumn("mad", F.median(F.abs(F.col("hot") - F.col("med"))).over(w) * 1.4826)
+    limit = F.col("med") + T.haze_hot_mad_k * F.greatest(F.col("mad"), F.lit(0.001))
+    out = clear.groupBy("scene").agg(F.count("*").alias("n"), F.max("med").alias("med"), F.max("mad").alias("mad"), F.sum(((F.col("hot") > limit) & (F.col("hot") > T.haze_min_hot)).cast("long")).alias("hazy"))
+    able = F.col("n") > T.haze_least_clear
+    return out.select("scene", "n", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.when(able, F.col("hazy")).otherwise(0).alias("hazy"))
 
 
-HAZE = f"""WITH c AS (SELECT cover, b02 / 10000.0::DOUBLE - b04 / 20000.0::DOUBLE - 0.08::DOUBLE AS hot FROM ({PIXELS}) WHERE scl IN (4, 5)),
- m AS (SELECT cover, median(hot) AS med, count(*) AS n FROM c GROUP BY cover),
- d AS (SELECT cover, median(abs(hot - med)) * 1.4826::DOUBLE AS mad FROM c JOIN m USING (cover) GROUP BY cover)
- SELECT cover, n, round(med, 6) AS med, round(mad, 6) AS mad,
- (SELECT CAST(sum((hot > med + 4.0::DOUBLE * greatest(mad, 0.001::DOUBLE) AND hot > 0.02)::INT) AS BIGINT) FROM c WHERE c.cover = m.cover) AS hazy FROM m JOIN d USING (cover)"""
+HAZE = f"""WITH c AS (SELECT {SCENE} AS scene, b02 / 10000.0::DOUBLE - b04 / 20000.0::DOUBLE - 0.08::DOUBLE AS hot FROM ({PIXELS}) WHERE scl IN (4, 5)),
+ m AS (SELECT scene, median(hot) AS med, count(*) AS n FROM c GROUP BY scene),
+ d AS (SELECT scene, median(abs(hot - med)) * 1.4826::DOUBLE AS mad FROM c JOIN m USING (scene) GROUP BY scene)
+ SELECT scene, n, round(med, 6) AS med, round(mad, 6) AS mad, CASE WHEN n > 500 THEN
+ (SELECT CAST(sum((hot > med + 4.0::DOUBLE * greatest(mad, 0.001::DOUBLE) AND hot > 0.02)::INT) AS BIGINT) FROM c WHERE c.scene = m.scene) ELSE 0 END AS hazy FROM m JOIN d USING (scene)"""
 
 
 def dark_pixel(spark, sf_dir):
-    """The dark-pixel test per scene class: exact low percentile and the share below the offset's floor."""
-    rows = pixels(spark, sf_dir).select("scl", F.explode(F.array("b08", "b11", "b12")).alias("dn")).where("dn > 0")
-    out = rows.groupBy("scl").agg(F.percentile("dn", 0.005).alias("p"), F.avg((F.col("dn") < 950).cast("double")).alias("share"))
+    """The dark-pixel test per observation: exact low percentile and the share below the offset's floor."""
+    rows = _scene_pixels(spark, sf_dir).select("scene", F.explode(F.array("b08", "b11", "b12")).alias("dn")).where("dn > 0")
+    out = rows.groupBy("scene").agg(F.percentile("dn", 0.005).alias("p"), F.avg((F.col("dn") < 950).cast("double")).alias("share"))
     verdict = F.when(F.col("share") > 0.005, "inconsistent").when(F.col("p") < 1000, "consistent").otherwise("unverified")
-    return out.select("scl", F.round("p", 6).alias("p"), F.round("share", 6).alias("share"), verdict.alias("verdict"))
+    return out.select("scene", F.round("p", 6).alias("p"), F.round("share", 6).alias("share"), verdict.alias("verdict"))
 
 
-DARK = f"""SELECT scl, round(quantile_cont(dn, 0.005), 6) AS p, round(avg((dn < 950)::INT), 6) AS share,
+DARK = f"""SELECT scene, round(quantile_cont(dn, 0.005), 6) AS p, round(avg((dn < 950)::INT), 6) AS share,
  CASE WHEN avg((dn < 950)::INT) > 0.005 THEN 'inconsistent' WHEN quantile_cont(dn, 0.005) < 1000 THEN 'consistent' ELSE 'unverified' END AS verdict
- FROM (SELECT scl, unnest([b08, b11, b12]) AS dn FROM ({PIXELS})) WHERE dn > 0 GROUP BY scl"""
+ FROM (SELECT {SCENE} AS scene, unnest([b08, b11, b12]) AS dn FROM ({PIXELS})) WHERE dn > 0 GROUP BY scene"""
 
 
 def band_medians(spark, sf_dir):
-    rows = pixels(spark, sf_dir).groupBy("cover")
-    return rows.agg(*[F.round(F.median(F.nullif(F.col(b), F.lit(0))), 6).alias(f"med_{b}") for b in BANDS])
+    """Median of each band of an observation, without no data; a scene without any (a DEM's fill) has none."""
+    return _scene_pixels(spark, sf_dir).groupBy("scene").agg(*[F.round(F.median(F.nullif(F.col(b), F.lit(0))), 6).alias(f"med_{b}") for b in BANDS])
+
+
+MEDIANS = f"SELECT {SCENE} AS scene, " + ", ".join(f"round(median(nullif({b}, 0)), 6) AS med_{b}" for b in BANDS) + f" FROM ({PIXELS}) GROUP BY 1"
+
+
+def dem_fill(spark, sf_dir):
+    """A band without its no-data places: they take the observation's median, and stay empty where all are."""
+    w = W.partitionBy("scene")
+    rows = _scene_pixels(spark, sf_dir).select("scene", "obs_id", "px", F.nullif(F.col("b02"), F.lit(0)).alias("dem"))
+    return rows.select("scene", "obs_id", "px", F.round(F.coalesce(F.col("dem").cast("double"), F.median("dem").over(w)), 4).alias("dem"))
 
 
-MEDIANS = "SELECT cover, " + ", ".join(f"round(median(nullif({b}, 0)), 6) AS med_{b}" for b in BANDS) + f" FROM ({PIXELS}) GROUP BY cover"
+DEM = f"SELECT scene, obs_id, px, round(coalesce(dem::DOUBLE, median(dem) OVER (PARTITION BY scene)), 4) AS dem FROM (SELECT {SCENE} AS scene, obs_id, px, nullif(b02, 0) AS dem FROM ({PIXELS}))"
 
 
 def pif_fit(spark, sf_dir):
-    """Robust per-band gain between two observations: the median slope over pairs of stable pixels, a bounded sample of them.
+    """Robust gain of an observation (y) to its reference (x) over stable pixels: the median slope over their pairs.
 
-    The sample keeps the pixels with the smallest hashes; the pair join is then bounded by the square of the cap.
+    At most `invariant_cap` pixels of a group take part, those with the smallest hashes, so the pair join is bounded by
+    its square; a group of fewer than `invariant_least` has no fit.
     """
     key = F.sha2(F.concat_ws("-", "event_id"), 256)
     rows = observations(spark, sf_dir).select("role", F.col("value").alias("x"), (F.col("value") * 1.1 + F.col("event_id") % 13).alias("y"), "event_id", key.alias("k"))
-    sample = rows.withColumn("r", F.row_number().over(W.partitionBy("role").orderBy("k", "event_id"))).where("r <= 60")
+    rows = rows.where(F.abs(F.col("y") / 1.1 - F.col("x")) < 10)  # stable
+    all_of = W.partitionBy("role")
+    sample = rows.withColumn("n", F.count("*").over(all_of)).withColumn("r", F.row_number().over(all_of.orderBy("k", "event_id")))
+    sample = sample.where((F.col("r") <= T.invariant_cap) & (F.col("n") >= T.invariant_least))
     a, b = sample.alias("a"), sample.alias("b")
-    pairs = a.join(b, (F.col("a.role") == F.col("b.role")) & (F.col("a.r") < F.col("b.r")) & (F.col("a.x") != F.col("b.x")))
-    slope = pairs.groupBy(F.col("a.role").alias("role")).agg(F.median((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("gain"), F.count("*").alias("pairs"))
-    mids = sample.groupBy("role").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
-    fit = slope.join(mids, "role").select("role", "gain", "pairs", (F.col("my") - F.col("gain") * F.col("mx")).alias("shift"))
-    rmse = sample.join(fit, "role").groupBy("role").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("gain") * F.col("x") - F.col("shift"), 2))).alias("rmse"))
-    return fit.join(rmse, "role").select("role", "pairs", *[F.round(c, 6).alias(c) for c in ("gain", "shift", "rmse")])
+    pairs = a.join(b, (F.col("a.role") == F.col("b.role")) & (F.col("a.r") < F.col("b.r")) & (F.col("a.y") != F.col("b.y")))
+    slope = pairs.groupBy(F.col("a.role").alias("role")).agg(F.median((F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))).alias("gain"), F.count("*").alias("pairs"))
+    mids = sample.groupBy("role").agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.max("n").alias("n_pif"))
+    fit = slope.join(mids, "role").select("role", "gain", "pairs", "n_pif", (F.col("mx") - F.col("gain") * F.col("my")).alias("shift"))
+    rmse = sample.join(fit, "role").groupBy("role").agg(F.sqrt(F.avg(F.pow(F.col("x") - F.col("gain") * F.col("y") - F.col("shift"), 2))).alias("rmse"))
+    return fit.join(rmse, "role").select("role", "pairs", "n_pif", *[F.round(c, 6).alias(c) for c in ("gain", "shift", "rmse")])
 
 
-PIF = """WITH s AS (SELECT event_type AS role, value AS x, value * 1.1::DOUBLE + event_id % 13 AS y, row_number() OVER (PARTITION BY event_type ORDER BY sha256(event_id::VARCHAR), event_id) AS r FROM events QUALIFY r <= 60),
- g AS (SELECT a.role, median((b.y - a.y) / (b.x - a.x)) AS gain, count(*) AS pairs FROM s a JOIN s b ON a.role = b.role AND a.r < b.r AND a.x <> b.x GROUP BY a.role),
- m AS (SELECT role, median(x) AS mx, median(y) AS my FROM s GROUP BY role),
- f AS (SELECT role, gain, pairs, my - gain * mx AS shift FROM g JOIN m USING (role))
- SELECT role, pairs, round(gain, 6) AS gain, round(shift, 6) AS shift, round(sqrt(avg((y - gain * x - shift) ** 2)), 6) AS rmse FROM s JOIN f USING (role) GROUP BY role, pairs, gain, shift"""
+PIF = f"""WITH t AS (SELECT event_type AS role, value AS x, value * 1.1::DOUBLE + event_id % 13 AS y, event_id FROM events),
+ s AS (SELECT *, count(*) OVER (PARTITION BY role) AS n, row_number() OVER (PARTITION BY role ORDER BY sha256(event_id::VARCHAR), event_id) AS r FROM t WHERE abs(y / 1.1::DOUBLE - x) < 10 QUALIFY r <= {T.invariant_cap} AND n >= {T.invariant_least}),
+ g AS (SELECT a.role, median((b.x - a.x) / (b.y - a.y)) AS gain, count(*) AS pairs FROM s a JOIN s b ON a.role = b.role AND a.r < b.r AND a.y <> b.y GROUP BY a.role),
+ m AS (SELECT role, median(x) AS mx, median(y) AS my, max(n) AS n_pif FROM s GROUP BY role),
+ f AS (SELECT role, gain, pairs, n_pif, mx - gain * my AS shift FROM g JOIN m USING (role))
+ SELECT role, pairs, n_pif, round(gain, 6) AS gain, round(shift, 6) AS shift, round(sqrt(avg((x - gain * y - shift) ** 2)), 6) AS rmse FROM s JOIN f USING (role) GROUP BY role, pairs, n_pif, gain, shift"""
 
 
 def normalize_apply(spark, sf_dir):
     """Bands after gain and offset where the fit is good, else as they are."""
-    ok = (F.col("obs_id") % 5 != 0) & F.lit(0.03 <= T.max_rmse)
+    ok = (F.col("obs_id") % 5 != 0) & F.lit(0.03 <= T.max_norm_rmse)
     return pixels(spark, sf_dir).select("obs_id", "px", *[F.round(F.when(ok, F.col(b) / 10000 * 1.05 + 0.002).otherwise(F.col(b) / 10000), 6).alias(f"n_{b}") for b in BANDS])
 
 
@@ -234,15 +273,15 @@ F1 = f"""WITH j AS ({JUDGED}), c AS (SELECT y AS label FROM j UNION SELECT p FRO
 
 
 def stratified_sample(spark, sf_dir):
-    """A repeatable bounded sample for each observation group and class: the smallest hashes."""
-    rows = pixels(spark, sf_dir).select((F.col("obs_id") % 40).alias("grp"), "obs_id", "px", "b02", "b03", C.refine_label(F.col("cover"), C.ndvi(), C.mndwi()).alias("label")).where("label >= 0")
+    """A repeatable bounded sample for each observation and class: the `sample_per_class` smallest hashes."""
+    rows = _scene_pixels(spark, sf_dir).select("scene", "obs_id", "px", "b02", "b03", C.refine_label(F.col("cover"), C.ndvi(), C.mndwi()).alias("label")).where("label >= 0")
     key = F.sha2(F.concat_ws("-", F.lit("42"), "obs_id", "px", "b02", "b03"), 256)
-    rank = F.row_number().over(W.partitionBy("grp", "label").orderBy("k", "obs_id", "px", "b02", "b03"))
-    return rows.withColumn("k", key).withColumn("r", rank).where("r <= 20").select("grp", "label", "obs_id", "px", "b02", "b03", "r")
+    rank = F.row_number().over(W.partitionBy("scene", "label").orderBy("k", "obs_id", "px", "b02", "b03"))
+    return rows.withColumn("k", key).withColumn("r", rank).where(F.col("r") <= T.sample_per_class).select("scene", "label", "obs_id", "px", "b02", "b03", "r")
 
 
-SAMPLE = f"""SELECT grp, label, obs_id, px, b02, b03, row_number() OVER (PARTITION BY grp, label ORDER BY sha256('42-' || obs_id || '-' || px || '-' || b02 || '-' || b03), obs_id, px, b02, b03) AS r
- FROM (SELECT obs_id % 40 AS grp, obs_id, px, b02, b03, {LABEL} AS label FROM ({PIXELS})) WHERE label >= 0 QUALIFY r <= 20"""
+SAMPLE = f"""SELECT scene, label, obs_id, px, b02, b03, row_number() OVER (PARTITION BY scene, label ORDER BY sha256('42-' || obs_id || '-' || px || '-' || b02 || '-' || b03), obs_id, px, b02, b03) AS r
+ FROM (SELECT {SCENE} AS scene, obs_id, px, b02, b03, {LABEL} AS label FROM ({PIXELS})) WHERE label >= 0 QUALIFY r <= {T.sample_per_class}"""
 
 
 def probability_bytes(spark, sf_dir):
@@ -275,12 +314,12 @@ TILES = """SELECT user_id AS tile_id, CAST(ts AS DATE) AS day, count(*) AS n_obs
 QUERIES = {
     "tile_stats": tile_stats, "spectral_indices": spectral_indices, "standardise_dn": standardise_dn, "rgb_stretch": rgb_stretch, "refine_labels": refine_labels,
     "pixel_features": pixel_features, "mask_stats": mask_stats, "landcover_fractions": landcover_fractions, "class_fractions": class_fractions, "haze_mad": haze_mad,
-    "dark_pixel": dark_pixel, "band_medians": band_medians, "theil_sen": pif_fit, "normalize_apply": normalize_apply, "class_weights": class_weights,
+    "dark_pixel": dark_pixel, "band_medians": band_medians, "dem_fill": dem_fill, "theil_sen": pif_fit, "normalize_apply": normalize_apply, "class_weights": class_weights,
     "confusion_matrix": confusion, "class_f1": class_f1, "stratified_sample": stratified_sample, "probability_bytes": probability_bytes,
 }
 ORACLE = {
     "tile_stats": TILES, "spectral_indices": SPECTRAL, "standardise_dn": STANDARDISE, "rgb_stretch": RGB,
     "refine_labels": f"SELECT obs_id, px, cover, {LABEL} AS label FROM ({PIXELS})", "pixel_features": FEATURES, "mask_stats": MASK, "landcover_fractions": LANDCOVER,
-    "class_fractions": CLASSES, "haze_mad": HAZE, "dark_pixel": DARK, "band_medians": MEDIANS, "theil_sen": PIF, "normalize_apply": NORMALIZE, "class_weights": WEIGHTS,
+    "class_fractions": CLASSES, "haze_mad": HAZE, "dark_pixel": DARK, "band_medians": MEDIANS, "dem_fill": DEM, "theil_sen": PIF, "normalize_apply": NORMALIZE, "class_weights": WEIGHTS,
     "confusion_matrix": f"SELECT y, p, count(*) AS n FROM ({JUDGED}) GROUP BY y, p", "class_f1": F1, "stratified_sample": SAMPLE, "probability_bytes": PROBABILITY,
 }

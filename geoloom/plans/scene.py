@@ -133,17 +133,24 @@ LINEAGE = "SELECT c_nationkey, count(*) AS n_obs, count(DISTINCT o_orderkey) AS
 
 
 def provenance_rows(spark, sf_dir):
-    """Records of an event, or of the observations and scenes in its lists, each type matched with its own list."""
+    """Records of every event, or of the observations and scenes in its lists, each type matched with its own list.
+
+    An event is a customer: its observations are the customer's orders, its scenes the suppliers of the customer's nation.
+    """
     records = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    obs = read(spark, sf_dir, "orders").where("o_custkey % 50 = 7").select(F.col("o_orderkey").alias("id"))
-    sc = read(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("id"))
-    a = records.where("event_type = 'view'").join(obs, F.col("event_id") == F.col("id"), "left_semi")
-    b = records.where("event_type = 'click'").join(sc, F.col("user_id") == F.col("id"), "left_semi")
-    return a.unionByName(b).unionByName(records.where("event_type = 'error' AND event_id % 100 = 3"))
+    of = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    obs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artifact"), F.col("o_orderkey").alias("event_id"))
+    sc = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(of, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artifact"), F.col("s_suppkey").alias("user_id"))
+    names = ["artifact", "event_id", "user_id", "event_type"]
+    a = records.where("event_type = 'view'").join(obs, "event_id").select(*names)
+    b = records.where("event_type = 'click'").join(sc, "user_id").select(*names)
+    own = records.where("event_type = 'error'").join(of.select(F.col("c_custkey").alias("artifact")), F.col("event_id") == F.col("artifact")).select(*names)
+    return a.unionByName(b).unionByName(own)
 
 
-PROVENANCE = """SELECT event_id, user_id, event_type FROM events WHERE (event_type = 'view' AND event_id IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 7))
- OR (event_type = 'click' AND user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)) OR (event_type = 'error' AND event_id % 100 = 3)"""
+PROVENANCE = """SELECT o_custkey AS artifact, event_id, user_id, event_type FROM events JOIN orders ON event_id = o_orderkey WHERE event_type = 'view'
+ UNION ALL SELECT c_custkey, event_id, user_id, event_type FROM events JOIN supplier ON user_id = s_suppkey JOIN customer ON s_nationkey = c_nationkey WHERE event_type = 'click'
+ UNION ALL SELECT c_custkey, event_id, user_id, event_type FROM events JOIN customer ON event_id = c_custkey WHERE event_type = 'error'"""
 
 
 def choose_reference(spark, sf_dir):
@@ -279,12 +286,12 @@ SEARCH = f"SELECT scene_id, aoi, acquired_at, status FROM ({SCENES}) WHERE acqui
 
 
 def fileset_hash(spark, sf_dir):
-    """An order-independent hash of each source's set of files."""
-    d = read(spark, sf_dir, "documents").select("source", F.concat(F.lit('["'), F.col("doc_id"), F.lit('","'), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.lit('"]')).alias("pair"))
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("pair")), ","), F.lit("]")), 256).alias("raw_sha256"))
+    """An order-independent hash of each scene's set of files: an order's lines, which are a bounded list."""
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit('["'), F.col("l_linenumber"), F.lit('","'), F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey", "l_returnflag").cast("binary"), 256), F.lit('"]')).alias("pair"))
+    return d.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("pair")), ","), F.lit("]")), 256).alias("raw_sha256"))
 
 
-FILESET = """SELECT source, count(*) AS n, sha256('[' || string_agg(pair, ',' ORDER BY pair) || ']') AS raw_sha256 FROM (SELECT source, '["' || doc_id || '","' || sha256(coalesce(text, '')) || '"]' AS pair FROM documents) GROUP BY source"""
+FILESET = """SELECT l_orderkey, count(*) AS n, sha256('[' || string_agg(pair, ',' ORDER BY pair) || ']') AS raw_sha256 FROM (SELECT l_orderkey, '["' || l_linenumber || '","' || sha256(l_partkey || '|' || l_suppkey || '|' || l_returnflag) || '"]' AS pair FROM lineitem) GROUP BY l_orderkey"""
 
 
 def sidecar_parse(spark, sf_dir):
