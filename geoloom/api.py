@@ -5,24 +5,28 @@ An Archive holds one DataFrame for each relation by name; nothing is read until
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+import json
+from collections.abc import Callable, Mapping
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.config import JOB_PRIORITY, T
-from geoloom.functions.columns import unit_hash
-from geoloom.operators.chains import chain_state
-from geoloom.operators.timeline import first_ranked
-from geoloom.operators.vectors import nearest
+from geoloom.config import GENESIS, JOB_AFTER, JOB_PRIORITY, T
+from geoloom.functions.columns import confidence_level, cosine, unit_hash
+from geoloom.operators import intake, planning
+from geoloom.operators.spatial import within
+from geoloom.operators.timeline import first_ranked, ranked_in_buckets
 from geoloom.sources import sinks
 
 ACTIVE = ("pending", "running", "retry")
 # The order of event states in review.
 STATE_RANK = ["CONFIRMED", "PROVISIONAL", "TENTATIVE", "INSUFFICIENT_DATA", "REVERSED", "TRANSIENT", "SUPPRESSED", "REJECTED"]
 # Guarded transitions of jobs.
+LEVELS = ["LOW", "MEDIUM", "HIGH"]
 JOB_MOVES = {"complete": ({"running"}, "done"), "retry": ({"failed", "cancelled"}, "pending"), "cancel": ({"pending", "retry"}, "cancelled")}
 
 
@@ -84,6 +88,7 @@ class Archive:
     def events(self, filters: Mapping | None = None) -> DataFrame:
         """Events under the conjunction of the filters that are given."""
         f = {k: v for k, v in (filters or {}).items() if v is not None}
+        ranks = F.array(*map(F.lit, STATE_RANK))
         made = {
             "aoi": lambda v: F.col("aoi_id") == v,
             "since": lambda v: F.col("first_supported") >= F.lit(v),
@@ -92,7 +97,15 @@ class Archive:
             "states": lambda v: F.col("machine_state").isin(list(v)),
             "min_confidence": lambda v: F.col("confidence") >= v,
             "max_distance_m": lambda v: F.col("distance_m") <= v,
+            "sensor": lambda v: F.col("sensor") == v,
+            "max_gsd": lambda v: F.col("gsd_m") <= v,
+            "min_state": lambda v: F.array_position(ranks, F.col("machine_state")).between(1, STATE_RANK.index(v) + 1),
+            "min_level": lambda v: F.array_position(F.array(*map(F.lit, LEVELS)), confidence_level(F.col("confidence"), F.col("machine_state") == "CONFIRMED")) > LEVELS.index(v),
+            "reference_layer": lambda v: F.col("near_layer") == v,
         }
+        if f.get("watch_set") is not None:  # members are joined, not listed
+            members = self["watch_set_members"].where(F.col("watch_set_id") == f.pop("watch_set")).select("tile_id").distinct()
+            return Archive({**self.tables, "change_events": self["change_events"].join(members, "tile_id", "left_semi")}).events(f)
         rows = reduce(DataFrame.where, [made[k](v) for k, v in f.items() if k in made], self["change_events"])
         hidden = [s for s, k in (("SUPPRESSED", "include_suppressed"), ("TRANSIENT", "include_transient")) if not f.get(k)]
         return rows.where(~F.col("machine_state").isin(hidden)) if hidden else rows
@@ -112,8 +125,38 @@ class Archive:
         every = self.events({**(filters or {}), "include_suppressed": True})
         return every.where("machine_state <> 'SUPPRESSED'"), every.where("machine_state = 'SUPPRESSED'")
 
-    def similar(self, positives: DataFrame, k: int = T.fetch_k) -> DataFrame:
-        return nearest(self["embeddings"], positives, k)
+    def similar(self, positives: DataFrame, negatives: DataFrame | None = None, k: int = T.fetch_k, exclude_m: float = 0.0) -> DataFrame:
+        """vec_id, score: rows by their likeness to the positives' mean, less `negative_lambda` times that to the negatives'.
+
+        The examples themselves, and rows (with x, y) within `exclude_m` of a positive, are left out; the k best stay.
+        """
+        rows = self["embeddings"]
+        mean = lambda df: df.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+        like = rows.crossJoin(F.broadcast(mean(positives).withColumnRenamed("m", "pos")))  # one row
+        score = cosine(F.col("embedding"), F.col("pos"))
+        if negatives is not None:
+            like = like.crossJoin(F.broadcast(mean(negatives).withColumnRenamed("m", "neg")))
+            score = score - T.negative_lambda * F.coalesce(cosine(F.col("embedding"), F.col("neg")), F.lit(0.0))
+        used = positives if negatives is None else positives.unionByName(negatives, allowMissingColumns=True)
+        like = like.join(used.select("vec_id").distinct(), "vec_id", "left_anti")
+        if exclude_m:
+            points = rows.select(F.col("vec_id").alias("id"), "x", "y")
+            near = within(points, positives.select(F.col("x").alias("ox"), F.col("y").alias("oy")), int(exclude_m)).select(F.col("id").alias("vec_id")).distinct()
+            like = like.join(near, "vec_id", "left_anti")
+        return like.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(k)
+
+    def thresholds(self) -> dict:
+        """The threshold set in force, by key."""
+        return asdict(T)
+
+    def water_reference(self, aoi: str) -> DataFrame:
+        """The latest reference water body of an area: its date and geometry; no row if there is none."""
+        return self["water_references"].where(F.col("aoi_id") == aoi).groupBy("aoi_id").agg(F.max_by(F.struct("date", "geometry"), "date").alias("w")).select("aoi_id", "w.*")
+
+    def plan(self, text: str, today: dt.date, gsd_m: float = 10.0) -> dict:
+        """The query plan of a text under the archive's concept registry and loaded layers."""
+        layers = [r.kind for r in self["layers"].select("kind").distinct().collect()] if "layers" in self.tables else []  # a few kinds
+        return planning.plan(self["concepts"].sparkSession, text, self["concepts"], today, gsd_m, layers, T.near_default_m)
 
     def review_queue(self) -> DataFrame:
         """Undecided events by zone, state, confidence and magnitude, with hash slices for audit and uncertainty."""
@@ -146,14 +189,45 @@ class Archive:
         return eo.join(obs, "observation_id").join(scenes, "scene_id").orderBy("acquired_at")
 
     def verify_audit(self) -> DataFrame:
-        log = self["audit_log"].withColumn("chain", F.lit(0))
-        return chain_state(log, "chain", "seq", "prev_hash", "record_hash", F.sha2(F.concat("prev_hash", "payload"), 256)).drop("chain")
+        """Total, first bad place, its problem, and the head of the log, which is one chain.
+
+        Records are numbered in buckets of their sequence and meet the one before by its number: no task sees all of them.
+        """
+        log = self["audit_log"].withColumn("__all", F.lit(0))
+        log = ranked_in_buckets(log, ["__all"], [F.floor(F.col("seq") / 65536)], [F.col("seq")], "__rank")
+        before = log.select((F.col("__rank") + 1).alias("__rank"), F.col("record_hash").alias("__before"))
+        rows = log.join(before, "__rank", "left")
+        broken = F.col("prev_hash") != F.coalesce("__before", F.when(F.col("__rank") == 1, F.lit(GENESIS)), F.lit(""))
+        problem = F.when(broken, "link").when(F.col("record_hash") != F.sha2(F.concat("prev_hash", "payload"), 256), "content")
+        bad = F.min(F.when(problem.isNotNull(), F.struct(F.col("seq").alias("at"), problem.alias("what"))))
+        out = rows.agg(F.count("*").alias("total"), bad.alias("bad"), F.max_by("record_hash", "seq").alias("head"))
+        return out.select("total", F.col("bad.at").alias("first_bad"), F.col("bad.what").alias("problem"), "head")
+
+    def append_audit(self, action: str, payload: Mapping) -> DataFrame:
+        """The log with one more record, linked to its head (one row is read)."""
+        log = self["audit_log"]
+        head = log.agg(F.max("seq").alias("seq"), F.max_by("record_hash", "seq").alias("head")).first()
+        body = json.dumps({"action": action, **payload}, sort_keys=True, separators=(",", ":"))
+        prev = head["head"] or GENESIS
+        row = log.sparkSession.range(1).select(F.lit((head["seq"] or 0) + 1).cast(log.schema["seq"].dataType).alias("seq"), F.lit(body).alias("payload"), F.lit(prev).alias("prev_hash"))
+        row = row.withColumn("record_hash", F.sha2(F.concat("prev_hash", "payload"), 256))
+        return log.unionByName(row, allowMissingColumns=True)
+
+    def _needs(self, role: str, *allowed: str) -> None:
+        if role not in allowed:
+            raise PermissionError(f"{role} may not do this")
 
     # Changes: each returns the table to write
 
-    def decide(self, decision: DataFrame) -> DataFrame:
-        """Decisions with one more; an event's analyst state is that of its latest decision, its machine state stays."""
-        return self["analyst_decisions"].unionByName(decision)
+    def decide(self, decision: DataFrame, role: str = "analyst") -> tuple[DataFrame, DataFrame]:
+        """Decisions with one more, and the audit log with its record; an event's analyst state is that of its latest decision, its machine state stays."""
+        self._needs(role, "analyst", "admin")
+        row = decision.first()
+        return self["analyst_decisions"].unionByName(decision), self.append_audit("event.decided", {"decision": row["decision"], "event_id": row["event_id"], "role": role})
+
+    def release(self, orders: DataFrame, role: str, actor: str) -> DataFrame:
+        """What an administrator's orders release from quarantine (`operators.intake.release`)."""
+        return intake.release(self["quarantine"], orders, role, actor)
 
     def analyst_states(self) -> DataFrame:
         return self["analyst_decisions"].groupBy("event_id").agg(F.max_by("decision", F.struct("created_at", "id")).alias("analyst_state"))
@@ -187,6 +261,45 @@ class Archive:
         after = F.when(F.col("attempts") < max_attempts, "retry").otherwise("failed")
         return self["jobs"].withColumn("status", F.when(F.col("id") == job, after).otherwise(F.col("status")))
 
+    def heartbeat(self, job: int, now: str) -> DataFrame:
+        """Jobs with the time of a running job's last sign of life."""
+        return self["jobs"].withColumn("heartbeat_at", F.when((F.col("id") == job) & (F.col("status") == "running"), F.lit(now)).otherwise(F.col("heartbeat_at")))
+
+    def release_stale(self, now: str, seconds: int = 600) -> DataFrame:
+        """Jobs, those that run without a sign of life for so long pending again."""
+        age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("heartbeat_at").cast("timestamp"))
+        return self["jobs"].withColumn("status", F.when((F.col("status") == "running") & (age > seconds), "pending").otherwise(F.col("status")))
+
+    def run_one(self, handlers: Mapping[str, Callable], now: str, max_attempts: int = 3) -> tuple[DataFrame, DataFrame, str | None]:
+        """Run the next job with its kind's handler: jobs and scenes as they are after it, and the error's text.
+
+        Any failure is recorded; the final failure of a process_scene job marks its scene as failed.
+        """
+        job = self.next_job().first()
+        if job is None:
+            return self["jobs"], self["scenes"], None
+        attempt, error, after = job["attempts"] + 1, None, "done"
+        try:
+            if job["kind"] not in handlers:
+                raise RuntimeError(f"no handler for job kind {job['kind']}")
+            handlers[job["kind"]](job.asDict())
+        except Exception as e:  # a job's failure is its result
+            error, after = str(e) or type(e).__name__, "retry" if attempt < max_attempts else "failed"
+        own = F.col("id") == job["id"]
+        jobs = self["jobs"].withColumn("status", F.when(own, after).otherwise(F.col("status"))).withColumn("attempts", F.when(own, attempt).otherwise(F.col("attempts")))
+        if "heartbeat_at" in jobs.columns:
+            jobs = jobs.withColumn("heartbeat_at", F.when(own, F.lit(now)).otherwise(F.col("heartbeat_at")))
+        scenes = self["scenes"]
+        if after == "failed" and job["kind"] == "process_scene":
+            scenes = scenes.withColumn("status", F.when(F.col("id") == job["scene_id"], "failed").otherwise(F.col("status")))
+        return jobs, scenes, error
+
+    def follow_up(self, done: DataFrame) -> DataFrame:
+        """New jobs (kind, dedupe_key, scene_id) after finished ones, by the kinds' order; a scene's job of a kind comes once."""
+        step = F.element_at(F.create_map(*[F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x) for kv in JOB_AFTER.items() for x in kv]), F.col("kind"))
+        rows = done.select("scene_id", F.explode(step).alias("kind"))
+        return rows.select("kind", F.concat_ws(":", "kind", "scene_id").alias("dedupe_key"), "scene_id").distinct()
+
     def export_events(self, path: str, filters: Mapping | None = None) -> None:
         sinks.geojson_lines(self.events(filters), path, "x", "y", ["id", "machine_state", "change_type"])
 

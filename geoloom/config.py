@@ -83,6 +83,9 @@ NODATA, SATURATED, CLOUD, HAZE, SHADOW, SNOW, TERRAIN, EDGE = 1, 2, 4, 8, 16, 32
 # Priorities of job kinds; other kinds have 100.
 JOB_PRIORITY = {"ingest_scan": 10, "register_scene": 20, "process_scene": 40, "classify": 50, "embed": 60, "change_update": 90, "watchset_rerun": 95, "cluster": 120}
 
+# The kinds of jobs that follow a finished one.
+JOB_AFTER = {"ingest_scan": ["register_scene"], "register_scene": ["process_scene"], "process_scene": ["classify", "embed"], "classify": ["change_update"], "change_update": ["watchset_rerun"]}
+
 # The grid.
 PIXEL_M, STRIDE_PX, TILE_PX = 10, 64, 128
 STRIDE_M, TILE_M, MARGIN_M, BLOCK_M = 640, 1280, 320, 2560

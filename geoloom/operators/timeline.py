@@ -33,3 +33,19 @@ def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) ->
     """df with `run`: equal for neighbours with one value, by the difference of two row numbers."""
     every, same = W.partitionBy(*by).orderBy(*order), W.partitionBy(*by, value).orderBy(*order)
     return df.withColumn("run", F.row_number().over(every) - F.row_number().over(same))
+
+
+def ranked_in_buckets(df: DataFrame, by: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """df with the row number of each row in its group, in an order whose first keys are those of the buckets.
+
+    Rows are numbered within buckets, whose numbers of rows are counted first and added up; so a group of any size is
+    spread over its buckets. The window over buckets is small: one row for each.
+    """
+    keys = [f"__b{i}" for i in range(len(bucket))]
+    rows = df.withColumns(dict(zip(keys, bucket, strict=True)))
+    counts = rows.groupBy(*by, *keys).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, *keys])], F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, *keys])]
+    within = F.row_number().over(W.partitionBy(*by, *keys).orderBy(*order))
+    return rows.withColumn("__within", within).join(counts, same).withColumn(name, F.col("__before") + F.col("__within")).select(*df.columns, name)

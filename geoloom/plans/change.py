@@ -9,7 +9,7 @@ from geoloom.config import CLOUD, EDGE, T
 from geoloom.functions import columns as C
 from geoloom.operators import raster as R
 from geoloom.operators import spatial as S
-from geoloom.operators.timeline import first_ranked
+from geoloom.operators.timeline import first_ranked, ranked_in_buckets
 from geoloom.operators.vectors import nearest
 from geoloom.sources.fixtures import read
 
@@ -403,7 +403,10 @@ def review_rank(spark, sf_dir):
     conf = F.least(F.lit(1.0), F.col("n_chars") / 4000)
     rows = d.select("doc_id", (F.col("lang") == "en").cast("int").alias("zone"), F.round(conf, 6).alias("confidence"), F.when(u < T.audit_slice_fraction, "audit").when(u < T.audit_slice_fraction + T.uncertainty_slice_fraction, "uncertainty").otherwise("rank").alias("slice"))
     rows = rows.withColumn("level", C.confidence_level(F.col("confidence"), F.col("zone") == 1))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("slice", "level").orderBy(F.col("zone").desc(), F.col("confidence").desc(), "doc_id")))
+    order = [F.col("zone").desc(), F.col("confidence").desc(), F.col("doc_id")]
+    # Few slices and levels: each is numbered in buckets of its order.
+    out = ranked_in_buckets(rows, ["slice", "level"], [-F.col("zone"), -F.col("confidence"), F.floor(F.col("doc_id") / 65536)], order, "place")
+    return out.withColumn("place", F.col("place").cast("int"))
 
 
 REVIEW = """WITH r AS (SELECT doc_id, (lang = 'en')::INT AS zone, round(least(1.0, n_chars / 4000.0::DOUBLE), 6) AS confidence, ('0x' || substr(sha256('review-' || doc_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS u FROM documents),
@@ -411,16 +414,29 @@ REVIEW = """WITH r AS (SELECT doc_id, (lang = 'en')::INT AS zone, round(least(1.
  SELECT *, row_number() OVER (PARTITION BY slice, level ORDER BY zone DESC, confidence DESC, doc_id) AS place FROM l"""
 
 
-def calibration_bins(spark, sf_dir):
-    """Reliability of a confidence in ten bins: mean confidence, share of positives, Brier part."""
+def _judged(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     p = F.least(F.lit(0.999), F.col("n_chars") / 5000)
-    return d.select("quality", p.alias("p"), F.floor(p * 10).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg("quality"), 6).alias("positive"), F.round(F.avg(F.pow(F.col("p") - F.col("quality"), 2)), 6).alias("brier"))
+    return d.select("quality", p.alias("p"), F.floor(p * 10).cast("int").alias("bin"))
+
+
+def calibration_bins(spark, sf_dir):
+    """Reliability of a confidence in ten bins: mean confidence, share of positives, Brier part."""
+    return _judged(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg("quality"), 6).alias("positive"), F.round(F.avg(F.pow(F.col("p") - F.col("quality"), 2)), 6).alias("brier"))
 
 
 CALIBRATION = "SELECT bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(quality), 6) AS positive, round(avg((p - quality) ** 2), 6) AS brier FROM (SELECT quality, least(0.999::DOUBLE, n_chars / 5000.0::DOUBLE) AS p, CAST(floor(least(0.999::DOUBLE, n_chars / 5000.0::DOUBLE) * 10) AS INT) AS bin FROM documents JOIN labels USING (doc_id)) GROUP BY bin"
 
 
+def calibration_error(spark, sf_dir):
+    """Expected calibration error over the bins, and the Brier score of all rows."""
+    bins = _judged(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("c"), F.avg("quality").alias("y"), F.sum(F.pow(F.col("p") - F.col("quality"), 2)).alias("s"))
+    return bins.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("y"))) / F.sum("n"), 6).alias("ece"), F.round(F.sum("s") / F.sum("n"), 6).alias("brier"))
+
+
+ECE = "SELECT sum(n)::BIGINT AS n, round(sum(n * abs(c - y)) / sum(n), 6) AS ece, round(sum(s) / sum(n), 6) AS brier FROM (SELECT count(*) AS n, avg(p) AS c, avg(quality) AS y, sum((p - quality) ** 2) AS s FROM (SELECT quality, least(0.999::DOUBLE, n_chars / 5000.0::DOUBLE) AS p FROM documents JOIN labels USING (doc_id)) GROUP BY floor(p * 10))"
+
+
 def concept_match(spark, sf_dir):
     """Documents that hold a phrase of the registry: the longest one, then the first.
 
@@ -428,9 +444,13 @@ def concept_match(spark, sf_dir):
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}]+"), lambda x: x != "")
     items = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words(F.col("text")), 1, 3), " ").alias("phrase"))
+    items = items.withColumn("h", F.xxhash64("phrase"))
     docs = read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 3")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3))))).alias("phrase"))
-    hits = grams.join(items, "phrase")
+    three = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    three = F.zip_with(three, F.slice("w", F.lit(3), F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    # Windows travel as numbers; the planner broadcasts the phrases if their table is measured as small.
+    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(three, lambda x: F.when(x.isNotNull(), F.xxhash64(x))))).alias("h"))
+    hits = grams.join(items, "h")
     return first_ranked(hits, ["doc_id"], [F.length("phrase").desc(), F.col("item_id")], 1).select("doc_id", "item_id", "phrase")
 
 
@@ -468,12 +488,17 @@ SIMILAR = """WITH m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label
 
 
 def percentile_rank(spark, sf_dir):
-    """Each row's score against a background of its label: the share of rows with at most its score."""
+    """Each row's score against a background of its label, its `background_sample` rows of smallest hashes: the share with at most its score."""
     v = _vectors(spark, sf_dir).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("score"))
-    return v.select("vec_id", "label", "score", F.round(F.cume_dist().over(W.partitionBy("label").orderBy("score")), 6).alias("percentile"))
+    some = first_ranked(v.withColumn("k", F.sha2(F.col("vec_id").cast("string"), 256)), ["label"], [F.col("k"), F.col("vec_id")], T.background_sample)
+    background = some.groupBy("label").agg(F.sort_array(F.collect_list("score")).alias("b"))  # bounded by the sample
+    share = F.size(F.filter("b", lambda x: x <= F.col("score"))) / F.size("b")
+    return v.join(background, "label").select("vec_id", "label", "score", F.round(share, 6).alias("percentile"))
 
 
-PERCENTILE = "SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS score, round(cume_dist() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 6)), 6) AS percentile FROM embeddings"
+PERCENTILE = f"""WITH v AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings),
+ b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256(vec_id::VARCHAR), vec_id) <= {T.background_sample}), n AS (SELECT label, count(*) AS n FROM b GROUP BY label)
+ SELECT v.vec_id, v.label, v.score, round(count(b.vec_id) / any_value(n), 6) AS percentile FROM v JOIN n ON n.label = v.label LEFT JOIN b ON b.label = v.label AND b.score <= v.score GROUP BY 1, 2, 3"""
 
 
 def monthly_embed(spark, sf_dir):
@@ -593,7 +618,7 @@ QUERIES = {
     "split_assign": split_assign, "dilate": dilate, "opening": opening, "components": components, "shadow_project": shadow_project, "local_sigma": local_sigma, "strong_edges": strong_edges, "edge_flag": edge_flag,
     "terrain": terrain, "overviews": overviews, "apply_shift": apply_shift, "vote_mask": vote_mask, "first_change": first_change, "object_series": object_series, "area_range": area_range,
     "stable_window": stable_window, "bracket_gap": bracket_gap, "same_season": same_season, "state_machine": state_machine, "gate_funnel": gate_funnel, "review_rank": review_rank,
-    "calibration_bins": calibration_bins, "concept_match": concept_match, "cosine_knn": cosine_knn, "similar_pos_neg": similar_pos_neg, "percentile_rank": percentile_rank, "monthly_embed": monthly_embed,
+    "calibration_bins": calibration_bins, "calibration_error": calibration_error, "concept_match": concept_match, "cosine_knn": cosine_knn, "similar_pos_neg": similar_pos_neg, "percentile_rank": percentile_rank, "monthly_embed": monthly_embed,
     "watch_hits": watch_hits, "mmr_rank": mmr_rank, "kmeans_gallery": kmeans_gallery, "rf_train_predict": land_cover_model, "phase_shift": phase_shift, "registration_status": registration_status,
 }
 ORACLE = {
@@ -601,6 +626,6 @@ ORACLE = {
     "dilate": f"SELECT DISTINCT r + dr AS r, c + dc AS c FROM ({CELLS}), (VALUES {_SQ}) o(dr, dc) WHERE r + dr BETWEEN 0 AND 60 AND c + dc BETWEEN 0 AND 52",
     "opening": OPENING, "components": COMPONENTS, "shadow_project": SHADOW, "local_sigma": SIGMA, "strong_edges": EDGES, "edge_flag": EDGE_FLAG, "terrain": TERRAIN, "overviews": OVERVIEWS, "apply_shift": SHIFT,
     "vote_mask": VOTE, "first_change": FIRST, "object_series": OBJECT, "area_range": AREA, "stable_window": STABLE, "bracket_gap": GAP, "same_season": SEASON, "state_machine": STATE,
-    "gate_funnel": FUNNEL, "review_rank": REVIEW, "calibration_bins": CALIBRATION, "concept_match": CONCEPT, "cosine_knn": KNN, "similar_pos_neg": SIMILAR, "percentile_rank": PERCENTILE,
+    "gate_funnel": FUNNEL, "review_rank": REVIEW, "calibration_bins": CALIBRATION, "calibration_error": ECE, "concept_match": CONCEPT, "cosine_knn": KNN, "similar_pos_neg": SIMILAR, "percentile_rank": PERCENTILE,
     "monthly_embed": MONTHLY, "watch_hits": HITS, "registration_status": REGISTRATION,
 }

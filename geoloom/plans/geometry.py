@@ -18,14 +18,14 @@ def warp_nearest(spark, sf_dir):
 
 
 def warp_bilinear(spark, sf_dir):
-    return G.warp(_raster(spark, sf_dir), 0.7, 60, 60, True).select("obs", "r", "c", F.round("v", 4).alias("v"))
+    return G.warp(_raster(spark, sf_dir), 0.7, 60, 60, True).select("obs", "r", "c", F.round(F.col("v") + 1e-9, 4).alias("v"))
 
 
 _TARGET = f"SELECT obs, r, c FROM (SELECT DISTINCT obs FROM g) o, (SELECT range::INT AS r FROM range(60)) a, (SELECT range::INT AS c FROM range(60)) b"
 NEAREST = f"WITH g AS ({RASTER}) SELECT t.obs, t.r, t.c, round(g.v, 8) AS v FROM ({_TARGET}) t JOIN g ON g.obs = t.obs AND g.r = floor((t.r + 0.5) * 0.7::DOUBLE)::INT AND g.c = floor((t.c + 0.5) * 0.7::DOUBLE)::INT"
 BILINEAR = f"""WITH g AS ({RASTER}), t AS (SELECT *, (r + 0.5) * 0.7::DOUBLE - 0.5 AS y, (c + 0.5) * 0.7::DOUBLE - 0.5 AS x FROM ({_TARGET})),
  k AS (SELECT t.obs, t.r, t.c, floor(y)::INT + i AS sr, floor(x)::INT + j AS sc, (CASE WHEN i = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE WHEN j = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))
- SELECT k.obs, k.r, k.c, round(sum(w * v) / sum(w), 4) AS v FROM k JOIN g ON g.obs = k.obs AND g.r = sr AND g.c = sc WHERE w > 0 GROUP BY 1, 2, 3"""
+ SELECT k.obs, k.r, k.c, round(sum(w * v) / sum(w) + 1e-9, 4) AS v FROM k JOIN g ON g.obs = k.obs AND g.r = sr AND g.c = sc WHERE w > 0 GROUP BY 1, 2, 3"""
 
 
 def window_subset(spark, sf_dir):

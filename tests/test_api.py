@@ -67,3 +67,60 @@ def test_changes(archive, spark, tmp_path):
     assert archive.watch_sets().first().new_hits == 1
     archive.export_events(str(tmp_path / "e"))
     assert {json.loads(r.value)["properties"]["id"] for r in spark.read.text(str(tmp_path / "e")).collect()} == {1, 3}
+
+
+def test_broken_logs(archive, spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows, prev = [], GENESIS
+    for i in (1, 2, 5, 70000, 70001, 200000):  # numbers may be left out
+        rows.append((i, f"{{{i}}}", prev, sha(prev + f"{{{i}}}")))
+        prev = rows[-1][3]
+    state = lambda r: tuple(Archive({"audit_log": spark.createDataFrame(r, "seq int, payload string, prev_hash string, record_hash string")}).verify_audit().first())
+    assert state(rows) == (6, None, None, prev)
+    assert state(rows[:2] + rows[3:])[1:3] == (70000, "link")
+    assert state([*rows[:3], (70000, "changed", *rows[3][2:]), *rows[4:]])[1:3] == (70000, "content")
+    log = Archive({"audit_log": spark.createDataFrame(rows, "seq int, payload string, prev_hash string, record_hash string")}).append_audit("x", {"b": 1, "a": "é"})
+    assert Archive({"audit_log": log}).verify_audit().first().total == 7 and state(list(map(tuple, log.collect())))[1] is None
+
+
+def test_roles_and_decisions(archive, spark):
+    one = spark.createDataFrame([(3, 1, "confirm", "2024-04-01")], "id int, event_id int, decision string, created_at string")
+    with pytest.raises(PermissionError):
+        archive.decide(one, "guest")
+    decisions, log = archive.decide(one)
+    assert decisions.count() == 3 and json.loads(log.orderBy(F.col("seq").desc()).first().payload) == {"action": "event.decided", "decision": "confirm", "event_id": 1, "role": "analyst"}
+    q = spark.createDataFrame([(1, "x", "radiometry_ambiguous", False), (2, "y", "outside_aoi", True)], "id int, original_name string, reason_code string, released boolean")
+    orders = spark.createDataFrame([(1, "seen", "{}"), (2, "seen", "{}"), (9, "seen", "{}")], "id int, reason string, overrides string")
+    held = Archive({"quarantine": q})
+    with pytest.raises(PermissionError):
+        held.release(orders, "analyst", "me")
+    assert [r.original_name for r in held.release(orders, "admin", "me").collect()] == ["x"]
+
+
+def test_jobs(archive, spark):
+    jobs = spark.createDataFrame([(1, "process_scene", "pending", 40, None, 2, "2024-01-01 00:00:00", 7), (2, "embed", "running", 60, None, 0, "2024-01-01 00:00:00", 7)], "id int, kind string, status string, priority int, dedupe_key string, attempts int, heartbeat_at string, scene_id int")
+    a = Archive({"jobs": jobs, "scenes": spark.createDataFrame([(7, "registered")], "id int, status string")})
+
+    def bad(job):
+        raise ValueError("no raster")
+
+    after, scenes, error = a.run_one({"process_scene": bad}, "2024-01-01 01:00:00")
+    assert error == "no raster" and scenes.first().status == "failed" and after.where("id = 1").first().status == "failed"
+    after, scenes, error = a.run_one({"process_scene": dict}, "2024-01-01 01:00:00")
+    assert error is None and after.where("id = 1").first().status == "done" and scenes.first().status == "registered"
+    assert a.heartbeat(2, "2024-01-02 00:00:00").where("id = 2").first().heartbeat_at == "2024-01-02 00:00:00"
+    assert a.release_stale("2024-01-01 00:05:00").where("id = 2").first().status == "running" and a.release_stale("2024-01-01 00:11:00").where("id = 2").first().status == "pending"
+    assert {r.kind for r in a.follow_up(jobs.where("id = 1")).collect()} == {"classify", "embed"}
+
+
+def test_filters_similar_and_water(archive, spark):
+    e = archive["change_events"].withColumns({"sensor": F.lit("s2"), "gsd_m": F.lit(10.0), "near_layer": F.when(F.col("id") == 3, "road"), "tile_id": F.concat(F.lit("t"), "id")})
+    a = Archive({**archive.tables, "change_events": e})
+    ids = lambda f: {r.id for r in a.events(f).collect()}
+    assert ids({"min_state": "PROVISIONAL"}) == {1} and ids({"min_level": "MEDIUM"}) == {1, 3} and ids({"min_level": "HIGH"}) == {1}
+    assert ids({"reference_layer": "road", "sensor": "s2", "max_gsd": 10}) == {3} and ids({"watch_set": 1}) == {1} and ids({"max_gsd": 5}) == set()
+    v = spark.createDataFrame([(1, [1.0, 0.0], 0, 0), (2, [0.9, 0.1], 5000, 0), (3, [0.0, 1.0], 9000, 0), (4, [0.8, 0.2], 100, 0)], "vec_id int, embedding array<double>, x int, y int")
+    b = Archive({"embeddings": v, "water_references": spark.createDataFrame([("a", "2024-01-01", "g1"), ("a", "2024-02-01", "g2")], "aoi_id string, date string, geometry string")})
+    assert [r.vec_id for r in b.similar(v.where("vec_id = 1")).collect()] == [2, 4, 3]
+    assert [r.vec_id for r in b.similar(v.where("vec_id = 1"), v.where("vec_id = 3"), exclude_m=1500).collect()] == [2]
+    assert b.water_reference("a").first().geometry == "g2" and b.water_reference("z").count() == 0 and b.thresholds()["near_default_m"] == 500
