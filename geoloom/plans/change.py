@@ -9,6 +9,7 @@ from geoloom.config import CLOUD, EDGE, T
 from geoloom.functions import columns as C
 from geoloom.operators import raster as R
 from geoloom.operators import spatial as S
+from geoloom.operators.quality import shadow_moves
 from geoloom.operators.timeline import first_ranked, ranked_in_buckets
 from geoloom.operators.vectors import nearest
 from geoloom.sources.fixtures import read
@@ -154,22 +155,11 @@ COMPONENTS = f"""WITH RECURSIVE s AS ({CELLS}), k AS (SELECT r * 1048576::BIGINT
 
 
 def shadow_project(spark, sf_dir):
-    """Cells that cloud cells shade at the five cloud heights: whole offsets along the sun's direction, inside the scene."""
-    import math
+    """Cells that cloud cells shade at the five cloud heights: whole offsets away from the sun, inside the scene."""
+    return R.dilate(_cells(spark, sf_dir), [(a, b, 1.0) for a, b in shadow_moves(150, 50, 100)]).where("r BETWEEN 0 AND 60 AND c BETWEEN 0 AND 52")
 
-    az, tan = math.radians(150 + 180), math.tan(math.radians(40))
-    moves = sorted({(round(math.cos(az) * h * tan / 100), round(-math.sin(az) * h * tan / 100) * -1) for h in T.shadow_heights_m})
-    return R.dilate(_cells(spark, sf_dir), [(a, b, 1.0) for a, b in moves]).where("r BETWEEN 0 AND 60 AND c BETWEEN 0 AND 52")
 
-
-def _moves():
-    import math
-
-    az, tan = math.radians(330), math.tan(math.radians(40))
-    return sorted({(round(math.cos(az) * h * tan / 100), round(-math.sin(az) * h * tan / 100) * -1) for h in T.shadow_heights_m})
-
-
-SHADOW = f"SELECT DISTINCT r + dr AS r, c + dc AS c FROM ({CELLS}), (VALUES {', '.join(f'({a},{b})' for a, b in _moves())}) o(dr, dc) WHERE r + dr BETWEEN 0 AND 60 AND c + dc BETWEEN 0 AND 52"
+SHADOW = f"SELECT DISTINCT r + dr AS r, c + dc AS c FROM ({CELLS}), (VALUES {', '.join(f'({a},{b})' for a, b in shadow_moves(150, 50, 100))}) o(dr, dc) WHERE r + dr BETWEEN 0 AND 60 AND c + dc BETWEEN 0 AND 52"
 
 
 def local_sigma(spark, sf_dir):

@@ -8,7 +8,7 @@ from geoloom.functions import columns as C
 from geoloom.operators import geometry as G
 from geoloom.operators import raster as R
 from geoloom.plans.change import CELLS, RASTER, _cells, _raster
-from geoloom.plans.grid import SCENE
+from geoloom.plans.grid import SCENE, scene
 from geoloom.plans.pixel import MNDWI, NDVI
 from geoloom.sources.fixtures import PIXELS, pixels, read
 
@@ -50,7 +50,7 @@ BOXES = [(1, 2, 3, 14, 20, "water"), (2, 10, 10, 30, 40, "nonveg"), (3, 0, 20, 2
 
 def box_measures(spark, sf_dir):
     """Area of water, bare or green ground in each event's box by observation, where at least 0.8 of it is usable."""
-    raw = spark.sql(SCENE.replace("FROM lineitem", "FROM {t}"), t=read(spark, sf_dir, "lineitem"))
+    raw = scene(spark, sf_dir)
     boxes = spark.createDataFrame(BOXES, "box int, r0 int, c0 int, r1 int, c1 int, measure string")
     ok = ~F.col("scl").isin(0, 1, 3)
     hit = F.when(F.col("measure") == "water", C.mndwi() > 0.1).when(F.col("measure") == "nonveg", (C.ndvi() < 0.2) & (C.mndwi() < 0)).otherwise(C.ndvi() >= 0.4)
