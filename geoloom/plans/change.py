@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.config import CLOUD, EDGE, T
 from geoloom.functions import columns as C
 from geoloom.operators import raster as R
+from geoloom.operators import registration as P
 from geoloom.operators import spatial as S
 from geoloom.operators.quality import shadow_moves
 from geoloom.operators.timeline import first_ranked, ranked_in_buckets
@@ -234,10 +235,7 @@ OVERVIEWS = f"SELECT obs, r // 2 AS r, c // 2 AS c, round(avg(v), 8) AS v, arg_m
 
 def apply_shift(spark, sf_dir):
     """A raster moved by a part of a cell: four weighted neighbours, all of which must exist."""
-    dy, dx = 0.25, 0.5
-    offsets = [(0, 0, (1 - dy) * (1 - dx)), (1, 0, dy * (1 - dx)), (0, 1, (1 - dy) * dx), (1, 1, dy * dx)]
-    rows = R.around(_raster(spark, sf_dir), offsets).groupBy("obs", "r", "c").agg(F.count("*").alias("n"), F.sum(F.col("nv") * F.col("w")).alias("v"))
-    return rows.where("n = 4").select("obs", "r", "c", F.round("v", 8).alias("v"))
+    return P.shifted(_raster(spark, sf_dir), -0.25, -0.5, 48).select("obs", "r", "c", F.round("v", 8).alias("v"))
 
 
 SHIFT = f"WITH g AS ({RASTER}) SELECT obs, r, c, round(sum(nv * w), 8) AS v FROM (SELECT a.obs, a.r, a.c, b.v AS nv, w FROM g a, (VALUES (0,0,0.375::DOUBLE),(1,0,0.125::DOUBLE),(0,1,0.375::DOUBLE),(1,1,0.125::DOUBLE)) o(dr, dc, w) JOIN g b ON TRUE WHERE b.obs = a.obs AND b.r = a.r + dr AND b.c = a.c + dc) GROUP BY obs, r, c HAVING count(*) = 4"
@@ -492,12 +490,12 @@ PERCENTILE = f"""WITH v AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6)
 
 
 def monthly_embed(spark, sf_dir):
-    """One observation of each tile and month to embed: that with the greatest usable figure."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM").alias("period"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    """One observation of each tile and month to embed: that with the greatest usable figure, 0.9 at least (of 50 here)."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM").alias("period"), F.get_json_object("props", "$.k").cast("int").alias("k")).where("k >= 0.9 * 50")
     return first_ranked(e, ["user_id", "period"], [F.col("k").desc_nulls_last(), F.col("event_id")], 1).select("user_id", "period", "event_id", "k")
 
 
-MONTHLY = "SELECT user_id, strftime(ts, '%Y-%m') AS period, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY k DESC NULLS LAST, event_id) = 1"
+MONTHLY = "SELECT user_id, strftime(ts, '%Y-%m') AS period, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 45 QUALIFY row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY k DESC NULLS LAST, event_id) = 1"
 
 
 def watch_hits(spark, sf_dir):
@@ -514,7 +512,7 @@ HITS = f"""WITH old AS ({KNN.replace("a.vec_id <> b.vec_id QUALIFY", "a.vec_id <
 
 
 def mmr_rank(spark, sf_dir):
-    """Diverse results of each query: of the T.fetch_k nearest, the first five in greedy order of relevance less likeness to what is chosen.
+    """Diverse results of each query: of the T.fetch_k nearest outside the exclusion radius, the first five in greedy order of relevance less likeness to what is chosen.
 
     A query's candidates are few, so each greedy run is one bounded group.
     """
@@ -524,6 +522,9 @@ def mmr_rank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     k = 5
     found = nearest(v, v.where("vec_id % 20 = 0"), T.fetch_k).join(v.select("vec_id", "embedding"), "vec_id")
+    place = lambda c: (c * 7919 % 20000, c * 104729 % 20000)  # noqa: E731 - where a vector's tile lies, in metres
+    (x, y), (qx, qy) = place(F.col("vec_id")), place(F.col("query_id"))
+    found = found.where((x - qx) * (x - qx) + (y - qy) * (y - qy) > T.exclusion_radius_m**2)
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)
@@ -565,31 +566,23 @@ def land_cover_model(spark, sf_dir):
 
 
 def phase_shift(spark, sf_dir):
-    """The shift between each observation's raster and the first one's, by phase correlation of one bounded window each."""
-    import numpy as np
-    import pandas as pd
-
+    """The shift between each observation's raster and the first one's, from windows of 24 cells, and its status."""
     g = _raster(spark, sf_dir)
     first = g.where("obs = 1").select("r", "c", F.col("v").alias("ref"))
+    both = g.join(first, ["r", "c"]).withColumn("ok", F.lit(True))
+    found = g.select("obs").distinct().join(P.registration(P.window_shifts(both, 48, 48, 24)), "obs", "left")
+    status = C.registration(F.coalesce("n_windows", F.lit(0)).cast("int"), F.hypot("dy", "dx"), F.col("peak"))
+    return found.select("obs", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), *[F.round(c, 4).alias(c) for c in ("dy", "dx", "residual", "peak")], status.alias("status"))
+
+
+def mask_shift(spark, sf_dir):
+    """A mask moved to the nearest cells; places that come from outside are no data."""
+    cells = _raster(spark, sf_dir).select("obs", "r", "c", F.when(F.col("v") > 40, CLOUD).otherwise(0).alias("v"))
+    return P.shifted(cells, 1.6, -0.7, 48, nearest=True, fill=1).select("obs", "r", "c", F.col("v").cast("int").alias("mask"))
+
 
-    def estimate(f: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.full((48, 48), np.nan), np.full((48, 48), np.nan)
-        a[f.r, f.c], b[f.r, f.c] = f.ref, f.v
-        both = ~np.isnan(a) & ~np.isnan(b)
-        valid = float(both.mean())
-        a, b = (np.where(both, x, np.nan) for x in (a, b))
-        a, b = (np.nan_to_num(x - np.nanmean(x)) * np.outer(np.hanning(48), np.hanning(48)) for x in (a, b))
-        cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-        peak = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
-        at = np.unravel_index(peak.argmax(), peak.shape)
-        dy, dx = ((int(x) + 24) % 48 - 24 for x in at)
-        rest = peak[peak < peak.max()]
-        ratio = float(peak.max() / (rest.mean() + 3 * rest.std())) if len(rest) else 0.0
-        return pd.DataFrame({"obs": [int(f.obs.iloc[0])], "dy": [dy], "dx": [dx], "peak_ratio": [ratio], "valid": [valid]})
-
-    rows = g.join(first, ["r", "c"]).groupBy("obs").applyInPandas(estimate, "obs int, dy int, dx int, peak_ratio double, valid double")
-    status = C.registration((F.col("valid") >= 0.8).cast("int"), F.hypot("dy", "dx"), F.col("peak_ratio"))
-    return rows.select("obs", "dy", "dx", F.round("peak_ratio", 4).alias("peak_ratio"), F.round("valid", 4).alias("valid"), status.alias("status"))
+MASK_SHIFT = f"""WITH g AS ({RASTER}) SELECT o.obs, a.r, b.c, coalesce(CASE WHEN v > 40 THEN 4 WHEN v IS NOT NULL THEN 0 END, 1)::INT AS mask FROM (SELECT DISTINCT obs FROM g) o CROSS JOIN (SELECT range::INT AS r FROM range(48)) a CROSS JOIN (SELECT range::INT AS c FROM range(48)) b
+ LEFT JOIN g ON g.obs = o.obs AND g.r = a.r - 2 AND g.c = b.c + 1"""
 
 
 def registration_status(spark, sf_dir):
@@ -609,7 +602,7 @@ QUERIES = {
     "terrain": terrain, "overviews": overviews, "apply_shift": apply_shift, "vote_mask": vote_mask, "first_change": first_change, "object_series": object_series, "area_range": area_range,
     "stable_window": stable_window, "bracket_gap": bracket_gap, "same_season": same_season, "state_machine": state_machine, "gate_funnel": gate_funnel, "review_rank": review_rank,
     "calibration_bins": calibration_bins, "calibration_error": calibration_error, "concept_match": concept_match, "cosine_knn": cosine_knn, "similar_pos_neg": similar_pos_neg, "percentile_rank": percentile_rank, "monthly_embed": monthly_embed,
-    "watch_hits": watch_hits, "mmr_rank": mmr_rank, "kmeans_gallery": kmeans_gallery, "rf_train_predict": land_cover_model, "phase_shift": phase_shift, "registration_status": registration_status,
+    "watch_hits": watch_hits, "mmr_rank": mmr_rank, "kmeans_gallery": kmeans_gallery, "rf_train_predict": land_cover_model, "phase_shift": phase_shift, "mask_shift": mask_shift, "registration_status": registration_status,
 }
 ORACLE = {
     "core_tile": CORE, "pixel_tile_overlay": OVERLAY, "priority_zone_flag": ZONE_FLAGS, "aoi_intersect": INTERSECT, "near_layer": NEAR, "peer_departure": PEERS, "split_assign": SPLIT,
@@ -617,5 +610,5 @@ ORACLE = {
     "opening": OPENING, "components": COMPONENTS, "shadow_project": SHADOW, "local_sigma": SIGMA, "strong_edges": EDGES, "edge_flag": EDGE_FLAG, "terrain": TERRAIN, "overviews": OVERVIEWS, "apply_shift": SHIFT,
     "vote_mask": VOTE, "first_change": FIRST, "object_series": OBJECT, "area_range": AREA, "stable_window": STABLE, "bracket_gap": GAP, "same_season": SEASON, "state_machine": STATE,
     "gate_funnel": FUNNEL, "review_rank": REVIEW, "calibration_bins": CALIBRATION, "calibration_error": ECE, "concept_match": CONCEPT, "cosine_knn": KNN, "similar_pos_neg": SIMILAR, "percentile_rank": PERCENTILE,
-    "monthly_embed": MONTHLY, "watch_hits": HITS, "registration_status": REGISTRATION,
+    "monthly_embed": MONTHLY, "mask_shift": MASK_SHIFT, "watch_hits": HITS, "registration_status": REGISTRATION,
 }

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import grid as G
 from geoloom.sources import adapters as A
 from geoloom.sources import sinks as S
+from geoloom.sources import storage
 
 
 def _item(**changes):
@@ -62,3 +64,38 @@ def test_golden_grids(spark):
     assert rows["raipur_kharun"] == (554240, 2342400, 561920, 2352640, 768, 1024)
     tiles = G.tiles(G.grids(G.areas(spark)))
     assert tiles.count() == 899 and tiles.select("tile_id").distinct().count() == 899
+
+
+def test_all_rules_of_clips_and_rasters(spark, tmp_path):
+    import struct
+
+    def tiff(path, side, size, code=32644, bands=1, bits=16):
+        tag = lambda t, k, n, v: struct.pack("<HHII", t, k, n, v)
+        body = struct.pack("<HHI", 0x4949, 42, 8) + struct.pack("<H", 6) + tag(256, 3, 1, side) + tag(257, 3, 1, side) + tag(258, 3, 1, bits) + tag(277, 3, 1, bands) + tag(33550, 12, 3, 200) + tag(34735, 3, 8, 224)
+        path.write_bytes(body.ljust(200, b"\0") + struct.pack("<3d", size, size, 0.0) + struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, code))
+
+    sizes = {"B02": 10, "B03": 10, "B04": 10, "B08": 10, "B11": 20, "B12": 20, "SCL": 20}
+    for name, at, skip in (("good", "2021-12-21T05:13:08Z", None), ("bad", "2010-12-21T05:13:08Z", "B08"), ("late", "noon", None)):
+        (tmp_path / name).mkdir()
+        item = {"id": "S2B_L2A", "collection": "sentinel-2-l2a", "properties": {"datetime": at, "platform": "sentinel-2b", "instruments": ["msi"], "proj:epsg": 32644}}
+        (tmp_path / name / "item.json").write_text(json.dumps(item))
+        for b, size in sizes.items():
+            if b != skip:
+                tiff(tmp_path / name / f"{b}.tif", 1000 // size, size, 32643 if name == "bad" and b == "B11" else 32644)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "item.json").write_text("{no")
+    headers = storage.raster_headers(spark, str(tmp_path))
+    got = {r.path.split("/")[-2]: (r.code, r.reasons) for r in A.judged_stac(spark, str(tmp_path / "*" / "item.json"), headers).collect()}
+    assert got["good"] == (None, []) and got["bad"] == ("validation_failed", ["outside_mission", "missing_B08", "crs_B11"])
+    assert got["late"][0] == "timestamp_invalid" and got["broken"][0] == "metadata_unreadable"
+    one = tmp_path / "single"
+    one.mkdir()
+    facts = {"acquired_at": "2021-01-01T00:00:00Z", "sensor": "x", "platform": "p", "processing_level": "L2A", "gsd_m": 10.0, "bands": ["a", "b"], "scale": 1.0, "offset": 0, "nodata": 0}
+    for name, change, bands in (("ok", {}, 2), ("few", {}, 1), ("none", None, 2), ("part", {"scale": None}, 2), ("size", {"gsd_m": 11.0}, 2)):
+        tiff(one / f"{name}.tif", 50, 10, bands=bands)
+        if change is not None:
+            (one / f"{name}.sidecar.json").write_text(json.dumps({k: v for k, v in (facts | change).items() if v is not None}))
+    found = {r.path.split("/")[-1]: (r.code, r.reasons) for r in A.judged_rasters(spark, str(one / "*.sidecar.json"), storage.raster_headers(spark, str(one))).collect()}
+    assert found == {"ok.tif": (None, []), "few.tif": ("validation_failed", ["bands"]), "none.tif": ("metadata_missing", [f"missing_{f}" for f in A.REQUIRED]), "part.tif": ("metadata_missing", ["missing_scale"]), "size.tif": ("validation_failed", ["resolution"])}
+    with pytest.raises(KeyError):
+        A.by_name("other")
