@@ -194,6 +194,7 @@ class Vocabulary:
         self.word = regex.compile(WORD)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, names))) if names else None
+        self.heads = sorted({n[0] for n in names})
         self.new: dict[str, Entry] = {}
         self.old: dict[str, Entry] = {}
 
@@ -265,9 +266,13 @@ class Vocabulary:
         normal, split = self.library
         return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
 
+    def may_hold_special(self, text: str) -> bool:
+        """Whether a text has a sign that a special token begins with."""
+        return any(c in text for c in self.heads)
+
     def runs(self, text: str) -> Iterator[list[Entry]]:
         """The entries of a text's chunks and special tokens, a bounded number at a time."""
-        spans = [m.span() for m in self.cut.finditer(text)] if self.cut and "<" in text else []
+        spans = [m.span() for m in self.cut.finditer(text)] if self.may_hold_special(text) else []
         at = 0
         for s, e in [*spans, (len(text), len(text))]:
             yield from self.plain(text[at:s] if spans else text)
@@ -328,7 +333,7 @@ class Vocabulary:
         """Learn the chunks of several short texts together, so that their words are merged together."""
         chunks: set[str] = set()
         for t in texts:
-            if len(t) < STEP and not RARE.search(t) and "<" not in t:
+            if len(t) < STEP and not RARE.search(t) and not self.may_hold_special(t):
                 t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
                 chunks.update(t.replace("Σ", "σ").lower().split())
         if len(self.new) > CACHE:

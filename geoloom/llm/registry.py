@@ -1,4 +1,4 @@
-"""Queries and SQL of the corpus operators, one module each, and the pipeline."""
+"""Queries and SQL of the corpus operators, one module each."""
 
 from __future__ import annotations
 
@@ -27,12 +27,8 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {**_collect("QUERIES"), "pipeline": corpus_pipeline.run}
+    return _collect("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    return {**_collect("ORACLE"), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return _collect("ORACLE")
