@@ -24,13 +24,22 @@ INTERVAL = f"""SELECT s.aoi, scene_id, CAST(acquired_at AS DATE) AS day FROM ({S
  WHERE CAST(acquired_at AS DATE) BETWEEN a AND b"""
 
 
+HOT = "b02 / 10000.0::DOUBLE - b04 / 20000.0::DOUBLE - 0.08::DOUBLE"
+
+
+def _hot():
+    return F.col("b02") / 10000 - F.col("b04") / 20000 - 0.08
+
+
 def haze_reference(spark, sf_dir):
-    """Per area: the median of the cloud figures of its six clearest scenes."""
-    six = first_ranked(scenes(spark, sf_dir), ["aoi"], [F.col("cloud"), F.col("scene_id")], 6)
-    return six.groupBy("aoi").agg(F.count("*").alias("n"), F.round(F.median("cloud"), 4).alias("reference"))
+    """Per area: the median, over its six clearest frames with pixels, of the 90th percentile of their haze transform."""
+    high = pixels(spark, sf_dir).groupBy(F.col("obs_id").alias("scene_id")).agg(F.percentile(_hot(), 0.9).alias("p90"))
+    six = first_ranked(scenes(spark, sf_dir).join(high, "scene_id"), ["aoi"], [F.col("cloud"), F.col("scene_id")], 6)
+    return six.groupBy("aoi").agg(F.count("*").alias("n"), F.round(F.median("p90"), 6).alias("reference"))
 
 
-HAZE_REF = f"SELECT aoi, count(*) AS n, round(median(cloud), 4) AS reference FROM (SELECT * FROM ({SCENES}) QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY cloud, scene_id) <= 6) GROUP BY aoi"
+HAZE_REF = f"""SELECT aoi, count(*) AS n, round(median(p90), 6) AS reference FROM (SELECT * FROM ({SCENES}) JOIN (SELECT obs_id AS scene_id, quantile_cont({HOT}, 0.9) AS p90 FROM ({PIXELS}) GROUP BY 1) USING (scene_id)
+ QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY cloud, scene_id) <= 6) GROUP BY aoi"""
 
 
 def last_dry_frame(spark, sf_dir):
@@ -54,21 +63,24 @@ FRAME = f"SELECT obs_id, count(*) AS n, round(avg(({_ND.format(a='b03', b='b11')
 
 
 def demo_states(spark, sf_dir):
-    """State before and after of each pixel under the three rule families, and the display's own usable mask."""
+    """State before and after of each pixel under the three rule families, and the display's own usable mask: scene class, red, haze above the area's reference."""
     from geoloom.functions import columns as C
 
     v, w, bright = C.ndvi(), C.mndwi(), (F.col("b02") + F.col("b03") + F.col("b04")) / 30000
     rule = F.col("obs_id") % 3
     before = F.when(rule == 0, v >= 0.3).when(rule == 1, w > 0.1).otherwise(F.lit(True))
     after = F.when(rule == 0, (v < 0.15) & (w < 0)).when(rule == 1, w <= 0.1).otherwise((bright >= 0.2) & (v < 0.25))
-    usable = ~F.col("scl").isin(0, 3, 8, 9, 10) & (F.col("b04") > 0)
-    return pixels(spark, sf_dir).select("obs_id", "px", before.alias("was"), after.alias("became"), usable.alias("usable"))
+    plain = ~F.col("scl").isin(0, 3, 8, 9, 10) & (F.col("b04") > 0)
+    usable = plain & ~((_hot() > F.coalesce("reference", F.lit(0.0)) + T.haze_min_hot) & (w < 0.1))
+    area = scenes(spark, sf_dir).select(F.col("scene_id").alias("obs_id"), "aoi").join(haze_reference(spark, sf_dir).select("aoi", "reference"), "aoi").select("obs_id", "reference")
+    return pixels(spark, sf_dir).join(area, "obs_id", "left").select("obs_id", "px", before.alias("was"), after.alias("became"), usable.alias("usable"))
 
 
 _V, _WT = _ND.format(a="b08", b="b04"), _ND.format(a="b03", b="b11")
 STATES = f"""SELECT obs_id, px, CASE WHEN obs_id % 3 = 0 THEN {_V} >= 0.3 WHEN obs_id % 3 = 1 THEN {_WT} > 0.1 ELSE true END AS was,
  CASE WHEN obs_id % 3 = 0 THEN {_V} < 0.15 AND {_WT} < 0 WHEN obs_id % 3 = 1 THEN {_WT} <= 0.1 ELSE (b02 + b03 + b04) / 30000.0::DOUBLE >= 0.2 AND {_V} < 0.25 END AS became,
- scl NOT IN (0, 3, 8, 9, 10) AND b04 > 0 AS usable FROM ({PIXELS})"""
+ scl NOT IN (0, 3, 8, 9, 10) AND b04 > 0 AND NOT ({HOT} > coalesce(reference, 0) + 0.02::DOUBLE AND {_WT} < 0.1) AS usable
+ FROM ({PIXELS}) p LEFT JOIN (SELECT scene_id, reference FROM ({SCENES}) JOIN ({HAZE_REF}) USING (aoi)) a ON a.scene_id = p.obs_id"""
 
 
 def offset_probe(spark, sf_dir):
