@@ -16,6 +16,8 @@ MODULES = (
     "templates",
     "pii",
     "language",
+    "dualtree",
+    "bitslices",
 )
 
 
