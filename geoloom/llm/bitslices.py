@@ -21,7 +21,7 @@ from geoloom.llm.common import materialize, table
 from geoloom.llm.vectors import ids_of, rows_of, scaled, usable
 
 BLOCK = 16384  # rows of an index block
-QUERIES_AT_ONCE = 256  # queries of a block
+QUERIES_AT_ONCE = 64  # queries of a block
 GROUP = 256  # index blocks that meet one copy of the queries
 VALUE_BITS, WEIGHT_BITS = 6, 7
 SCALE, TOP, EVERY = 256, 5, 50
@@ -192,15 +192,21 @@ def _binary(values: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for dim, ids, there, rows in _packed(batches, BLOCK):
-        shifts, slices = slices_of(rows)
-        yield _binary([dim, len(ids), *(np.ascontiguousarray(x).tobytes() for x in (ids, there, rows, shifts, slices))], _INDEX)
+def _index(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, ids, there, rows in _packed(batches, block):
+            shifts, slices = slices_of(rows)
+            yield _binary([dim, len(ids), *(np.ascontiguousarray(x).tobytes() for x in (ids, there, rows, shifts, slices))], _INDEX)
+
+    return run
 
 
-def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for dim, ids, _, rows in _packed(batches, QUERIES_AT_ONCE):
-        yield _binary([dim, len(ids), ids.tobytes(), np.ascontiguousarray(rows).tobytes()], _QUERY)
+def _queries(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, ids, _, rows in _packed(batches, block):
+            yield _binary([dim, len(ids), ids.tobytes(), np.ascontiguousarray(rows).tobytes()], _QUERY)
+
+    return run
 
 
 def _search(k: int):
@@ -235,7 +241,7 @@ def _search(k: int):
 def build_index(rows: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
     """The bit-sliced index of all usable vectors, written: one row for each block of at most BLOCK rows of one scan task."""
     v = rows.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), scaled(vector, scale).alias("v"))
-    blocks = v.mapInArrow(_index, _INDEX)
+    blocks = v.mapInArrow(_index(BLOCK), _INDEX)
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()), "bit-slices")
 
 
@@ -253,12 +259,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec
     """
     spark = index.sparkSession
     asked = queries.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), scaled(vector, scale).alias("v")).where("id IS NOT NULL").distinct()
-    asked = materialize(asked.mapInArrow(_queries, _QUERY).withColumn("q_block", F.monotonically_increasing_id()), "queries")
-    blocks = index.count()
-    groups = max(1, min(blocks, max(2 * spark.sparkContext.defaultParallelism, -(-blocks // GROUP))))
-    left = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    right = asked.select("dim", "q_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    met = left.repartition(groups, "group").join(right, ["group", "dim"])
+    asked = materialize(asked.mapInArrow(_queries(QUERIES_AT_ONCE), _QUERY).withColumn("q_block", F.monotonically_increasing_id()), "queries")
+    blocks, tasks = index.count(), 4 * spark.sparkContext.defaultParallelism
+    groups = max(1, min(blocks, max(tasks, -(-blocks // GROUP))))
+    shares = max(1, -(-tasks // groups))  # where there are few index blocks, several tasks share the queries of each
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("share", number(shares))
+    right = asked.select("dim", "q_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.pmod(F.xxhash64("q_block"), F.lit(shares)).alias("share"), number(groups).alias("group"))
+    met = left.repartition(groups * shares, "group", "share").join(right, ["group", "share", "dim"])
     found = met.select("q_block", "block", *[c.split()[0] for c in _INDEX.split(", ")], "q_n", "q_ids", "q_rows")
     scored = found.mapInArrow(_search(k), "query_id long, q_block long, place int, vec_id long, score long")
     return _ranked(scored, k)

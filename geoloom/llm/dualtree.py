@@ -187,32 +187,34 @@ def assign(tree: Nodes, centroids: Nodes, numbers: np.ndarray) -> tuple[np.ndarr
     return cluster, compared
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     held, waiting = [], 0
     for batch in batches:
         ids, there = ids_of(batch.column("id"))
         for at, rows in rows_of(batch.column("v")):
             while len(at):
-                m = BLOCK - waiting
+                m = most - waiting
                 held.append((ids[at[:m]], there[at[:m]], rows[:m].astype(np.int32)))
                 waiting += len(at[:m])
                 at, rows = at[m:], rows[m:]
-                if waiting == BLOCK:
+                if waiting == most:
                     yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held, waiting = [], 0
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _TREES.split(", ")]
-    kinds = [pa.int32() if x.split()[1] == "int" else pa.binary() for x in _TREES.split(", ")]
-    for ids, there, rows in _blocks(batches):
-        t = CoverTree(rows.astype(np.int64))
-        parts = [ids[t.order], there[t.order], rows[t.order], *(x.astype(np.int32) if x.dtype.kind == "i" else x for x in (t.center, t.radius, t.low, t.high, t.first, t.children))]
-        raw = [np.ascontiguousarray(x).tobytes() for x in parts]
-        values = [len(ids), *raw[:3], len(t.low), *raw[3:]]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+def _plant(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _TREES.split(", ")]
+        kinds = [pa.int32() if x.split()[1] == "int" else pa.binary() for x in _TREES.split(", ")]
+        for ids, there, rows in _blocks(batches, block):
+            t = CoverTree(rows.astype(np.int64))
+            parts = [ids[t.order], there[t.order], rows[t.order], *(x.astype(np.int32) if x.dtype.kind == "i" else x for x in (t.center, t.radius, t.low, t.high, t.first, t.children))]
+            raw = [np.ascontiguousarray(x).tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([len(ids), *raw[:3], len(t.low), *raw[3:]], kinds, strict=True)], names)
+
+    return run
 
 
 def _trees(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, Nodes]]:
@@ -264,7 +266,7 @@ def lloyd(df: DataFrame, id_col: str, vector: str, start: Column, k: int = CLUST
     """
     kept = df.where(usable(vector) & (F.size(vector) == dim)).select(F.col(id_col).cast("long").alias("id"), start.alias("start"), scaled(vector, scale).alias("v"))
     first = kept.orderBy(F.col("start").asc_nulls_last(), "v").limit(k).select("v").collect()
-    trees = materialize(kept.select("id", "v").mapInArrow(_plant, _TREES), "cover-trees")
+    trees = materialize(kept.select("id", "v").mapInArrow(_plant(BLOCK), _TREES), "cover-trees")
     centroids = np.array([r.v for r in first], np.int64).reshape(len(first), dim)
     if not first:
         return trees.selectExpr("CAST(NULL AS LONG) AS id", "0 AS cluster", "0L AS distance"), centroids

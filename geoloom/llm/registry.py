@@ -17,6 +17,7 @@ MODULES = (
     "pii",
     "language",
     "dualtree",
+    "trie",
     "bitslices",
 )
 
