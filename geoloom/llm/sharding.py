@@ -70,7 +70,8 @@ def shard_by_size(df: DataFrame, id_col: str, key: Column, size: Column, shards:
     key: a long column that orders the rows; size: a positive long column.
     """
     ranges = shards * RANGES
-    narrow = materialize(df.select(F.col(id_col).alias("id"), key.alias("key"), size.cast("long").alias("size")), "shard-rows")
+    # A row's place is written with it: rows that agree in all else are still told apart.
+    narrow = materialize(df.select(F.col(id_col).alias("id"), key.alias("key"), size.cast("long").alias("size"), F.monotonically_increasing_id().alias("place")), "shard-rows")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     splitters = _splitters(narrow, total, ranges)
     keys = [k for k, _ in splitters]
@@ -87,7 +88,7 @@ def shard_by_size(df: DataFrame, id_col: str, key: Column, size: Column, shards:
     part = F.lit(0)
     if over:
         number = F.create_map(*[F.lit(x) for pair in over.items() for x in pair])[F.col("range")]
-        part = F.when(F.col("range").isin(list(over)), F.pmod(F.when(F.col("range") % 2 == 1, F.xxhash64(F.lit("part"), F.col("id"))).otherwise(F.xxhash64(F.lit("part"), F.col("key"))), number)).otherwise(0)
+        part = F.when(F.col("range").isin(list(over)), F.pmod(F.when(F.col("range") % 2 == 1, F.xxhash64(F.lit("part"), F.col("place"))).otherwise(F.xxhash64(F.lit("part"), F.col("key"))), number)).otherwise(0)
     placed = placed.withColumn("part", part.cast("int"))
     units = placed.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -95,7 +96,7 @@ def shard_by_size(df: DataFrame, id_col: str, key: Column, size: Column, shards:
     dealt = units.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int"))
     within = W.partitionBy("shard").orderBy("range", "part").rowsBetween(W.unboundedPreceding, W.currentRow)
     dealt = dealt.select("range", "part", "shard", (F.sum("rows").over(within) - F.col("rows")).alias("first"))
-    rank = F.row_number().over(W.partitionBy("range", "part").orderBy("key", "id", "size"))
+    rank = F.row_number().over(W.partitionBy("range", "part").orderBy("key", "id", "place"))
     ranked = placed.withColumn("rank", rank - 1)
     # Ranges and their parts have a fixed bound (3 * ranges), so this side is safe to broadcast.
     return ranked.join(F.broadcast(dealt), ["range", "part"]).select("id", "key", "size", "shard", (F.col("first") + F.col("rank")).alias("slot"))

@@ -53,3 +53,11 @@ def test_small_groups_stay_together(spark, tmp_path):
 def test_repeatable(spark, sf_small):
     a = {(r.doc_id, r.shard, r.slot) for r in S.op2_sharding(spark, sf_small).collect()}
     assert a == {(r.doc_id, r.shard, r.slot) for r in S.op2_sharding(spark, sf_small).collect()}
+
+
+def test_hot_texts_without_ids_or_with_one_id(spark, tmp_path):
+    for name, hot in (("null", None), ("one", 7)):
+        texts = [(hot, "copy " * 40) if i % 3 == 0 else (i, f"text {i} " * (i % 50 + 1)) for i in range(20000)]
+        rows = _run(spark, odd(spark, texts), tmp_path / name)
+        _check(rows, len(texts), 0.05)
+        assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts)
