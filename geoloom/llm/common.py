@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, **named: str) -> DataFrame:
+    """`row`, a struct of all columns of df by place, and some of them under names of ours: whatever df's are called, none clashes."""
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return df.select(row.alias("row"), *[quoted(c).alias(name) for name, c in named.items()])
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that `carried` packed, under their own names; `changed`: what stands in place of some."""
+    return df.select(*[changed.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 _own_folder: list[str] = []
 _written: list[str] = []  # tables that `materialize` wrote and `sweep` has not removed
 

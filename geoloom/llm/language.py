@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoloom.llm.common import bounded_sample, table
+from geoloom.llm.common import bounded_sample, carried, quoted, table
 
 MAX_ROWS = 4000
 MAX_BYTES = 20_000
@@ -213,8 +214,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model([(r.lang, r.text) for r in chosen.collect()])
 
 
-def predict(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of df, with lang_pred and score of its column `text`."""
+def judged(df: DataFrame, text: str, model: Model) -> DataFrame:
+    """row (all columns of df, packed), lang_pred and score of its column `text`."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +223,17 @@ def predict(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
         for batch in batches:
             found = list(labeller.predict(x.as_py() for x in batch.column(1)))
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["kept", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
-    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col(f"kept.{c}").alias(c) for c in keep], "lang_pred", "score")
+    rows = carried(df, text=text)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def predict(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
+    """The columns `keep` of df, with lang_pred and score of its column `text`; those of `keep` with such a name stay out."""
+    kept = [c for c in keep if c not in ("lang_pred", "score")]
+    packed = judged(df.select(*[quoted(c) for c in dict.fromkeys([*kept, text])]), text, model)
+    return packed.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score")
 
 
 def spans(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, table
+from geoloom.llm.common import carried, materialize, quoted, restored, table
 
 LEAST = 20  # signs from which the filters are used; the result does not depend on it
 OPEN = "\x00"
@@ -192,17 +192,32 @@ def removals(df: DataFrame, edits: int = 1) -> DataFrame:
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("gone"))
 
 
+def _marks(numbers: Column) -> Column:
+    """Bytes, one for each line up to the last of `numbers` (ascending), which are 1: so that a line is looked up in one step."""
+    gap = lambda i: numbers[i] - F.when(i > 0, numbers[i - 1]).otherwise(-1) - 1
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(numbers) - 1), lambda i: F.concat(F.repeat(F.lit("0"), gap(i)), F.lit("1"))), "").cast("binary")
+
+
+def judged(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 1) -> DataFrame:
+    """row (all columns of df, packed), new_text without the lines that repeat an earlier one, n_lines and n_gone: how many it had and lost."""
+    gone = removals(df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), edits)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.sort_array("gone").alias("gone"))
+    gone = gone.select("gone_id", "gone_hash", F.size("gone").alias("n_gone"), _marks(F.col("gone")).alias("marks"))
+    rows = carried(df, id=doc_id, text=text)
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
+    parts = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda _, i: F.substr("marks", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    count = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long")
+    n_gone = F.coalesce("n_gone", F.lit(0)).cast("long")
+    return joined.select("row", F.when(F.col("marks").isNull(), F.col("text")).otherwise(kept).alias("new_text"), count.alias("n_lines"), n_gone.alias("n_gone"))
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 1) -> DataFrame:
     """All columns of df, its text without the lines that repeat an earlier one, and __lines, __gone: how many it had and lost."""
-    gone = removals(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), edits).alias("g")
-    own = lambda c: F.col(f"d.`{c}`")
-    joined = df.alias("d").join(gone, own(doc_id).eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(own(text)) == F.col("g.text_hash")), "left")
-    parts, lost = F.split(own(text), "\n", -1), F.col("g.gone")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(lost, i)), "\n")
-    new = F.when(lost.isNull(), own(text)).otherwise(kept)
-    count = F.coalesce(F.when(own(text).isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long")
-    left = [c for c in df.columns if c not in ("__lines", "__gone")]
-    return joined.select(*[(new if c == text else own(c)).alias(c) for c in left], count.alias("__lines"), F.when(lost.isNull(), 0).otherwise(F.size(lost)).cast("long").alias("__gone"))
+    out = judged(df, doc_id, text, edits)
+    changed = {text: F.col("new_text"), "__lines": F.col("n_lines"), "__gone": F.col("n_gone")}
+    names = [*df.columns, *(c for c in ("__lines", "__gone") if c not in df.columns)]
+    return restored(out, names, **changed)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

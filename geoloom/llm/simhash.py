@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, table
+from geoloom.llm.common import carried, materialize, restored, table
 from geoloom.llm.graph import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -391,13 +391,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row of docs of each group of similar texts (`similar_texts`): that with the least id, then the least text hash.
 
     Rows are told apart by id and text; a null id comes after all others. Texts without words are all alike, so one of
-    them stays.
+    them stays. All columns stay, whatever they are called.
     """
-    near = similar_texts(docs, doc_id, text).withColumn("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
-    kept = near.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.text_hash").alias("__kept_hash"))
-    rows = docs.withColumn("__hash", F.xxhash64(text))
-    stay = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
-    return stay.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    near = similar_texts(docs, doc_id, text).withColumn("first", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    kept = near.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    rows = carried(docs, id=doc_id, text=text).select("row", "id", F.xxhash64("text").alias("hash"))
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    return restored(stay.dropDuplicates(["id", "hash"]), docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, table
+from geoloom.llm.common import carried, materialize, restored, table
 
 WORDS, LITERALS, COVER = 5, 3, 0.8
 FILTER = 4_000_000  # 32 MB of hashes at most go to each executor
@@ -304,9 +304,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates."""
-    bad = leaks(docs, items, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    """The rows of docs that no item contaminates, with all their columns, whatever they are called."""
+    bad = leaks(docs, items, doc_id, text).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = carried(docs, id=doc_id, text=text).select("row", "id", F.xxhash64("text").alias("hash"))
+    return restored(rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti"), docs.columns)
 
 
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,18 @@ def test_odd_rows(spark, sf_small):
         assert stage(spark, docs, sf_small).columns == docs.columns
         assert stage(spark, odd(spark, []), sf_small).count() == 0
     assert P.dedup_near(spark, docs, sf_small).count() == len({t or "" if (t or "").strip() else "" for _, t in test_simhash.ODD})
+
+
+CLASHING = ["score", "lang_pred", "__id", "__hash", "__kept", "__lines", "__gone", "a.b", "row", "id", "hash", "new_text", "n_gone", "marks", "c0", "tick`", "first", "gone_id", "spans"]
+
+
+def test_columns_of_any_name(spark, sf_small):
+    docs = odd(spark).selectExpr("*", *(f"{i} AS `{c.replace('`', '``')}`" for i, c in enumerate(CLASHING)), "named_struct('doc_id', 1, 'a.b', text) AS nested", "CAST(NULL AS array<string>) AS empty")
+    plain = odd(spark)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_small)
+        assert out.schema == docs.schema
+        rows = out.collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == sorted((str(r["doc_id"]), str(r["text"])) for r in stage(spark, plain, sf_small).collect())
+        assert all(r[c] == i for r in rows for i, c in enumerate(CLASHING)) and all(r["nested"]["doc_id"] == 1 for r in rows)
+    assert P.encode(spark, docs, sf_small).count() == docs.count()
