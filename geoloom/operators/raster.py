@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.sources.written import removed, written
+
 
 def around(df: DataFrame, offsets: list[tuple[int, int, float]], size: int | None = None) -> DataFrame:
     """One row for each cell and neighbour that exists: the cell's obs, r, c, v, the neighbour's nv and the offset's weight w.
@@ -45,34 +49,57 @@ def erode(cells: DataFrame, offsets: list[tuple[int, int, float]]) -> DataFrame:
     return moved.groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") == len(offsets)).select("r", "c")
 
 
+BLOCK = 256  # the side of a block of cells
+
+
+def _labelled(f: pd.DataFrame) -> pd.DataFrame:
+    """The cells of a block with the least number of a cell in their component inside the block."""
+    f = f.sort_values("a")
+    a = f.a.to_numpy()
+    r, c = f.r.to_numpy() % BLOCK, f.c.to_numpy() % BLOCK
+    at = np.full((BLOCK + 1, BLOCK + 1), -1)
+    at[r, c] = np.arange(len(a))
+    label = np.arange(len(a))
+    pairs = np.concatenate([np.stack([at[r, c], at[r + dr, c + dc]], axis=1) for dr, dc in ((0, 1), (1, 0))])
+    one, two = pairs[pairs[:, 1] >= 0].T
+    while (label[one] != label[two]).any():
+        low = np.minimum(label[one], label[two])
+        np.minimum.at(label, label[one], low)
+        np.minimum.at(label, label[two], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return pd.DataFrame({"r": f.r.to_numpy(), "c": f.c.to_numpy(), "a": a, "own": a[label]})
+
+
 def components(cells: DataFrame) -> DataFrame:
     """cells (r, c) with `label`, the least number of a cell in their 4-connected component.
 
-    Least labels travel to neighbours and along what they point to, until none changes; each round is written to the
-    reliable checkpoint folder, or kept where the session has none.
+    Blocks of cells are labelled each in its own task; only labels that meet across a border of blocks go on, as the
+    nodes of a graph, whose least labels travel to neighbours and along what they point to until none changes. So the
+    rounds follow the number of blocks that an object spans, not its cells. Each round is written and replaces the last.
     """
     size = 1 << 20
     node = F.col("r").cast("long") * size + F.col("c")
-    nodes = cells.distinct().select(node.alias("a"))
-    edges = nodes.select("a", F.explode(F.array(F.col("a") + 1, F.col("a") - 1, F.col("a") + size, F.col("a") - size)).alias("b"))
-    edges = _kept(edges.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
-    labels = _kept(nodes.select("a", F.col("a").alias("label")))
-    while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        low = labels.join(near, "a", "left").select("a", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
+    block = [F.floor(F.col(x) / BLOCK) for x in ("r", "c")]
+    nodes = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct().withColumn("a", node)
+    own = written(nodes.groupBy(*block).applyInPandas(_labelled, "r long, c long, a long, own long"), "block-labels")
+    edge = [own.where(F.pmod(F.col(x), F.lit(BLOCK)) == BLOCK - 1).select((F.col("a") + step).alias("a"), F.col("own").alias("one")) for x, step in (("r", size), ("c", 1))]
+    first = own.where((F.pmod("r", F.lit(BLOCK)) == 0) | (F.pmod("c", F.lit(BLOCK)) == 0)).select("a", F.col("own").alias("two"))
+    pairs = edge[0].unionByName(edge[1]).join(first, "a").select("one", "two").distinct()
+    edges = written(pairs.unionByName(pairs.select(F.col("two").alias("one"), F.col("one").alias("two"))).distinct(), "label-edges")
+    labels = written(edges.select(F.col("one").alias("a"), F.col("one").alias("label")).distinct(), "labels")
+    changed = not edges.isEmpty()
+    while changed:
+        near = edges.join(labels.select(F.col("a").alias("two"), F.col("label").alias("l")), "two").groupBy(F.col("one").alias("a")).agg(F.min("l").alias("l"))
+        low = labels.join(near, "a").select("a", "label", F.least("label", "l").alias("new"))
         jump = labels.select(F.col("a").alias("new"), F.col("label").alias("far"))
-        after = _kept(low.join(jump, "new").select("a", "label", F.least("new", "far").alias("next")))
-        changed = after.where("label <> next").limit(1).count()
-        labels = after.select("a", F.col("next").alias("label"))
-        if not changed:
-            return labels.select(F.floor((F.col("a") + size // 2) / size).cast("int").alias("r"), (F.pmod(F.col("a") + size // 2, F.lit(size)) - size // 2).cast("int").alias("c"), "label")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+        after = written(low.join(jump, "new").select("a", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")), "labels")
+        changed = not after.where("moved").isEmpty()
+        removed(cells.sparkSession, labels)
+        labels = after.select("a", "label")
+    roots = labels.select(F.col("a").alias("own"), F.col("label").alias("root"))
+    out = own.join(roots, "own", "left")
+    return out.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce("root", "own").alias("label"))
 
 
 def weighted(df: DataFrame, offsets: list[tuple[int, int, float]], size: int | None, value: Column) -> DataFrame:

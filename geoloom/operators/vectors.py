@@ -1,17 +1,29 @@
-"""Exact nearest neighbours: a stated query set against all rows, in blocks of queries, with partial top-k in each partition."""
+"""Nearest neighbours by cosine: exhaustive, and over an inverted-file index.
+
+Vectors travel in blocks. The rows of a list, and the queries that ask for it, meet block by block in an equi-join, so that
+no list and no query set is gathered in one place; a task compares two blocks at a time and keeps the k best of each query.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # queries compared at a time: what is broadcast is bounded by this and the dimension
+from geoloom.sources.written import written
+
+BLOCK = 2048  # rows compared with a block of queries at a time
+ASKED = 256  # queries of a block
+GROUP = 512  # row blocks that meet one copy of the queries, in an exhaustive search
+SAMPLE = 64  # rows for each list that the index is fitted on, at most
+LISTS = 4096  # lists of an index, at most
+
+_BLOCKS = "list int, dim int, n int, ids binary, vectors binary"
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -19,36 +31,167 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows of the vectors of a batch, by length; vectors with a null inside are left out."""
+    column = batch.column("v")
+    starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float32)
+    whole = np.isfinite(values)
+    sizes = np.diff(starts)
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        places = starts[at][:, None] + np.arange(n)
+        keep = whole[places].all(axis=1)
+        if keep.any():
+            yield at[keep], values[places[keep]]
+
+
+def _pack(most: int, listed: bool):
+    """Blocks of up to `most` rows (id, v) of one list and length; with lists, rows come in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = defaultdict(list)
+        size: dict[tuple[int, int], int] = defaultdict(int)
+
+        def flush(key: tuple[int, int]) -> pa.RecordBatch:
+            ids, rows = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            n = size.pop(key)
+            values = [[key[0]], [key[1]], [n], [ids.tobytes()], [np.ascontiguousarray(rows).tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["list", "dim", "n", "ids", "vectors"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = batch.column("list").to_numpy(zero_copy_only=False) if listed else np.zeros(len(ids), np.int32)
+            for at, rows in _matrices(batch):
+                for number in np.unique(lists[at]).tolist():
+                    own = lists[at] == number
+                    a, r, key = at[own], rows[own], (int(number), rows.shape[1])
+                    while len(a):
+                        m = most - size[key]
+                        held[key].append((ids[a[:m]], r[:m]))
+                        size[key] += len(a[:m])
+                        a, r = a[m:], r[m:]
+                        if size[key] == most:
+                            yield flush(key)
+            if listed:
+                last = int(lists.max())
+                for key in [k for k in held if k[0] < last]:
+                    yield flush(key)
+        for key in list(held):
+            yield flush(key)
+
+    return run
+
+
+def _score(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, asked = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                rows = _unit(np.frombuffer(r["vectors"], np.float32).reshape(len(ids), -1).astype(float))
+                queries = _unit(np.frombuffer(r["q_vectors"], np.float32).reshape(len(asked), -1).astype(float))
+                scores = np.round(queries @ rows.T, 6) + 0.0
+                scores[asked[:, None] == ids[None, :]] = -2.0  # a query is not its own neighbour
+                out = []
+                for q, s in zip(asked.tolist(), scores, strict=True):
+                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                    near = near[s[near] > -2.0]
+                    best = near[np.lexsort((ids[near], -s[near]))[:k]]
+                    out.append((np.full(len(best), q), ids[best], s[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _best(index: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
+    both = index.join(asked.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).drop("n"), on)
+    scored = both.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(_score(k), "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _named(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score (cosine, 6 places), rank of the k nearest rows of each query, itself excepted."""
-    sc = rows.sparkSession.sparkContext
-    wanted = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        some = wanted.where(F.col("block") == b).select("id", "v").collect()
-        if not some:
-            continue
-        shared = sc.broadcast((np.array([r.id for r in some]), _unit(np.array([r.v for r in some], float))))
-
-        def top(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for f in frames:
-                f = f[f.v.notna()]
-                if not len(f):
+    """query_id, vec_id, score (cosine, 6 places), rank of the k nearest rows of each query, itself excepted, by comparison with all."""
+    blocks = written(_named(rows, id_col, vec).mapInArrow(_pack(BLOCK, False), _BLOCKS).withColumn("at", F.monotonically_increasing_id()), "vector-blocks")
+    asked = written(_named(queries, id_col, vec).mapInArrow(_pack(ASKED, False), _BLOCKS).drop("list"), "query-blocks")
+    n = blocks.count()
+    groups = max(1, min(n, max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // GROUP))))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    return _best(dealt.drop("list", "at"), asked, ["group", "dim"], k)
+
+
+class VectorIndex:
+    """An inverted-file index: coarse centroids, and the rows' blocks in one partition folder for each centroid's list.
+
+    blocks: list, dim, n, ids, vectors, of which a search reads the probed lists' folders only.
+    """
+
+    def __init__(self, centroids: np.ndarray, blocks: DataFrame):
+        self.centroids, self.blocks = centroids, blocks
+
+    def search(self, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+        """query_id, vec_id, score, rank of the k nearest rows in the `probes` lists nearest to each query, exactly compared."""
+        probed = written(_named(queries, id_col, vec).mapInArrow(_probes(self.centroids, probes), "list int, id long, v array<float>"), "probes")
+        wanted = sorted(r.list for r in probed.select("list").distinct().collect())  # at most all lists
+        blocks = self.blocks.where(F.col("list").isin(wanted)) if len(wanted) < len(self.centroids) else self.blocks
+        dealt = probed.repartitionByRange("list", "id").sortWithinPartitions("list")
+        return _best(blocks, dealt.mapInArrow(_pack(ASKED, True), _BLOCKS), ["list", "dim"], k)
+
+
+def _probes(centroids: np.ndarray, probes: int):
+    """Each row with its `probes` nearest lists, by cosine to nine places; ties: the list of the smaller number."""
+    unit = _unit(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows in _matrices(batch):
+                if rows.shape[1] != unit.shape[1]:
                     continue
-                score = np.round(_unit(np.stack(f.v.to_numpy()).astype(float)) @ q.T, 6) + 0.0
-                own = f.id.to_numpy()
-                for j in range(len(ids)):
-                    s = np.where(own == ids[j], -2, score[:, j])
-                    best = np.lexsort((own, -s))[:k]
-                    best = best[s[best] > -2]
-                    yield pd.DataFrame({"query_id": ids[j], "vec_id": own[best], "score": s[best]})
-
-        parts.append(rows.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(top, "query_id long, vec_id long, score double"))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    every = reduce(DataFrame.unionByName, parts)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+                scores = np.round(_unit(rows.astype(float)) @ unit.T, 9)
+                lists = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                many = lists.shape[1]
+                again = np.repeat(at, many)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), batch.column("id").take(pa.array(again)), batch.column("v").take(pa.array(again))], ["list", "id", "v"])
+
+    return run
+
+
+def _fitted(rows: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
+    centroids = _unit(start)
+    for _ in range(rounds):
+        own = np.round(rows @ centroids.T, 9).argmax(axis=1)
+        means = np.stack([rows[own == j].mean(axis=0) if (own == j).any() else c for j, c in enumerate(centroids)])
+        centroids = _unit(means)
+    return centroids
+
+
+def build_index(rows: DataFrame, lists: int, rounds: int = 2, id_col: str = "vec_id", vec: str = "embedding") -> VectorIndex:
+    """An index of all rows whose vectors have the commonest length and no null.
+
+    The centroids are fitted by spherical k-means on a sample of at most SAMPLE rows for each list, the rows of least
+    hash, starting from the first of them; every row is then put into its list. A list of any size lies in blocks.
+    """
+    named = _named(rows, id_col, vec)
+    sizes = named.where(F.size("v") > 0).groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    dim = sizes.dim if sizes else 1
+    able = named.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    lists = max(1, min(lists, LISTS))
+    least = able.select(F.sha2(F.col("id").cast("string"), 256).alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE * lists).select("v").collect()
+    sample = _unit(np.array([r.v for r in least], float).reshape(len(least), dim))
+    centroids = _fitted(sample, sample[:lists], rounds) if len(sample) else np.zeros((1, dim))
+    listed = able.mapInArrow(_probes(centroids, 1), "list int, id long, v array<float>")
+    dealt = listed.repartitionByRange("list", F.xxhash64("id")).sortWithinPartitions("list")
+    return VectorIndex(centroids, written(dealt.mapInArrow(_pack(BLOCK, True), _BLOCKS), "vector-index", "list"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of exact neighbours (query_id, vec_id) that are among those found."""
+    hit = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hit.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
