@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -248,8 +248,28 @@ class Archive:
         rows = keyed.unionByName(new.where("dedupe_key IS NULL")).withColumn("status", F.lit("pending")).withColumn("priority", priority).withColumn("attempts", F.lit(0))
         return self["jobs"].unionByName(rows, allowMissingColumns=True)
 
-    def next_job(self) -> DataFrame:
-        return self["jobs"].where(F.col("status").isin("pending", "retry")).orderBy("priority", "id").limit(1)
+    def next_job(self, kinds: Sequence[str] | None = None) -> DataFrame:
+        """The job that a worker takes next: the most urgent that waits, of the kinds if any are named."""
+        waiting = self["jobs"].where(F.col("status").isin("pending", "retry"))
+        return (waiting.where(F.col("kind").isin(*kinds)) if kinds else waiting).orderBy("priority", "id").limit(1)
+
+    def claim(self, now: str, worker: str, kinds: Sequence[str] | None = None, seconds: int = 600) -> tuple[DataFrame, Row | None]:
+        """Jobs after a worker has claimed the next one, and that job (none if none waits).
+
+        Jobs that run without a sign of life for so long wait again first. The claimed job runs under the worker's name, with
+        one attempt more.
+        """
+        own = Archive({**self.tables, "jobs": self.release_stale(now, seconds)})
+        job = own.next_job(kinds).first()
+        if job is None:
+            return own["jobs"], None
+        at = F.col("id") == job["id"]
+        made = {"status": "running", "locked_by": worker, "heartbeat_at": now}
+        jobs = own["jobs"].withColumn("attempts", F.when(at, F.col("attempts") + 1).otherwise(F.col("attempts")))
+        for c, value in made.items():
+            old = F.col(c) if c in jobs.columns else F.lit(None).cast("string")
+            jobs = jobs.withColumn(c, F.when(at, F.lit(value).cast(jobs.schema[c].dataType if c in jobs.columns else "string")).otherwise(old))
+        return jobs, jobs.where(at).first()
 
     def move_job(self, job: int, move: str) -> DataFrame:
         """Jobs after a guarded move; a job in another state stays as it is."""
@@ -266,16 +286,16 @@ class Archive:
         return self["jobs"].withColumn("heartbeat_at", F.when((F.col("id") == job) & (F.col("status") == "running"), F.lit(now)).otherwise(F.col("heartbeat_at")))
 
     def release_stale(self, now: str, seconds: int = 600) -> DataFrame:
-        """Jobs, those that run without a sign of life for so long pending again."""
+        """Jobs, those that run without a sign of life for so long in retry."""
         age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("heartbeat_at").cast("timestamp"))
-        return self["jobs"].withColumn("status", F.when((F.col("status") == "running") & (age > seconds), "pending").otherwise(F.col("status")))
+        return self["jobs"].withColumn("status", F.when((F.col("status") == "running") & (age > seconds), "retry").otherwise(F.col("status")))
 
-    def run_one(self, handlers: Mapping[str, Callable], now: str, max_attempts: int = 3) -> tuple[DataFrame, DataFrame, str | None]:
+    def run_one(self, handlers: Mapping[str, Callable], now: str, max_attempts: int = 3, kinds: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, str | None]:
         """Run the next job with its kind's handler: jobs and scenes as they are after it, and the error's text.
 
         Any failure is recorded; the final failure of a process_scene job marks its scene as failed.
         """
-        job = self.next_job().first()
+        job = self.next_job(kinds).first()
         if job is None:
             return self["jobs"], self["scenes"], None
         attempt, error, after = job["attempts"] + 1, None, "done"
@@ -295,10 +315,21 @@ class Archive:
         return jobs, scenes, error
 
     def follow_up(self, done: DataFrame) -> DataFrame:
-        """New jobs (kind, dedupe_key, scene_id) after finished ones, by the kinds' order; a scene's job of a kind comes once."""
-        step = F.element_at(F.create_map(*[F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x) for kv in JOB_AFTER.items() for x in kv]), F.col("kind"))
-        rows = done.select("scene_id", F.explode(step).alias("kind"))
-        return rows.select("kind", F.concat_ws(":", "kind", "scene_id").alias("dedupe_key"), "scene_id").distinct()
+        """New jobs (kind, dedupe_key, scene_id, observation_id, aoi_id) after finished ones, by the kinds' order.
+
+        A scene is processed once for each area, an observation is classified and embedded once, and an area's change is
+        updated once, however many finished jobs ask for it; rows without a part of the key ask for nothing.
+        """
+        names = ("scene_id", "observation_id", "aoi_id")
+        rows = done.select("kind", *[F.col(c).cast("string").alias(c) if c in done.columns else F.lit(None).cast("string").alias(c) for c in names])
+        parts = []
+        for kind, steps in JOB_AFTER.items():
+            for after, key, columns in steps:
+                own = rows.where((F.col("kind") == kind))
+                for c in columns:
+                    own = own.where(F.col(c).isNotNull())
+                parts.append(own.select(F.lit(after).alias("kind"), F.concat_ws(":", F.lit(key), *columns).alias("dedupe_key"), *names))
+        return first_ranked(reduce(DataFrame.unionByName, parts), ["dedupe_key"], [F.col(c) for c in names], 1)
 
     def export_events(self, path: str, filters: Mapping | None = None) -> None:
         sinks.geojson_lines(self.events(filters), path, "x", "y", ["id", "machine_state", "change_type"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from geoloom.sources import adapters, storage
 RELATIONS = {
     "scenes": "id bigint, scene_uid string, platform string, aoi_id string, status string, acquired_at timestamp",
     "observations": "id bigint, scene_id bigint, aoi_id string, acquired_at timestamp",
-    "jobs": "id bigint, kind string, status string, priority int, dedupe_key string, attempts int, heartbeat_at timestamp, scene_id bigint",
+    "jobs": "id bigint, kind string, status string, priority int, dedupe_key string, attempts int, heartbeat_at timestamp, locked_by string, scene_id bigint, observation_id bigint, aoi_id string",
     "quarantine": "id bigint, original_name string, reason_code string, reasons array<string>, released boolean",
     "audit_log": "seq bigint, payload string, prev_hash string, record_hash string",
     "change_events": "id bigint, aoi_id string, change_type string, machine_state string, confidence double",
@@ -53,7 +55,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     for name in ("db-init", "aoi-sync", "jobs", "quarantine", "audit-verify", "status"):
         commands.add_parser(name)
     commands.add_parser("ingest").add_argument("folder")
-    commands.add_parser("worker").add_argument("--max-jobs", type=int, default=1)
+    worker = commands.add_parser("worker")
+    worker.add_argument("--max-jobs", type=int, default=1)
+    worker.add_argument("--handlers", help="module:attribute of a mapping from kinds of jobs to functions of a job; jobs of other kinds are left alone")
     commands.add_parser("reset-archive").add_argument("--yes", action="store_true")
     a = parser.parse_args(arguments)
     if spark is None:
@@ -76,12 +80,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif a.command == "ingest":
         show(adapters.candidates(spark, a.folder).withColumn("adapter", adapters.adapter(F.col("path"))))
     elif a.command == "worker":
+        if not a.handlers:
+            print("refusing without --handlers: a worker without handlers would fail every job")
+            return 1
+        module, _, attribute = a.handlers.partition(":")
+        handlers = getattr(import_module(module), attribute or "HANDLERS")
         for _ in range(a.max_jobs):
-            jobs, _, error = own.run_one({}, "1970-01-01 00:00:00")
-            if error is None:
+            now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+            if own.next_job(list(handlers)).first() is None:
                 break
-            print(json.dumps({"error": error}))
+            jobs, scenes, error = own.run_one(handlers, now, kinds=list(handlers))
+            if error is not None:
+                print(json.dumps({"error": error}))
             replace(jobs, a.root, "jobs")
+            replace(scenes, a.root, "scenes")
             own = archive(spark, a.root)
     elif a.command == "reset-archive":
         if not a.yes:

@@ -81,10 +81,15 @@ T = Thresholds()
 NODATA, SATURATED, CLOUD, HAZE, SHADOW, SNOW, TERRAIN, EDGE = 1, 2, 4, 8, 16, 32, 64, 128
 
 # Priorities of job kinds; other kinds have 100.
-JOB_PRIORITY = {"ingest_scan": 10, "register_scene": 20, "process_scene": 40, "classify": 50, "embed": 60, "change_update": 90, "watchset_rerun": 95, "cluster": 120}
+JOB_PRIORITY = {"ingest_scan": 10, "register_scene": 20, "process_scene": 40, "classify_observation": 50, "embed_observation": 60, "change_update": 90, "watchset_rerun": 95, "cluster": 120}
 
-# The kinds of jobs that follow a finished one.
-JOB_AFTER = {"ingest_scan": ["register_scene"], "register_scene": ["process_scene"], "process_scene": ["classify", "embed"], "classify": ["change_update"], "change_update": ["watchset_rerun"]}
+# The kinds of jobs that follow a finished one, with the name and the columns of their dedupe key.
+JOB_AFTER = {
+    "ingest_scan": [("process_scene", "process", ("scene_id", "aoi_id"))],
+    "register_scene": [("process_scene", "process", ("scene_id", "aoi_id"))],
+    "process_scene": [("classify_observation", "classify", ("observation_id",))],
+    "classify_observation": [("embed_observation", "embed", ("observation_id",)), ("change_update", "change", ("aoi_id",))],
+}
 
 # The grid.
 PIXEL_M, STRIDE_PX, TILE_PX = 10, 64, 128

@@ -480,7 +480,10 @@ def percentile_rank(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("score"))
     some = first_ranked(v.withColumn("k", F.sha2(F.col("vec_id").cast("string"), 256)), ["label"], [F.col("k"), F.col("vec_id")], T.background_sample)
     background = some.groupBy("label").agg(F.sort_array(F.collect_list("score")).alias("b"))  # bounded by the sample
-    share = F.size(F.filter("b", lambda x: x <= F.col("score"))) / F.size("b")
+    # The number of sorted scores that are at most the row's, by halving.
+    halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get("b", F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("score"), F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
+    steps = F.sequence(F.lit(0), F.lit(T.background_sample.bit_length()))
+    share = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("b").alias("hi")), halve)["lo"] / F.size("b")
     return v.join(background, "label").select("vec_id", "label", "score", F.round(share, 6).alias("percentile"))
 
 

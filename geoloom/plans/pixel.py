@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.config import T
 from geoloom.functions import columns as C
+from geoloom.operators.timeline import first_ranked
 from geoloom.sources.fixtures import PIXELS, observations, pixels, read
 
 BANDS = ["b02", "b03", "b04", "b08", "b11", "b12"]
@@ -167,17 +171,34 @@ HAZE = f"""WITH c AS (SELECT {SCENE} AS scene, b02 / 10000.0::DOUBLE - b04 / 200
  (SELECT CAST(sum((hot > med + 4.0::DOUBLE * greatest(mad, 0.001::DOUBLE) AND hot > 0.02)::INT) AS BIGINT) FROM c WHERE c.scene = m.scene) ELSE 0 END AS hazy FROM m JOIN d USING (scene)"""
 
 
+#: Observations of an even grid, read at half resolution: of each two rows and columns the second. Three and four are a thousand
+#: brighter, one and four still have an offset to apply, six has no data.
+DARK_DN = """SELECT obs, CASE WHEN obs IN (1, 4) THEN -1000 ELSE 0 END AS offset_dn, CASE WHEN obs = 6 OR dn = 0 THEN 0 WHEN obs IN (3, 4) THEN dn + 1000 ELSE dn END AS dn
+ FROM (SELECT CAST(l_linenumber AS INT) AS obs, CAST({band} AS INT) AS dn FROM lineitem WHERE l_orderkey % 48 % 2 = 1 AND l_partkey % 48 % 2 = 1) t"""
+_DARK_BANDS = ("floor(l_tax * 50000)", "l_partkey % 4001", "l_suppkey % 3001")
+DARK_TOLERANCE, DARK_SHARE, DARK_LIMIT = 50, 0.005, 1000
+
+
 def dark_pixel(spark, sf_dir):
-    """The dark-pixel test per observation: exact low percentile and the share below the offset's floor."""
-    rows = _scene_pixels(spark, sf_dir).select("scene", F.explode(F.array("b08", "b11", "b12")).alias("dn")).where("dn > 0")
-    out = rows.groupBy("scene").agg(F.percentile("dn", 0.005).alias("p"), F.avg((F.col("dn") < 950).cast("double")).alias("share"))
-    verdict = F.when(F.col("share") > 0.005, "inconsistent").when(F.col("p") < 1000, "consistent").otherwise("unverified")
-    return out.select("scene", F.round("p", 6).alias("p"), F.round("share", 6).alias("share"), verdict.alias("verdict"))
+    """The dark-pixel test of each observation's offset, from three bands at half resolution.
+
+    With an offset to apply, it is consistent if no more than a small share lies below the offset's floor; without one, if
+    the low percentile is dark, else it cannot be verified.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    rows = reduce(DataFrame.unionByName, [spark.sql(DARK_DN.format(band=b).replace("FROM lineitem", "FROM {t}"), t=lines) for b in _DARK_BANDS])
+    there = F.when(F.col("dn") > 0, F.col("dn"))
+    below = F.when(F.col("dn") > 0, (F.col("dn") < -F.col("offset_dn") - DARK_TOLERANCE).cast("double"))
+    out = rows.groupBy("obs", "offset_dn").agg(F.percentile(there, DARK_SHARE).alias("p"), F.avg(below).alias("share"), F.count(there).alias("n"))
+    shifted = F.col("offset_dn") < 0
+    verdict = F.when(F.col("n") == 0, "no_data").when(shifted & (F.col("share") > DARK_SHARE), "inconsistent").when(shifted | (F.col("p") < DARK_LIMIT), "consistent").otherwise("unverified")
+    return out.select("obs", "offset_dn", "n", F.round("p", 6).alias("p"), F.round(F.when(shifted, F.col("share")), 6).alias("share"), verdict.alias("verdict"))
 
 
-DARK = f"""SELECT scene, round(quantile_cont(dn, 0.005), 6) AS p, round(avg((dn < 950)::INT), 6) AS share,
- CASE WHEN avg((dn < 950)::INT) > 0.005 THEN 'inconsistent' WHEN quantile_cont(dn, 0.005) < 1000 THEN 'consistent' ELSE 'unverified' END AS verdict
- FROM (SELECT {SCENE} AS scene, unnest([b08, b11, b12]) AS dn FROM ({PIXELS})) WHERE dn > 0 GROUP BY scene"""
+DARK = f"""SELECT obs, offset_dn, n, round(p, 6) AS p, CASE WHEN offset_dn < 0 THEN round(share, 6) END AS share,
+ CASE WHEN n = 0 THEN 'no_data' WHEN offset_dn < 0 THEN CASE WHEN share > {DARK_SHARE} THEN 'inconsistent' ELSE 'consistent' END WHEN p < {DARK_LIMIT} THEN 'consistent' ELSE 'unverified' END AS verdict
+ FROM (SELECT obs, offset_dn, count(*) FILTER (dn > 0) AS n, quantile_cont(dn, {DARK_SHARE}) FILTER (dn > 0) AS p, avg((dn < -offset_dn - {DARK_TOLERANCE})::INT) FILTER (dn > 0) AS share
+  FROM ({" UNION ALL ".join(DARK_DN.format(band=b) for b in _DARK_BANDS)}) GROUP BY obs, offset_dn)"""
 
 
 def band_medians(spark, sf_dir):
@@ -207,9 +228,9 @@ def pif_fit(spark, sf_dir):
     key = F.sha2(F.concat_ws("-", "event_id"), 256)
     rows = observations(spark, sf_dir).select("role", F.col("value").alias("x"), (F.col("value") * 1.1 + F.col("event_id") % 13).alias("y"), "event_id", key.alias("k"))
     rows = rows.where(F.abs(F.col("y") / 1.1 - F.col("x")) < 10)  # stable
-    all_of = W.partitionBy("role")
-    sample = rows.withColumn("n", F.count("*").over(all_of)).withColumn("r", F.row_number().over(all_of.orderBy("k", "event_id")))
-    sample = sample.where((F.col("r") <= T.invariant_cap) & (F.col("n") >= T.invariant_least))
+    counts = rows.groupBy("role").agg(F.count("*").alias("n")).where(F.col("n") >= T.invariant_least)
+    sample = first_ranked(rows, ["role"], [F.col("k"), F.col("event_id")], T.invariant_cap).join(counts, "role")
+    sample = sample.withColumn("r", F.row_number().over(W.partitionBy("role").orderBy("k", "event_id")))  # of the bounded sample
     a, b = sample.alias("a"), sample.alias("b")
     pairs = a.join(b, (F.col("a.role") == F.col("b.role")) & (F.col("a.r") < F.col("b.r")) & (F.col("a.y") != F.col("b.y")))
     slope = pairs.groupBy(F.col("a.role").alias("role")).agg(F.median((F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))).alias("gain"), F.count("*").alias("pairs"))

@@ -135,21 +135,22 @@ LINEAGE = "SELECT c_nationkey, count(*) AS n_obs, count(DISTINCT o_orderkey) AS
 def provenance_rows(spark, sf_dir):
     """Records of every event, or of the observations and scenes in its lists, each type matched with its own list.
 
-    An event is a customer: its observations are the customer's orders, its scenes the suppliers of the customer's nation.
+    An event is a customer: its observations are the customer's orders, its scenes the parts of these orders; a record
+    tells of one artifact, so the rows follow the lists.
     """
     records = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    of = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    obs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artifact"), F.col("o_orderkey").alias("event_id"))
-    sc = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(of, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artifact"), F.col("s_suppkey").alias("user_id"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artifact"), "o_orderkey")
+    sc = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("event_id")).join(orders, "o_orderkey").select("artifact", "event_id").distinct()
     names = ["artifact", "event_id", "user_id", "event_type"]
-    a = records.where("event_type = 'view'").join(obs, "event_id").select(*names)
-    b = records.where("event_type = 'click'").join(sc, "user_id").select(*names)
-    own = records.where("event_type = 'error'").join(of.select(F.col("c_custkey").alias("artifact")), F.col("event_id") == F.col("artifact")).select(*names)
+    a = records.where("event_type = 'view'").join(orders.withColumnRenamed("o_orderkey", "event_id"), "event_id").select(*names)
+    b = records.where("event_type = 'click'").join(sc, "event_id").select(*names)
+    of = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("artifact"))
+    own = records.where("event_type = 'error'").join(of, F.col("event_id") == F.col("artifact")).select(*names)
     return a.unionByName(b).unionByName(own)
 
 
 PROVENANCE = """SELECT o_custkey AS artifact, event_id, user_id, event_type FROM events JOIN orders ON event_id = o_orderkey WHERE event_type = 'view'
- UNION ALL SELECT c_custkey, event_id, user_id, event_type FROM events JOIN supplier ON user_id = s_suppkey JOIN customer ON s_nationkey = c_nationkey WHERE event_type = 'click'
+ UNION ALL SELECT DISTINCT o_custkey, event_id, user_id, event_type FROM events JOIN lineitem ON event_id = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE event_type = 'click'
  UNION ALL SELECT c_custkey, event_id, user_id, event_type FROM events JOIN customer ON event_id = c_custkey WHERE event_type = 'error'"""
 
 

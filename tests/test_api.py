@@ -109,8 +109,18 @@ def test_jobs(archive, spark):
     after, scenes, error = a.run_one({"process_scene": dict}, "2024-01-01 01:00:00")
     assert error is None and after.where("id = 1").first().status == "done" and scenes.first().status == "registered"
     assert a.heartbeat(2, "2024-01-02 00:00:00").where("id = 2").first().heartbeat_at == "2024-01-02 00:00:00"
-    assert a.release_stale("2024-01-01 00:05:00").where("id = 2").first().status == "running" and a.release_stale("2024-01-01 00:11:00").where("id = 2").first().status == "pending"
-    assert {r.kind for r in a.follow_up(jobs.where("id = 1")).collect()} == {"classify", "embed"}
+    assert a.release_stale("2024-01-01 00:05:00").where("id = 2").first().status == "running" and a.release_stale("2024-01-01 00:11:00").where("id = 2").first().status == "retry"
+    job, claimed = a.claim("2024-01-01 00:11:00", "me")
+    assert (claimed.id, claimed.status, claimed.attempts, claimed.locked_by) == (1, "running", 3, "me")
+    assert {r.id: r.status for r in job.collect()} == {1: "running", 2: "retry"}
+    assert a.claim("2024-01-01 00:11:00", "me", ["embed"])[1].id == 2 and a.claim("2024-01-01 00:01:00", "me", ["embed"])[1] is None
+
+
+def test_jobs_that_follow(archive, spark):
+    """Embedding and the area's change follow the classification of an observation, which follows its processing."""
+    done = spark.createDataFrame([("process_scene", 7, 70, "a"), ("process_scene", 8, 80, "a"), ("classify_observation", 7, 70, "a"), ("classify_observation", 8, 80, "a"), ("classify_observation", 8, 80, "a"), ("ingest_scan", 9, None, "b"), ("ingest_scan", None, None, "b"), ("embed_observation", 7, 70, "a")], "kind string, scene_id int, observation_id int, aoi_id string")
+    got = sorted((r.kind, r.dedupe_key) for r in archive.follow_up(done).collect())
+    assert got == [("change_update", "change:a"), ("classify_observation", "classify:70"), ("classify_observation", "classify:80"), ("embed_observation", "embed:70"), ("embed_observation", "embed:80"), ("process_scene", "process:9:b")]
 
 
 def test_filters_similar_and_water(archive, spark):
