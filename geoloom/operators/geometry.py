@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.grid import lonlat44
+
 
 def warp(df: DataFrame, step: float, rows: int, columns: int, bilinear: bool = False) -> DataFrame:
     """A raster (obs, r, c, v) on a grid of rows x columns whose cells are `step` source cells wide, from the same corner.
@@ -27,6 +31,54 @@ def warp(df: DataFrame, step: float, rows: int, columns: int, bilinear: bool = F
     return out.select("obs", "r", "c", (F.col("s") / F.col("w")).alias("v"))
 
 
+@dataclass(frozen=True)
+class Grid:
+    """A raster's grid: its upper left corner, the side of a cell, and how many rows and columns it has."""
+
+    x0: float
+    y0: float
+    step: float
+    rows: int
+    columns: int
+
+
+def reproject(df: DataFrame, source: Grid, target: Grid, bilinear: bool = False, fill: float = 0.0) -> DataFrame:
+    """A raster (obs, r, c, v) in degrees on a grid in metres of zone 44 north.
+
+    Each target cell's centre is projected back, and meets its source cell, or the four around it, by equality; what comes
+    from outside the source is `fill`. Bilinear: source centres that do not exist give their weight to the others.
+    """
+    cells = df.select("obs").distinct().select("obs", F.explode(F.sequence(F.lit(0), F.lit(target.rows - 1))).alias("r")).select("obs", "r", F.explode(F.sequence(F.lit(0), F.lit(target.columns - 1))).alias("c"))
+    lon, lat = lonlat44(target.x0 + (F.col("c") + 0.5) * target.step, target.y0 - (F.col("r") + 0.5) * target.step)
+    places = cells.select("obs", "r", "c", ((F.lit(source.y0) - lat) / source.step).alias("y"), ((lon - source.x0) / source.step).alias("x"))
+    values = df.select("obs", F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
+    if not bilinear:
+        asked = places.select("obs", "r", "c", F.floor("y").cast("int").alias("sr"), F.floor("x").cast("int").alias("sc"))
+        return asked.join(values, ["obs", "sr", "sc"], "left").select("obs", "r", "c", F.coalesce("v", F.lit(fill)).alias("v"))
+    y, x = F.col("y") - 0.5, F.col("x") - 0.5
+    part = lambda a, k: (a - F.floor(a)) if k else 1 - (a - F.floor(a))
+    corners = F.explode(F.array(*[F.struct((F.floor(y) + i).cast("int").alias("sr"), (F.floor(x) + j).cast("int").alias("sc"), (part(y, i) * part(x, j)).alias("w")) for i in (0, 1) for j in (0, 1)])).alias("o")
+    met = places.select("obs", "r", "c", corners).select("obs", "r", "c", "o.*").join(values, ["obs", "sr", "sc"], "left")
+    there = F.when(F.col("v").isNotNull(), F.col("w"))
+    out = met.groupBy("obs", "r", "c").agg(F.sum(there * F.col("v")).alias("s"), F.sum(there).alias("w"))
+    return out.select("obs", "r", "c", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(fill).alias("v"))
+
+
+def averaged(df: DataFrame, step: float) -> DataFrame:
+    """A raster (obs, r, c, v) on cells `step` source cells wide (1 or more), from the same corner, by area: each source cell counts with the share of it that a target cell covers."""
+
+    def shares(x: str) -> Column:
+        first = F.floor(F.col(x) / step)
+        cut = F.least((first + 1) * step - F.col(x), F.lit(1.0))
+        both = F.array(F.struct(first.cast("int").alias("at"), cut.alias("w")), F.struct((first + 1).cast("int").alias("at"), (1 - cut).alias("w")))
+        return F.explode(F.filter(both, lambda o: o["w"] > 1e-12))
+
+    spread = df.select("obs", "c", "v", shares("r").alias("a")).select("obs", "v", "a", shares("c").alias("b"))
+    w = F.col("a.w") * F.col("b.w")
+    out = spread.groupBy("obs", F.col("a.at").alias("r"), F.col("b.at").alias("c")).agg(F.sum(w * F.col("v")).alias("s"), F.sum(w).alias("w"))
+    return out.select("obs", "r", "c", (F.col("s") / F.col("w")).alias("v"))
+
+
 def window(df: DataFrame, top: int, left: int, rows: int, columns: int) -> DataFrame:
     """The cells of a whole-number window of a raster, counted from its corner; the filter reaches the scan."""
     inside = F.col("r").between(top, top + rows - 1) & F.col("c").between(left, left + columns - 1)

@@ -29,6 +29,18 @@ ALPHA = [
     61 * N**3 / 240 - 103 * N**4 / 140,
     49561 * N**4 / 161280,
 ]
+BETA = [
+    N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360,
+    N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440,
+    17 * N**3 / 480 - 37 * N**4 / 840,
+    4397 * N**4 / 161280,
+]
+DELTA = [
+    2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45,
+    7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45,
+    56 * N**3 / 15 - 136 * N**4 / 35,
+    4279 * N**4 / 630,
+]
 ECC = 2 * math.sqrt(N) / (1 + N)
 CENTRE, SCALE, EASTING = 81.0, 0.9996, 500000.0
 
@@ -45,6 +57,20 @@ def utm44(lon: Column, lat: Column) -> tuple[Column, Column]:
     return EASTING + SCALE * RADIUS * east, SCALE * RADIUS * north
 
 
+def lonlat44(east: Column, north: Column) -> tuple[Column, Column]:
+    """Degrees (longitude, latitude) of easting and northing in metres."""
+    xi, eta = north / (SCALE * RADIUS), (east - EASTING) / (SCALE * RADIUS)
+    x, e = xi, eta
+    for j, b in enumerate(BETA, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(e))
+    phi = chi
+    for j, d in enumerate(DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return CENTRE + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(phi)
+
+
 def areas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AREAS, "aoi string, west double, south double, east double, north double")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import columns as C
 from geoloom.operators import geometry as G
+from geoloom.operators import grid as K
 from geoloom.operators import raster as R
 from geoloom.plans.change import CELLS, RASTER, _cells, _raster
 from geoloom.plans.grid import SCENE, scene
@@ -28,6 +29,39 @@ BILINEAR = f"""WITH g AS ({RASTER}), t AS (SELECT *, (r + 0.5) * 0.7::DOUBLE - 0
  SELECT k.obs, k.r, k.c, round(sum(w * v) / sum(w) + 1e-9, 4) AS v FROM k JOIN g ON g.obs = k.obs AND g.r = sr AND g.c = sc WHERE w > 0 GROUP BY 1, 2, 3"""
 
 
+#: The raster in degrees over an area, and the area's grid in metres, wider than the raster so that its edge is met.
+DEGREES = G.Grid(81.47, 20.65, 0.0028, 48, 48)
+METRES = G.Grid(548800.0, 2283520.0, 250.0, 50, 60)
+
+
+def reproject_nearest(spark, sf_dir):
+    return G.reproject(_raster(spark, sf_dir), DEGREES, METRES).select("obs", "r", "c", F.round("v", 8).alias("v"))
+
+
+def reproject_bilinear(spark, sf_dir):
+    return G.reproject(_raster(spark, sf_dir), DEGREES, METRES, True).select("obs", "r", "c", F.round(F.col("v") + 1e-9, 4).alias("v"))
+
+
+def area_resample(spark, sf_dir):
+    return G.averaged(_raster(spark, sf_dir), 1.5).select("obs", "r", "c", F.round(F.col("v") + 1e-9, 4).alias("v"))
+
+
+_D = "::DOUBLE"
+_XI = [f"- {b!r}{_D} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(K.BETA, 1)]
+_ETA = [f"- {b!r}{_D} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(K.BETA, 1)]
+_PHI = [f"+ {d!r}{_D} * sin({2 * j} * chi)" for j, d in enumerate(K.DELTA, 1)]
+_PLACES = f"""g AS ({RASTER}), m AS (SELECT obs, r, c, ({METRES.y0} - (r + 0.5) * {METRES.step}){_D} / {K.SCALE * K.RADIUS!r}{_D} AS xi, ({METRES.x0} + (c + 0.5) * {METRES.step} - {K.EASTING}){_D} / {K.SCALE * K.RADIUS!r}{_D} AS eta
+  FROM (SELECT DISTINCT obs FROM g), (SELECT range::INT AS r FROM range({METRES.rows})), (SELECT range::INT AS c FROM range({METRES.columns}))),
+ k AS (SELECT obs, r, c, xi {" ".join(_XI)} AS x, eta {" ".join(_ETA)} AS e FROM m), n AS (SELECT *, asin(sin(x) / cosh(e)) AS chi FROM k),
+ p AS (SELECT obs, r, c, ({DEGREES.y0}{_D} - degrees(chi {" ".join(_PHI)})) / {DEGREES.step}{_D} AS y, ({K.CENTRE}{_D} + degrees(atan2(sinh(e), cos(x))) - {DEGREES.x0}{_D}) / {DEGREES.step}{_D} AS x FROM n)"""
+REPROJECT = f"WITH {_PLACES} SELECT p.obs, p.r, p.c, round(coalesce(g.v, 0), 8) AS v FROM p LEFT JOIN g ON g.obs = p.obs AND g.r = floor(y)::INT AND g.c = floor(x)::INT"
+REPROJECT_BILINEAR = f"""WITH {_PLACES}, q AS (SELECT obs, r, c, floor(y - 0.5)::INT + i AS sr, floor(x - 0.5)::INT + j AS sc, (CASE WHEN i = 0 THEN 1 - (y - 0.5 - floor(y - 0.5)) ELSE y - 0.5 - floor(y - 0.5) END) * (CASE WHEN j = 0 THEN 1 - (x - 0.5 - floor(x - 0.5)) ELSE x - 0.5 - floor(x - 0.5) END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))
+ SELECT q.obs, q.r, q.c, round(CASE WHEN sum(w) FILTER (v IS NOT NULL) > 0 THEN sum(w * v) / sum(w) FILTER (v IS NOT NULL) ELSE 0 END + 1e-9, 4) AS v FROM q LEFT JOIN g ON g.obs = q.obs AND g.r = sr AND g.c = sc GROUP BY 1, 2, 3"""
+AREA_MEAN = f"""WITH g AS ({RASTER}), t AS (SELECT range::INT AS cell, range * 1.5{_D} AS a, (range + 1) * 1.5{_D} AS b FROM range(32)),
+ o AS (SELECT s.range::INT AS i, cell, least(b, s.range + 1) - greatest(a, s.range) AS w FROM range(48) s JOIN t ON s.range < b AND s.range + 1 > a)
+ SELECT obs, y.cell AS r, x.cell AS c, round(sum(y.w * x.w * v) / sum(y.w * x.w) + 1e-9, 4) AS v FROM g JOIN o y ON y.i = g.r JOIN o x ON x.i = g.c GROUP BY 1, 2, 3"""
+
+
 def window_subset(spark, sf_dir):
     return G.window(_raster(spark, sf_dir), 8, 4, 20, 30).select("obs", "r", "c", F.round("v", 8).alias("v"))
 
@@ -98,10 +132,10 @@ MISSING = f"""SELECT obs_id, px, round(p, 6) AS p, CASE WHEN p IS NULL THEN 255
  1 / (1 + exp(-(nullif(b08, 0) / 10000.0::DOUBLE * 4 - nullif(b04, 0) / 10000.0::DOUBLE * 3 - nullif(b02, 0) / 10000.0::DOUBLE))) AS p FROM ({PIXELS}))"""
 
 QUERIES = {
-    "warp_nearest": warp_nearest, "warp_bilinear": warp_bilinear, "window_subset": window_subset, "outlines": outlines, "box_measures": box_measures, "tile_names": tile_names,
+    "warp_nearest": warp_nearest, "warp_bilinear": warp_bilinear, "reproject_nearest": reproject_nearest, "reproject_bilinear": reproject_bilinear, "area_resample": area_resample, "window_subset": window_subset, "outlines": outlines, "box_measures": box_measures, "tile_names": tile_names,
     "vector_round_trip": vector_round_trip, "missing_features": missing_features,
 }
 ORACLE = {
-    "warp_nearest": NEAREST, "warp_bilinear": BILINEAR, "window_subset": WINDOW, "outlines": OUTLINES, "box_measures": BOX, "tile_names": NAMES,
+    "warp_nearest": NEAREST, "warp_bilinear": BILINEAR, "reproject_nearest": REPROJECT, "reproject_bilinear": REPROJECT_BILINEAR, "area_resample": AREA_MEAN, "window_subset": WINDOW, "outlines": OUTLINES, "box_measures": BOX, "tile_names": NAMES,
     "vector_round_trip": VECTOR, "missing_features": MISSING,
 }

@@ -95,3 +95,55 @@ def test_spatial_joins_against_all_pairs(spark):
     boxes = spark.createDataFrame([(i, x, y, x + 70, y + 130) for i, x, y in others], "box int, x0 int, y0 int, x1 int, y1 int")
     got = {(r.id, r.box) for r in S.in_boxes(p, boxes, 50).collect()}
     assert got == {(a, b) for a, x, y in points for b, u, v in others if u <= x <= u + 70 and v <= y <= v + 130}
+
+
+def test_degrees_and_metres_are_inverse(spark):
+    from geoloom.operators import grid as K
+
+    places = [(lon, lat) for lon in (78.0, 80.5, 81.0, 81.47, 84.0) for lat in (-40.0, 0.0, 20.65, 25.4, 70.0)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    east, north = K.utm44(F.col("lon"), F.col("lat"))
+    back = df.select("lon", "lat", *[c.alias(n) for n, c in zip(("lon2", "lat2"), K.lonlat44(east, north))]).collect()
+    assert all(abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-9 for r in back)
+
+
+def test_reprojection_takes_the_source_cell_of_each_centre(spark):
+    from geoloom.operators import geometry as G
+    from geoloom.operators import grid as K
+
+    source, target = G.Grid(81.47, 20.65, 0.001, 30, 30), G.Grid(548900.0, 2283500.0, 90.0, 12, 40)
+    cells = spark.createDataFrame([(1, r, c, float(100 * r + c)) for r in range(30) for c in range(30)], "obs int, r int, c int, v double")
+    got = {(r.r, r.c): r.v for r in G.reproject(cells, source, target).collect()}
+    ramp = {(r.r, r.c): r.v for r in G.reproject(cells, source, target, True).collect()}
+    at = spark.createDataFrame([(r, c) for r in range(12) for c in range(40)], "r int, c int")
+    lon, lat = K.lonlat44(548900.0 + (F.col("c") + 0.5) * 90, 2283500.0 - (F.col("r") + 0.5) * 90)
+    for p in at.select("r", "c", ((lon - 81.47) / 0.001).alias("x"), ((20.65 - lat) / 0.001).alias("y")).collect():
+        inside = 0 <= p.x < 30 and 0 <= p.y < 30
+        assert got[p.r, p.c] == (100 * int(p.y) + int(p.x) if inside else 0)
+        if 0.5 <= p.x <= 29.5 and 0.5 <= p.y <= 29.5:
+            assert abs(ramp[p.r, p.c] - (100 * (p.y - 0.5) + p.x - 0.5)) < 1e-6  # a plane stays a plane
+    assert len(got) == len(ramp) == 480 and 0 in got.values()
+
+
+def test_components_across_blocks(spark):
+    from geoloom.operators import raster as R
+
+    cells = {(r, 255) for r in range(-3, 700)} | {(699, c) for c in range(255, 900)} | {(0, 256), (5, 300), (5, 301), (-1, -1), (-1, 0)} | {(r, 600) for r in range(500, 530)}
+    df = spark.createDataFrame([(r, c) for r, c in cells] + [(5, 300)], "r int, c int")
+    got = {}
+    for x in R.components(df).collect():
+        got.setdefault(x.label, set()).add((x.r, x.c))
+    left, want = set(cells), []
+    while left:
+        todo, own = [left.pop()], set()
+        while todo:
+            r, c = todo.pop()
+            own.add((r, c))
+            for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if n in left:
+                    left.discard(n)
+                    todo.append(n)
+        want.append(own)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert all(label == min(r * (1 << 20) + c for r, c in own) for label, own in got.items())
+    assert R.components(df.limit(0)).count() == 0
