@@ -31,8 +31,11 @@ class Thresholds:
     residual_edge_suppress_px: float = 0.5
     min_peak_ratio: float = 3.0
     edge_band_px: int = 1
+    sliver_max_width_px: float = 1.5
+    sliver_edge_share: float = 0.6
     # radiometry
     max_norm_rmse: float = 0.04
+    gain_range: tuple[float, float] = (0.8, 1.25)
     invariant_cap: int = 1500
     invariant_least: int = 200
     probe_offset_dn: int = 950
@@ -42,6 +45,12 @@ class Thresholds:
     min_abs_peer_z: float = 2.0
     green_season_months: tuple[int, ...] = (8, 9, 10, 11)
     same_season_window_days: int = 45
+    jrc_seasonal_occurrence: tuple[int, int] = (5, 95)
+    water_departure_min_fraction: float = 0.10
+    # size
+    mmu_px: int = 10
+    mmu_water_px: int = 20
+    road_elongation: float = 5.0
     # detection
     p_detect: float = 0.6
     stable_window: int = 4

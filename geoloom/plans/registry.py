@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Each module has QUERIES (name -> callable) and ORACLE (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("pixel", "scene", "intake", "geometry", "polygons", "change", "vectors", "learning", "frames", "grid", "stream")
+MODULES: tuple[str, ...] = ("pixel", "scene", "intake", "geometry", "polygons", "change", "vectors", "learning", "gates", "frames", "grid", "stream")
 
 
 def _collect(attribute: str) -> dict:
