@@ -426,25 +426,37 @@ ECE = "SELECT sum(n)::BIGINT AS n, round(sum(n * abs(c - y)) / sum(n), 6) AS ece
 
 
 def concept_match(spark, sf_dir):
-    """Documents that hold a phrase of the registry: the longest one, then the first.
+    """Documents that hold a phrase of the registry, word for word: the longest one, then the first.
 
-    Phrases are the first three words of a benchmark item; documents and phrases meet on hashes of three-word windows.
+    Phrases are the benchmark items, whole. Documents and phrases meet on hashes of a phrase's first words (three, or all of
+    fewer); where they do, the words that follow are compared.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}]+"), lambda x: x != "")
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words(F.col("text")), 1, 3), " ").alias("phrase"))
-    items = items.withColumn("h", F.xxhash64("phrase"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 3")
-    three = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    three = F.zip_with(three, F.slice("w", F.lit(3), F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    items = read(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("p")).where("size(p) > 0")
+    items = items.select("item_id", "p", F.least(F.size("p"), F.lit(3)).alias("k"), F.xxhash64(F.array_join(F.slice("p", 1, 3), " ")).alias("h"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    after = lambda n: F.slice("w", F.lit(n + 1), F.size("w"))
+    join = lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))
+    windows = {1: F.col("w")}
+    windows[2] = F.zip_with(windows[1], after(1), join)
+    windows[3] = F.zip_with(windows[2], after(2), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+    sizes = [r.k for r in items.select("k").distinct().collect()]  # three at most
+
+    def hashed(k):
+        return F.transform(windows[k], lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("at"), F.when(x.isNotNull(), F.xxhash64(x)).alias("h")))
+
+    hashes = [hashed(k) for k in sizes] or [F.array().cast("array<struct<k:int,at:int,h:bigint>>")]
     # Windows travel as numbers; the planner broadcasts the phrases if their table is measured as small.
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(three, lambda x: F.when(x.isNotNull(), F.xxhash64(x))))).alias("h"))
-    hits = grams.join(items, "h")
-    return first_ranked(hits, ["doc_id"], [F.length("phrase").desc(), F.col("item_id")], 1).select("doc_id", "item_id", "phrase")
+    grams = docs.where("size(w) > 0").select("doc_id", F.explode(F.concat(*hashes)).alias("g")).select("doc_id", "g.*").where("h IS NOT NULL")
+    met = grams.join(items, ["k", "h"]).select("doc_id", "at", "item_id", "p")
+    held = met.join(docs, "doc_id").where(F.slice("w", F.col("at") + 1, F.size("p")) == F.col("p"))
+    found = held.select("doc_id", "item_id", F.array_join("p", " ").alias("phrase")).distinct()
+    return first_ranked(found, ["doc_id"], [F.length("phrase").desc(), F.col("item_id")], 1).select("doc_id", "item_id", "phrase")
 
 
-CONCEPT = """WITH i AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> '')[1:3], ' ') AS phrase FROM benchmark),
+CONCEPT = """WITH i AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> ''), ' ') AS phrase FROM benchmark),
  d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents)
- SELECT doc_id, item_id, phrase FROM d JOIN i ON contains(t, ' ' || phrase || ' ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(phrase) DESC, item_id) = 1"""
+ SELECT doc_id, item_id, phrase FROM d JOIN i ON phrase <> '' AND contains(t, ' ' || phrase || ' ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(phrase) DESC, item_id) = 1"""
 
 
 def _vectors(spark, sf_dir):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
-from geoloom.config import T
+from geoloom.config import BLOCK_M, MARGIN_M, STRIDE_M, T, TEST_SHARE, TILE_M
+from geoloom.functions import columns as C
+from geoloom.operators import raster as R
 from geoloom.operators.timeline import first_ranked
 from geoloom.plans.change import CELLS, POINTS, _cells, _points
-from geoloom.operators import raster as R
+from geoloom.plans.grid import _side
 from geoloom.sources.fixtures import PIXELS, SCENES, pixels, read, scenes
 
 
@@ -120,13 +121,18 @@ MEDIAN = """WITH e AS (SELECT user_id, value / 100 AS dy, (event_id % 17) / 10.0
 
 
 def split_paint(spark, sf_dir):
-    """Pixels with the split of their tile's core: a computed key and a lookup."""
-    p = _points(spark, sf_dir).select("id", F.floor((F.col("x") - 320) / 640).cast("int").alias("tc"), F.floor((F.col("y") - 320) / 640).cast("int").alias("tr"), "v")
-    split = _points(spark, sf_dir).select(F.floor((F.col("x") - 320) / 640).cast("int").alias("tc"), F.floor((F.col("y") - 320) / 640).cast("int").alias("tr")).distinct().withColumn("split", F.when((F.col("tc") + F.col("tr")) % 3 == 0, "test").otherwise("dev"))
+    """Pixels with the split of their core tile, of whose corners' blocks a hash decides: buffer where they differ."""
+    place = [F.floor((F.col(x) - MARGIN_M) / STRIDE_M).cast("int").alias(t) for x, t in (("x", "tc"), ("y", "tr"))]
+    p = _points(spark, sf_dir).select(*place, "v")
+    block = lambda t, d: F.floor((F.col(t) * STRIDE_M + d) / BLOCK_M).cast("int")
+    side = lambda dx, dy: F.when(C.unit_hash(F.lit("geoloom"), block("tc", dx), block("tr", dy)) < TEST_SHARE, "test").otherwise("dev")
+    sides = F.array_distinct(F.array(*[side(dx, dy) for dx in (0, TILE_M - 1) for dy in (0, TILE_M - 1)]))
+    split = p.select("tc", "tr").distinct().withColumn("split", F.when(F.size(sides) > 1, "buffer").otherwise(F.get(sides, F.lit(0))))
     return p.join(split, ["tc", "tr"]).groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v"))
 
 
-PAINT = f"SELECT CASE WHEN (CAST(floor((x - 320) / 640.0) AS INT) + CAST(floor((y - 320) / 640.0) AS INT)) % 3 = 0 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, round(sum(v), 2) AS v FROM ({POINTS}) GROUP BY 1"
+PAINT = f"""SELECT CASE WHEN len(sides) > 1 THEN 'buffer' ELSE sides[1] END AS split, count(*) AS n, round(sum(v), 2) AS v FROM (SELECT v, list_distinct([{", ".join(_side(a, b) for a in (0, 1279) for b in (0, 1279))}]) AS sides
+ FROM (SELECT CAST(floor((x - 320) / 640.0) AS INT) AS tc, CAST(floor((y - 320) / 640.0) AS INT) AS tr, v FROM ({POINTS}))) GROUP BY 1"""
 
 
 def scene_area_lookup(spark, sf_dir):
@@ -203,12 +209,19 @@ def outcome_counts(spark, sf_dir):
 
 
 def newest_model(spark, sf_dir):
-    """The latest active model of each kind whose checksum is the stored one."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    return d.where("lang <> 'de'").groupBy("source").agg(F.max_by(F.struct("doc_id", "sha"), "doc_id").alias("m")).select("source", "m.doc_id", F.concat(F.lit("clf-v1@"), F.substring("m.sha", 1, 12)).alias("model_id"))
+    """The latest active model of each kind, if its file still has the checksum that was recorded; else the problem.
+
+    A source's documents are its models, those in German inactive; the recorded checksum of every seventh is of another text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("found"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.lit("x"))).otherwise(text).cast("binary"), 256).alias("recorded"))
+    last = d.where("lang <> 'de'").groupBy("source").agg(F.max_by(F.struct("doc_id", "found", "recorded"), "doc_id").alias("m")).select("source", "m.*")
+    ok = F.col("found") == F.col("recorded")
+    return last.select("source", "doc_id", F.when(ok, F.concat(F.lit("clf-v1@"), F.substring("recorded", 1, 12))).alias("model_id"), F.when(~ok, "checksum mismatch").alias("problem"))
 
 
-NEWEST = "SELECT source, doc_id, 'clf-v1@' || substr(sha256(coalesce(text, '')), 1, 12) AS model_id FROM documents WHERE lang <> 'de' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1"
+NEWEST = """SELECT source, doc_id, CASE WHEN found = recorded THEN 'clf-v1@' || substr(recorded, 1, 12) END AS model_id, CASE WHEN found <> recorded THEN 'checksum mismatch' END AS problem
+ FROM (SELECT source, doc_id, sha256(coalesce(text, '')) AS found, sha256(CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || 'x' ELSE coalesce(text, '') END) AS recorded FROM documents WHERE lang <> 'de' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1)"""
 
 
 def confidence_logit(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import polygons as G
 from geoloom.plans.change import POINTS, _from, _points
+from geoloom.sources.fixtures import read
 
 #: Fifty places make a ring around a centre; they stand in the order of their angles, so that a ring never crosses itself.
 _PLACES = """SELECT CAST(floor(c_custkey / 50) AS BIGINT) AS ring, c_custkey AS id, CAST(floor(c_custkey / 50) AS BIGINT) * 6151 % 100000 + c_custkey * 7919 % 16001 - 8000 AS x,
@@ -81,5 +82,22 @@ SIMPLIFY = f"""WITH RECURSIVE v AS (SELECT ring, k, x / 100.0::DOUBLE AS x, y /
    FROM (SELECT *, (lo + list_position(d, list_max(d)))::INT AS cut FROM (SELECT *, {_OFF} AS d FROM s) WHERE list_max(d) > {SIMPLE * SIMPLE}), (VALUES (0), (1)) t(side))
  SELECT DISTINCT ring, k FROM (SELECT ring, 1 AS k FROM r UNION ALL SELECT s.ring, s.hi FROM s JOIN r ON r.ring = s.ring AND s.hi <= r.n)"""
 
-QUERIES = {"point_in_polygon": point_in_polygon, "polygon_intersects": polygon_intersects, "polygon_union": polygon_union, "simplify_rings": simplify_rings}
-ORACLE = {"point_in_polygon": INSIDE, "polygon_intersects": MEETS, "polygon_union": UNION, "simplify_rings": SIMPLIFY}
+def events_export(spark, sf_dir):
+    """One GeoJSON feature a ring: its closed outline, the places it was made of as provenance, and the latest decision on it."""
+    rings = _from(spark, sf_dir, RINGS, "customer").groupBy("ring").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))  # a ring's own vertices
+    line = F.transform("v", lambda p: F.array(p["x"], p["y"]))
+    made = _from(spark, sf_dir, _PLACES, "customer").groupBy("ring").agg(F.sort_array(F.collect_list("id")).alias("provenance"))
+    said = read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("ring")).agg(F.max_by(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("decision")), F.struct("o_orderdate", "o_orderkey")).alias("decision"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(line, F.slice(line, 1, 1))).alias("coordinates"))
+    properties = F.struct(F.size("v").alias("vertices"), "provenance", "decision")
+    rows = rings.join(made, "ring").join(said, "ring", "left")
+    return rows.select("ring", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("ring").alias("id"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
+
+
+EXPORT = f"""WITH r AS (SELECT ring, list([x, y] ORDER BY k) AS v FROM ({RINGS}) GROUP BY ring), m AS (SELECT ring, list(id ORDER BY id) AS provenance FROM ({_PLACES}) GROUP BY ring),
+ s AS (SELECT o_custkey % 40 AS ring, {{'id': o_orderkey, 'decision': o_orderstatus}} AS decision FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+ SELECT r.ring, to_json({{'type': 'Feature', 'id': r.ring, 'geometry': {{'type': 'Polygon', 'coordinates': [list_append(v, v[1])]}}, 'properties': {{'vertices': len(v), 'provenance': provenance, 'decision': decision}}}})::VARCHAR AS feature
+ FROM r JOIN m ON m.ring = r.ring LEFT JOIN s ON s.ring = r.ring"""
+
+QUERIES = {"events_export": events_export, "point_in_polygon": point_in_polygon, "polygon_intersects": polygon_intersects, "polygon_union": polygon_union, "simplify_rings": simplify_rings}
+ORACLE = {"events_export": EXPORT, "point_in_polygon": INSIDE, "polygon_intersects": MEETS, "polygon_union": UNION, "simplify_rings": SIMPLIFY}
