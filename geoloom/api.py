@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from geoloom.functions.columns import confidence_level, cosine, unit_hash
 from geoloom.operators import intake, planning
 from geoloom.operators.spatial import within
 from geoloom.operators.timeline import first_ranked, ranked_in_buckets
+from geoloom.operators.vectors import VectorIndex, build_index
 from geoloom.sources import sinks
 
 ACTIVE = ("pending", "running", "retry")
@@ -30,6 +31,12 @@ LEVELS = ["LOW", "MEDIUM", "HIGH"]
 JOB_MOVES = {"complete": ({"running"}, "done"), "retry": ({"failed", "cancelled"}, "pending"), "cancel": ({"pending", "retry"}, "cancelled")}
 
 
+def _review_order() -> list[Column]:
+    """Events by zone, state, confidence and magnitude."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATE_RANK]), F.col("machine_state"))
+    return [F.col("in_zone").desc(), rank, F.col("confidence").desc(), F.col("magnitude").desc(), F.col("id")]
+
+
 class Archive:
     def __init__(self, tables: Mapping[str, DataFrame]) -> None:
         self.tables = dict(tables)
@@ -125,11 +132,35 @@ class Archive:
         every = self.events({**(filters or {}), "include_suppressed": True})
         return every.where("machine_state <> 'SUPPRESSED'"), every.where("machine_state = 'SUPPRESSED'")
 
+    def vector_index(self, model_id: str, lists: int = 256) -> VectorIndex:
+        """The index of one model's vectors: those of different models are never mixed in a search."""
+        rows = self["embeddings"].where(F.col("model_id") == model_id)
+        return build_index(rows, lists, id_col="id")
+
+    def nearest(self, index: VectorIndex, model_id: str, queries: DataFrame, k: int = T.fetch_k, probes: int = 16) -> DataFrame:
+        """query_id, vec_id, score, rank: the k nearest indexed vectors of query vectors (id, embedding) of the same model."""
+        return index.search(queries.where(F.col("model_id") == model_id), k, probes, "id")
+
+    def ranked_search(self, filters: Mapping | None = None, positives: DataFrame | None = None, negatives: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """`search`, its matches in order: by the likeness of their tiles to examples (`score`), or without any in the order of review.
+
+        A tile's score is that of its best vector; events without one come last. What is suppressed stays apart, unranked.
+        """
+        found, suppressed = self.search(filters)
+        if positives is None:
+            return found.orderBy(*_review_order()), suppressed
+        scores = self._likeness(positives, negatives, 0.0).join(self["embeddings"].select("vec_id", "tile_id"), "vec_id")
+        best = scores.groupBy(F.col("tile_id").alias("of")).agg(F.max("score").alias("score"))
+        return found.join(best, F.col("tile_id") == F.col("of"), "left").drop("of").orderBy(F.col("score").desc_nulls_last(), "id"), suppressed
+
     def similar(self, positives: DataFrame, negatives: DataFrame | None = None, k: int = T.fetch_k, exclude_m: float = 0.0) -> DataFrame:
         """vec_id, score: rows by their likeness to the positives' mean, less `negative_lambda` times that to the negatives'.
 
         The examples themselves, and rows (with x, y) within `exclude_m` of a positive, are left out; the k best stay.
         """
+        return self._likeness(positives, negatives, exclude_m).orderBy(F.col("score").desc(), "vec_id").limit(k)
+
+    def _likeness(self, positives: DataFrame, negatives: DataFrame | None, exclude_m: float) -> DataFrame:
         rows = self["embeddings"]
         mean = lambda df: df.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
         like = rows.crossJoin(F.broadcast(mean(positives).withColumnRenamed("m", "pos")))  # one row
@@ -143,7 +174,7 @@ class Archive:
             points = rows.select(F.col("vec_id").alias("id"), "x", "y")
             near = within(points, positives.select(F.col("x").alias("ox"), F.col("y").alias("oy")), int(exclude_m)).select(F.col("id").alias("vec_id")).distinct()
             like = like.join(near, "vec_id", "left_anti")
-        return like.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(k)
+        return like.select("vec_id", F.round(score, 6).alias("score"))
 
     def thresholds(self) -> dict:
         """The threshold set in force, by key."""
@@ -163,9 +194,7 @@ class Archive:
         decided = self["analyst_decisions"].select(F.col("event_id").alias("id")).distinct()
         u = unit_hash(F.lit("review"), F.col("id"))
         piece = F.when(u < T.audit_slice_fraction, "audit").when(u < T.audit_slice_fraction + T.uncertainty_slice_fraction, "uncertainty").otherwise("rank")
-        rank = F.array_position(F.array(*[F.lit(s) for s in STATE_RANK]), F.col("machine_state"))
-        rows = self["change_events"].join(decided, "id", "left_anti").withColumn("slice", piece)
-        return rows.orderBy(F.col("in_zone").desc(), rank, F.col("confidence").desc(), F.col("magnitude").desc(), "id")
+        return self["change_events"].join(decided, "id", "left_anti").withColumn("slice", piece).orderBy(*_review_order())
 
     def held_back(self, keep: int) -> DataFrame:
         return first_ranked(self["scenes"], ["aoi_id"], [F.col("acquired_at").desc(), F.col("id").desc()], keep)

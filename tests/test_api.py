@@ -134,3 +134,33 @@ def test_filters_similar_and_water(archive, spark):
     assert [r.vec_id for r in b.similar(v.where("vec_id = 1")).collect()] == [2, 4, 3]
     assert [r.vec_id for r in b.similar(v.where("vec_id = 1"), v.where("vec_id = 3"), exclude_m=1500).collect()] == [2]
     assert b.water_reference("a").first().geometry == "g2" and b.water_reference("z").count() == 0 and b.thresholds()["near_default_m"] == 500
+
+
+def test_ranked_search_and_the_index_of_a_model(archive, spark):
+    found, suppressed = archive.ranked_search()
+    assert [r.id for r in found.collect()] == [1, 3] and [r.id for r in suppressed.collect()] == [2]
+    e = archive["change_events"].withColumn("tile_id", F.concat(F.lit("t"), "id"))
+    v = spark.createDataFrame([(1, 1, "t1", [0.1, 1.0], "m"), (2, 2, "t3", [1.0, 0.1], "m"), (3, 3, "t3", [0.0, 1.0], "m"), (4, 4, "t9", [1.0, 0.0], "m"), (5, 5, "t9", [1.0, 0.0], "other")], "id int, vec_id int, tile_id string, embedding array<double>, model_id string")
+    a = Archive({**archive.tables, "change_events": e, "embeddings": v})
+    found, _ = a.ranked_search(None, v.where("id = 4"))
+    assert [(r.id, r.score) for r in found.collect()] == [(3, 0.995037), (1, 0.099504)]
+    index = a.vector_index("m", 2)
+    near = a.nearest(index, "m", v.where("id = 4"), 2, 2).orderBy("rank").collect()
+    assert [r.vec_id for r in near] == [2, 1]  # the same vector of another model is not met
+
+
+def test_worker_needs_handlers(spark, tmp_path):
+    from geoloom import cli
+
+    root = str(tmp_path)
+    cli.main(["--root", root, "db-init"], spark)
+    jobs = spark.createDataFrame([(1, "cluster", "pending", 120, None, 0, None, None, None, None, None), (2, "strange", "pending", 10, None, 0, None, None, None, None, None)], cli.RELATIONS["jobs"])
+    cli.replace(jobs, root, "jobs")
+    assert cli.main(["--root", root, "worker"], spark) == 1
+    status = lambda: {r.id: r.status for r in cli.archive(spark, root)["jobs"].collect()}
+    assert status() == {1: "pending", 2: "pending"}
+    assert cli.main(["--root", root, "worker", "--handlers", "test_api:HANDLERS", "--max-jobs", "5"], spark) == 0
+    assert status() == {1: "done", 2: "pending"}
+
+
+HANDLERS = {"cluster": lambda job: None}
