@@ -9,7 +9,9 @@ once: step t handles word t of every text that has one.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing to learn from every text is
 `und` with score 0; equal counts go to the language first in the alphabet; rows with a null id or language teach
-nothing; repeated rows give repeated results; an empty table gives an empty table. Only the named columns are read.
+nothing; repeated rows give repeated results; an empty table gives an empty table. A text of any length is labelled whole: a worker
+holds its words and their scores, some tens of bytes a word. Only the named columns are read; `judged` carries all others,
+whatever their names.
 """
 
 from __future__ import annotations

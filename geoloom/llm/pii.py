@@ -24,7 +24,9 @@ and contexts cost no more than short ones; they are aggregated before they are j
 first, so that a hot pattern's or value's rows are dealt by the join's own exchange; nothing is collected.
 
 Defined cases: a null text is an empty one; offsets count code points; rows that repeat an id and a text get the same
-result; null ids are told apart by their text; an empty table gives an empty table. Only the named columns are read.
+result; null ids are told apart by their text; an empty table gives an empty table. A text of any length is searched whole;
+the scan is linear, but tokens are compared with the text's own base spans, so the time of one text grows with the product
+of their numbers. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Copies share a fingerprint and take part once. Fingerprints and edges stay in Da
 
 Defined cases: a text without words (null, empty, only white space) has fingerprint zero and is linked like any other;
 a text of fewer words than a shingle has one shingle; a null id is never a component's id unless all its ids are null;
-repeated rows give repeated results; an empty table gives an empty table; only the named columns are read.
+repeated rows give repeated results; a text of any length is hashed whole, and a worker holds one such text at a time;
+an empty table gives an empty table. Only the named columns are read, and `keep_one` carries all others, whatever their names.
 """
 
 from __future__ import annotations

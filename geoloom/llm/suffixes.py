@@ -22,7 +22,8 @@ neighbours) are not sorted but counted by a hash of 128 bits, with partial sums,
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; repeated rows are occurrences like
 any other, so both lose what they share; rows with a null id are told apart by their text; an empty table gives an
-empty table. Only the named columns are read.
+empty table. A text of any length is cut into segments as it is read, so only its own bytes are held whole. Only the named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations

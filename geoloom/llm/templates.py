@@ -23,7 +23,8 @@ of `GROUP` signs (or one document), whose tokens are numbers in arrays.
 
 Defined cases: null and empty texts have no windows; an item without a token is never reported; a document of any
 length is scanned whole; rows that repeat an id and a text are one document; rows with a null id, and items of one id,
-are told apart by their text; an empty benchmark or an empty table gives an empty result. Only the named columns are read.
+are told apart by their text; an empty benchmark or an empty table gives an empty result. Only the named columns are read, and
+`decontaminate` carries all others, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ seen.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and is judged by the trees; with no
 labelled URL every verdict of the trees is `allow`; with labels of one kind only it is that kind; repeated rows give
-repeated results; an empty table gives an empty table; only the named columns are read.
+repeated results; an empty table gives an empty table; a URL of any length is judged whole; only
+the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
