@@ -8,8 +8,10 @@ from geoloom.functions import columns as C
 from geoloom.operators import boosting as B
 from geoloom.operators import calibration as K
 from geoloom.operators import normalise as N
+from geoloom.operators.geometry import outlines
+from geoloom.operators.raster import components
 from geoloom.plans.change import _from
-from geoloom.plans.pixel import BANDS, MNDWI, NDBI, NDVI
+from geoloom.plans.pixel import BANDS, LABEL, MNDWI, NDBI, NDVI
 from geoloom.sources.fixtures import pixels, read
 
 CLASSES, ROUNDS, DEPTH, BINS = 5, 6, 3, 32
@@ -98,5 +100,47 @@ INVARIANT = f"""WITH ground AS ({GROUND}), seen AS ({SEEN}), g AS (SELECT aoi, r
  f AS (SELECT u.aoi, u.obs, u.band, max(n_pif) AS n_pif, any_value(gain) AS gain, median(x) - any_value(gain) * median(y) AS "offset" FROM u JOIN p ON p.aoi = u.aoi AND p.obs = u.obs AND p.band = u.band GROUP BY 1, 2, 3)
  SELECT f.aoi, f.obs, f.band, f.n_pif, round(gain, 6) AS gain, round("offset", 6) AS "offset", round(sqrt(avg((gain * y + "offset" - x) ** 2)), 6) AS rmse FROM f JOIN u ON u.aoi = f.aoi AND u.obs = f.obs AND u.band = f.band GROUP BY f.aoi, f.obs, f.band, f.n_pif, gain, "offset" """
 
-QUERIES = {"land_cover_boosted": land_cover_boosted, "calibrated_confidence": calibrated_confidence, "invariant_fit": invariant_fit}
-ORACLE = {"calibrated_confidence": CALIBRATED, "invariant_fit": INVARIANT}
+#: Land cover and usable places, each its own raster of one cell a place.
+COVER = """SELECT CAST(o_orderkey % 48 AS INT) AS r, CAST(o_custkey % 48 AS INT) AS c, min([10, 20, 30, 50, 60, 80, 90][CAST(o_orderkey % 7 AS INT) + 1]) AS cover FROM orders GROUP BY 1, 2"""
+USABLE = "SELECT CAST(event_id % 48 AS INT) AS r, CAST(user_id % 48 AS INT) AS c, count(*) AS seen FROM events WHERE event_type <> 'error' GROUP BY 1, 2"
+CORE = 12  # cells of a tile's core here
+
+
+def training_pixels(spark, sf_dir):
+    """Pixels of each area, split and refined label, with their mean NDVI: reflectance, land cover, mask and split meet by their place.
+
+    The split is that of the place's block, by a hash; places that the mask or the cover lacks teach nothing.
+    """
+    ground = _from(spark, sf_dir, GROUND, "lineitem")
+    cover = spark.sql(COVER.replace("FROM orders", "FROM {t}").replace("[10, 20, 30, 50, 60, 80, 90][CAST(o_orderkey % 7 AS INT) + 1]", "array(10, 20, 30, 50, 60, 80, 90)[CAST(o_orderkey % 7 AS INT)]"), t=read(spark, sf_dir, "orders"))
+    usable = _from(spark, sf_dir, USABLE, "events")
+    block = [F.floor(F.col(x) / CORE).cast("int") for x in ("r", "c")]
+    split = ground.select("r", "c").distinct().withColumn("split", F.when(C.unit_hash(F.lit("geoloom"), *block) < 0.3, "test").otherwise("dev"))
+    rows = ground.join(cover, ["r", "c"]).join(usable, ["r", "c"], "left_semi").join(split, ["r", "c"])
+    label = C.refine_label(F.col("cover"), C.ndvi(), C.mndwi())
+    out = rows.select("aoi", "split", label.alias("label"), C.ndvi().alias("v")).where("label >= 0")
+    return out.groupBy("aoi", "split", "label").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("ndvi"))
+
+
+TRAINING = f"""SELECT aoi, split, label, count(*) AS n, round(avg(v), 6) AS ndvi FROM (SELECT aoi, {LABEL} AS label, {NDVI} AS v,
+  CASE WHEN ('0x' || substr(sha256('geoloom-' || r // {CORE} || '-' || c // {CORE}), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.3 THEN 'test' ELSE 'dev' END AS split
+  FROM ({GROUND}) JOIN ({COVER}) USING (r, c) SEMI JOIN ({USABLE}) USING (r, c)) WHERE label >= 0 GROUP BY 1, 2, 3"""
+
+#: Square metres of a cell of the water raster, and the least area of a reference body of water.
+CELL_M2, LEAST_WATER_M2 = 10_000, 40_000
+GREEN_SWIR = "SELECT CAST(l_orderkey % 48 AS INT) AS r, CAST(l_partkey % 48 AS INT) AS c, CAST(min(floor(l_extendedprice / 40)) AS INT) AS b03, CAST(min(l_partkey % 4001) AS INT) AS b11 FROM lineitem GROUP BY 1, 2"
+
+
+def water_polygons(spark, sf_dir):
+    """The bodies of water (MNDWI above 0.1) of the least area or more: cells, area and perimeter of their outlines."""
+    wet = _from(spark, sf_dir, GREEN_SWIR, "lineitem").where(C.mndwi() > 0.1).select("r", "c")
+    out = outlines(components(wet), CELL_M2**0.5).where(F.col("area") >= LEAST_WATER_M2)
+    return out.select("label", F.round("area", 2).alias("area"), F.round("perimeter", 2).alias("perimeter"), (F.col("area") / CELL_M2).cast("long").alias("cells"))
+
+
+WATER_BODIES = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT r * 1048576::BIGINT + c AS a, r, c FROM ({GREEN_SWIR}) WHERE {MNDWI} > 0.1), e AS MATERIALIZED (SELECT p.a, q.a AS b FROM k p JOIN k q ON abs(p.r - q.r) + abs(p.c - q.c) = 1),
+ reach(a, b) AS (SELECT a, a FROM k UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), l AS (SELECT a, min(b) AS label FROM reach GROUP BY a)
+ SELECT label, round(count(*)::DOUBLE * {CELL_M2}, 2) AS area, round(sum(4 - (SELECT count(*) FROM e WHERE e.a = l.a))::DOUBLE * sqrt({CELL_M2}::DOUBLE), 2) AS perimeter, count(*) AS cells FROM l GROUP BY label HAVING count(*) * {CELL_M2} >= {LEAST_WATER_M2}"""
+
+QUERIES = {"training_pixels": training_pixels, "water_polygons": water_polygons, "land_cover_boosted": land_cover_boosted, "calibrated_confidence": calibrated_confidence, "invariant_fit": invariant_fit}
+ORACLE = {"training_pixels": TRAINING, "water_polygons": WATER_BODIES, "calibrated_confidence": CALIBRATED, "invariant_fit": INVARIANT}
