@@ -68,6 +68,12 @@ def test_boosting_grows_the_trees_of_a_plain_fit(spark):
     assert sum(r.predicted == r.label for r in judged if r.id < 9000) > 400
 
 
+def test_sums_by_place_are_exact():
+    at, big = np.array([0, 2, 2, 0]), np.array([1 << 52, (1 << 52) + 1, 1 << 52, -3])
+    assert B.added(at, big, 3).tolist() == [(1 << 52) - 3, 0, (1 << 53) + 1]
+    assert B.added(at, np.array([1, 2, 3, -4]), 4).tolist() == [-3, 0, 5, 0]
+
+
 def test_boosting_without_rows(spark):
     empty = spark.createDataFrame([], "features array<double>, label int, weight double")
     assert B.fit(empty, 3, rounds=2).trees == []
