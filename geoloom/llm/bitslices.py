@@ -22,7 +22,7 @@ from geoloom.llm.vectors import ids_of, rows_of, scaled, usable
 
 BLOCK = 16384  # rows of an index block
 QUERIES_AT_ONCE = 64  # queries of a block
-GROUP = 256  # index blocks that meet one copy of the queries
+SHARE = 512  # query blocks that meet an index block in one group
 VALUE_BITS, WEIGHT_BITS = 6, 7
 SCALE, TOP, EVERY = 256, 5, 50
 
@@ -210,30 +210,25 @@ def _queries(block: int):
 
 
 def _search(k: int):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    out = pa.schema(list(zip(["query_id", "q_block", "place", "vec_id", "score"], kinds, strict=True)))
     names = [x.split()[0] for x in _INDEX.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = None, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = {c: batch.column(c)[r].as_py() for c in ("block", "q_block", "q_n", "q_ids", "q_rows")}
-                if one["block"] != number:
-                    number, block = one["block"], Block(*(batch.column(c)[r].as_py() for c in names))
-                queries = np.frombuffer(one["q_ids"], np.int64)
-                weights = np.frombuffer(one["q_rows"], np.int32).reshape(one["q_n"], block.dim).astype(np.int64)
-                found = [block.best(int(q), w, k) for q, w in zip(queries, weights, strict=True)]
-                sizes = [len(at) for at, _, _ in found]
-                at = np.concatenate([x for x, _, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(queries, sizes)),
-                        pa.array(np.full(len(at), one["q_block"], np.int64)),
-                        pa.array(np.repeat(np.arange(len(queries)), sizes).astype(np.int32)),
-                        pa.array(block.ids[at], mask=~block.there[at]),
-                        pa.array(np.concatenate([x for _, x, _ in found])),
-                    ],
-                    ["query_id", "q_block", "place", "vec_id", "score"],
-                )
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        for r in range(blocks.num_rows if asked.num_rows else 0):  # one block; it is read once for all its queries
+            block = Block(*(blocks.column(c)[r].as_py() for c in names))
+            for at in range(asked.num_rows):
+                n, number, ids, rows = (asked.column(c)[at].as_py() for c in ("q_n", "q_block", "q_ids", "q_rows"))
+                queries = np.frombuffer(ids, np.int64)
+                weights = np.frombuffer(rows, np.int32).reshape(n, block.dim).astype(np.int64)
+                best = [block.best(int(q), w, k) for q, w in zip(queries, weights, strict=True)]
+                sizes = [len(x) for x, _, _ in best]
+                rows = np.concatenate([x for x, _, _ in best])
+                columns = [np.repeat(queries, sizes), np.full(len(rows), number, np.int64), np.repeat(np.arange(n), sizes).astype(np.int32)]
+                columns = [*map(pa.array, columns), pa.array(block.ids[rows], mask=~block.there[rows]), pa.array(np.concatenate([x for _, x, _ in best]))]
+                found.append(pa.RecordBatch.from_arrays(columns, schema=out))
+        return pa.Table.from_batches(found, out)
 
     return run
 
@@ -254,21 +249,19 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec
     them. Components are held within LIMIT; a score beyond a long is the nearest long. Only the named columns are read, so
     others may have any name.
 
-    Queries go in blocks to groups of index blocks: each group meets each query block once, so that what is shuffled is
-    the queries times the number of groups; the planner broadcasts them only where their written size allows.
+    Each index block meets a share of at most SHARE query blocks in one group of a task, which holds that block once and
+    these queries. Only the numbers of the index blocks are broadcast, one for each BLOCK rows.
     """
     spark = index.sparkSession
     asked = queries.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), scaled(vector, scale).alias("v")).where("id IS NOT NULL").distinct()
     asked = materialize(asked.mapInArrow(_queries(QUERIES_AT_ONCE), _QUERY).withColumn("q_block", F.monotonically_increasing_id()), "queries")
-    blocks, tasks = index.count(), 4 * spark.sparkContext.defaultParallelism
-    groups = max(1, min(blocks, max(tasks, -(-blocks // GROUP))))
-    shares = max(1, -(-tasks // groups))  # where there are few index blocks, several tasks share the queries of each
-    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("share", number(shares))
-    right = asked.select("dim", "q_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.pmod(F.xxhash64("q_block"), F.lit(shares)).alias("share"), number(groups).alias("group"))
-    met = left.repartition(groups * shares, "group", "share").join(right, ["group", "share", "dim"])
-    found = met.select("q_block", "block", *[c.split()[0] for c in _INDEX.split(", ")], "q_n", "q_ids", "q_rows")
-    scored = found.mapInArrow(_search(k), "query_id long, q_block long, place int, vec_id long, score long")
+    blocks, tasks = max(1, index.count()), 4 * spark.sparkContext.defaultParallelism
+    shares = max(1, -(-asked.count() // SHARE), -(-tasks // blocks))  # where there are few index blocks, several tasks share the queries of each
+    left = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    right = asked.select("dim", "q_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.pmod(F.xxhash64("q_block"), F.lit(shares)).cast("int").alias("share"))
+    right = right.join(F.broadcast(index.select("dim", F.col("block").alias("of"))), "dim")
+    dealt = lambda df, block: df.repartition(2 * blocks * shares, block, "share").groupBy(block, "share")
+    scored = dealt(left, "block").cogroup(dealt(right, "of")).applyInArrow(_search(k), "query_id long, q_block long, place int, vec_id long, score long")
     return _ranked(scored, k)
 
 

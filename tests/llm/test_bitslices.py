@@ -97,3 +97,17 @@ def test_boundary_is_small(spark):
 
 def test_query_against_sql(spark):
     oracle.compare(spark, B.op13_bitslices, B.OP13, "/root/testdata/sf0.01")
+
+
+def test_a_block_is_not_repeated_for_each_block_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 100)
+    monkeypatch.setattr(B, "QUERIES_AT_ONCE", 1)
+    monkeypatch.setattr(B, "SHARE", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate((rng.normal(size=(700, 8)) / 4).astype(np.float32))]
+    df = frame(spark, rows)
+    got = B.top_k(B.build_index(df, "vec_id", "embedding"), df.where("vec_id % 50 = 0"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]  # of the query blocks with the blocks' numbers
+    assert "FlatMapCoGroupsInArrow" in plan and len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]
+    assert sorted([(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()], key=str) == brute(rows)
