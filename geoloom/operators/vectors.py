@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine: exhaustive, and over an inverted-file index.
 
-Vectors travel in blocks. The rows of a list, and the queries that ask for it, meet block by block in an equi-join, so that
-no list and no query set is gathered in one place; a task compares two blocks at a time and keeps the k best of each query.
+Vectors travel in blocks. Groups of the row blocks of a list meet shares of the query blocks that ask for it, so that no list
+and no query set is gathered in one place; a task holds one group and one share, and passes on the k best of each query.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from geoloom.sources.written import written
 
 BLOCK = 2048  # rows compared with a block of queries at a time
 ASKED = 256  # queries of a block
-GROUP = 512  # row blocks that meet one copy of the queries, in an exhaustive search
+GROUP = 16  # row blocks of a group
+SHARE = 64  # query blocks that meet a group at a time
+PIECE = 64  # queries scored at a time
 SAMPLE = 64  # rows for each list that the index is fitted on, at most
 LISTS = 4096  # lists of an index, at most
 
@@ -86,28 +88,51 @@ def _pack(most: int, listed: bool):
 
 
 def _score(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, asked = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                rows = _unit(np.frombuffer(r["vectors"], np.float32).reshape(len(ids), -1).astype(float))
-                queries = _unit(np.frombuffer(r["q_vectors"], np.float32).reshape(len(asked), -1).astype(float))
-                scores = np.round(queries @ rows.T, 6) + 0.0
-                scores[asked[:, None] == ids[None, :]] = -2.0  # a query is not its own neighbour
-                out = []
-                for q, s in zip(asked.tolist(), scores, strict=True):
-                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-                    near = near[s[near] > -2.0]
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def held(table: pa.Table, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+        column = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        own = column(ids, np.int64)
+        return own, _unit(column(vectors, np.float32).reshape(len(own), -1).astype(float))
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if blocks.num_rows and asked.num_rows:
+            ids, rows = held(blocks, "ids", "vectors")
+            query_ids, queries = held(asked, "q_ids", "q_vectors")
+            for at in range(0, len(query_ids), PIECE):
+                some = query_ids[at : at + PIECE]
+                scores = np.round(queries[at : at + PIECE] @ rows.T, 6) + 0.0
+                scores[some[:, None] == ids[None, :]] = -2.0  # a query is not its own neighbour
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(some), -2.0)
+                for q, s, bound in zip(some.tolist(), scores, least, strict=True):
+                    near = np.flatnonzero((s >= bound) & (s > -2.0))
                     best = near[np.lexsort((ids[near], -s[near]))[:k]]
-                    out.append((np.full(len(best), q), ids[best], s[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    found.append((np.full(len(best), q), ids[best], s[best]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
     return run
 
 
-def _best(index: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
-    both = index.join(asked.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).drop("n"), on)
-    scored = both.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(_score(k), "query_id long, vec_id long, score double")
+def _best(blocks: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
+    """The k best rows of each query among the blocks with which its block agrees in the columns `on`; both sides are written.
+
+    A list's blocks are dealt to groups of about GROUP and meet shares of about SHARE query blocks, fewer where else some
+    tasks had none: what a task holds does not grow, and a block is copied once for each share, not for each query block.
+    """
+    largest = lambda df: df.groupBy(on).count().agg(F.max("count")).first()[0] or 1
+    keys, tasks = blocks.select(on).distinct().count() or 1, 2 * blocks.sparkSession.sparkContext.defaultParallelism
+    groups = -(-largest(blocks) // GROUP)
+    most = largest(asked)
+    shares = max(-(-most // SHARE), min(most, -(-tasks // (groups * keys))))
+    part = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks.select(*on, "ids", "vectors", part("ids", groups).alias("group")).withColumn("share", each(shares))
+    right = asked.select(*on, F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), part("ids", shares).alias("share")).withColumn("group", each(groups))
+    by = [*on, "group", "share"]
+    dealt = lambda df: df.repartition(2 * keys * groups * shares, *by).groupBy(*by)
+    scored = dealt(left).cogroup(dealt(right)).applyInArrow(_score(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -118,13 +143,9 @@ def _named(df: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, vec_id, score (cosine, 6 places), rank of the k nearest rows of each query, itself excepted, by comparison with all."""
-    blocks = written(_named(rows, id_col, vec).mapInArrow(_pack(BLOCK, False), _BLOCKS).withColumn("at", F.monotonically_increasing_id()), "vector-blocks")
-    asked = written(_named(queries, id_col, vec).mapInArrow(_pack(ASKED, False), _BLOCKS).drop("list"), "query-blocks")
-    n = blocks.count()
-    groups = max(1, min(n, max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // GROUP))))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int")).repartition(groups, "group")
-    return _best(dealt.drop("list", "at"), asked, ["group", "dim"], k)
+    blocks = written(_named(rows, id_col, vec).mapInArrow(_pack(BLOCK, False), _BLOCKS), "vector-blocks")
+    asked = written(_named(queries, id_col, vec).mapInArrow(_pack(ASKED, False), _BLOCKS), "query-blocks")
+    return _best(blocks, asked, ["dim"], k)
 
 
 class VectorIndex:
@@ -142,7 +163,7 @@ class VectorIndex:
         wanted = sorted(r.list for r in probed.select("list").distinct().collect())  # at most all lists
         blocks = self.blocks.where(F.col("list").isin(wanted)) if len(wanted) < len(self.centroids) else self.blocks
         dealt = probed.repartitionByRange("list", "id").sortWithinPartitions("list")
-        return _best(blocks, dealt.mapInArrow(_pack(ASKED, True), _BLOCKS), ["list", "dim"], k)
+        return _best(blocks, written(dealt.mapInArrow(_pack(ASKED, True), _BLOCKS), "query-blocks"), ["list", "dim"], k)
 
 
 def _probes(centroids: np.ndarray, probes: int):

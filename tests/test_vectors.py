@@ -83,3 +83,18 @@ def test_search_reads_the_probed_folders_only(spark, gathered):
     one.collect()
     read = index.blocks.select("list", "n").where("list IN (0, 1)").inputFiles()
     assert len(read) <= len(index.blocks.inputFiles())
+
+
+def test_blocks_meet_in_bounded_groups(spark, gathered, monkeypatch):
+    """No row of a join holds a block of rows and one of queries, nothing of them is broadcast, and the neighbours are the same."""
+    for name, n in (("BLOCK", 100), ("ASKED", 4), ("GROUP", 3), ("SHARE", 2), ("PIECE", 3)):
+        monkeypatch.setattr(V, name, n)
+    m = gathered[:1500]
+    df = frame(spark, m)
+    queries = df.where("vec_id % 50 = 0")
+    near = V.nearest(df, queries, 7)
+    index = V.build_index(df, 8).search(queries, 7, 8)
+    for out in (near, index):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+        assert found(out.select("query_id", "vec_id", "rank")) == exact(m, range(0, 1500, 50), 7)
