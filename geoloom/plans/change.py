@@ -86,8 +86,8 @@ INTERSECT = f"SELECT id, count(*) AS areas, min(zone) AS first_area FROM ({POINT
 def near_layer(spark, sf_dir):
     """The nearest layer feature of each point within the radius; the fixture's places are drawn together by 8."""
     near = lambda df, *cols: df.select(*[c for c in df.columns if c not in cols], *[F.floor(F.col(c) / 8).alias(c) for c in cols])
-    pairs = S.within(near(_points(spark, sf_dir).select("id", "x", "y"), "x", "y"), near(_from(spark, sf_dir, LAYERS, "supplier"), "ox", "oy"), T.near_default_m)
-    return first_ranked(pairs, ["id"], [F.col("d2"), F.col("oid")], 1).select("id", "oid", "kind", "d2")
+    points, layers = near(_points(spark, sf_dir).select("id", "x", "y"), "x", "y"), near(_from(spark, sf_dir, LAYERS, "supplier"), "ox", "oy")
+    return S.nearest_within(points, layers, T.near_default_m).select("id", "oid", "kind", "d2")
 
 
 NEAR = f"""WITH p AS (SELECT id, x // 8 AS x, y // 8 AS y FROM ({POINTS})), l AS (SELECT oid, kind, ox // 8 AS ox, oy // 8 AS oy FROM ({LAYERS}))

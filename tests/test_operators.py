@@ -1,6 +1,7 @@
 """Small tables with known results, and properties of the ordered and spatial operators."""
 
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -147,3 +148,38 @@ def test_components_across_blocks(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
     assert all(label == min(r * (1 << 20) + c for r, c in own) for label, own in got.items())
     assert R.components(df.limit(0)).count() == 0
+
+
+def test_grid_joins_are_not_broadcast_and_compare_places(spark):
+    """Rows that a grid multiplies are never broadcast by their size before that, and copies of a place count once in what is met."""
+    rng = random.Random(5)
+    places = [(rng.randrange(400), rng.randrange(400)) for _ in range(120)]
+    rows = [(i, *places[i % 120], rng.randrange(-50, 50)) for i in range(360)]
+    points = spark.createDataFrame(rows, "id long, x long, y long, v long")
+    layer = [(i, rng.randrange(400), rng.randrange(400), i % 7) for i in range(40)] + [(100 + i, *places[i], 8) for i in range(3)] + [(200 + i, *places[0], 9) for i in range(3)]
+    others = spark.createDataFrame(layer, "oid long, ox long, oy long, kind long")
+    near, sums = S.nearest_within(points.select("id", "x", "y"), others, 48), S.sums_within(points, 96, 8)
+    for out in (near, sums):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    want = {}
+    for i, x, y, _ in rows:
+        met = [((x - a) ** 2 + (y - b) ** 2, o, k) for o, a, b, k in layer if (x - a) ** 2 + (y - b) ** 2 <= 48 * 48]
+        if met:
+            want[i] = min(met)
+    assert {r.id: (r.d2, r.oid, r.kind) for r in near.collect()} == want and 0 < len(want) < 360
+    for r in sums.collect():
+        _, x, y, v = rows[r.id]
+        met = [w for _, a, b, w in rows if (x - a) ** 2 + (y - b) ** 2 <= 96 * 96]
+        assert (r.v, r.n, r.total, r.squares) == (v, len(met), sum(met), sum(w * w for w in met))
+
+
+def test_many_first_rows_are_ranked_in_each_partition_first(spark):
+    """Above GROUP_LIMIT rows Spark has no group limit, so a group went to one task whole."""
+    df = spark.range(20000, numPartitions=8).select("id", (F.col("id") % 2).alias("g"), F.xxhash64("id").alias("h"))
+    out = first_ranked(df, ["g"], [F.col("h"), F.col("id")], 1500)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "SPARK_PARTITION_ID" in plan.upper() and out.columns == df.columns
+    got = {(r.g, r.id) for r in out.collect()}
+    rows = df.collect()
+    assert got == {(g, i) for g in (0, 1) for _, i in sorted((r.h, r.id) for r in rows if r.g == g)[:1500]}
