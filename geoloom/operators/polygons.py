@@ -56,15 +56,16 @@ def inside(points: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     bands = written(_banded(edges, size), "ring-bands")
     border = written(edge_cells(edges, size).select("ring", "gx", "gy").distinct(), "ring-cells")
     span = border.groupBy("ring", "gy").agg(F.min("gx").alias("low"), F.max("gx").alias("high"))
-    clear = span.select("ring", "gy", F.explode(F.sequence("low", "high")).alias("gx")).join(border, ["ring", "gx", "gy"], "left_anti")
+    clear = span.select("ring", "gy", F.explode(F.sequence("low", "high")).alias("gx")).join(border.hint("merge"), ["ring", "gx", "gy"], "left_anti")
     centre = lambda g: F.col(g) * size + size // 2
-    odd = F.sum(crosses(centre("gx"), centre("gy")).cast("int")) % 2 == 1
-    full = written(clear.join(bands, ["ring", "gy"]).groupBy("ring", "gx", "gy").agg(odd.alias("held")).where("held").select("ring", "gx", "gy"), "full-cells")
-    placed = points.select("id", "x", "y", _cell(F.col("x"), size).alias("gx"), _cell(F.col("y"), size).alias("gy"))
-    # Points that agree in all are told apart by their place, which is written with them.
-    near = written(placed.withColumn("row", F.monotonically_increasing_id()).join(border, ["gx", "gy"]), "border-points").join(bands, ["ring", "gy"])
-    met = near.groupBy("row", "id", "ring").agg((F.sum(crosses(F.col("x"), F.col("y")).cast("int")) % 2 == 1).alias("held")).where("held")
-    return placed.join(full, ["gx", "gy"]).select("id", "ring").unionByName(met.select("id", "ring"))
+    odd = lambda x, y: (F.sum(crosses(x, y).cast("int")) % 2 == 1).alias("held")
+    full = written(clear.join(bands.hint("merge"), ["ring", "gy"]).groupBy("ring", "gx", "gy").agg(odd(centre("gx"), centre("gy"))).where("held").select("ring", "gx", "gy"), "full-cells")
+    # Places are judged, not points: equal places are one. Files of cells are far smaller than their rows, hence no broadcasts.
+    placed = points.select("x", "y").distinct().select("x", "y", _cell(F.col("x"), size).alias("gx"), _cell(F.col("y"), size).alias("gy"))
+    near = placed.join(border.hint("merge"), ["gx", "gy"]).select("x", "y", "ring", "gy").join(bands.hint("merge"), ["ring", "gy"])
+    met = near.groupBy("x", "y", "ring").agg(odd(F.col("x"), F.col("y"))).where("held").select("x", "y", "ring")
+    held = placed.join(full.hint("merge"), ["gx", "gy"]).select("x", "y", "ring").unionByName(met)
+    return points.select("id", "x", "y").join(held.hint("merge"), ["x", "y"]).select("id", "ring")
 
 
 def intersecting(edges: DataFrame, others: DataFrame, size: int) -> DataFrame:
@@ -80,7 +81,8 @@ def intersecting(edges: DataFrame, others: DataFrame, size: int) -> DataFrame:
     apart = apart | (turn("u0", "v0", "u1", "v1", "x0", "y0") * turn("u0", "v0", "u1", "v1", "x1", "y1") > 0)
     for a, b, c, d in (("x0", "x1", "u0", "u1"), ("y0", "y1", "v0", "v1")):
         apart = apart | (F.greatest(a, b) < F.least(c, d)) | (F.greatest(c, d) < F.least(a, b))
-    touch = mine.join(theirs, ["gx", "gy"]).where(~apart).select("ring", "other")
+    # The planner does not see how many cells an edge has, so without the hint it may broadcast them.
+    touch = mine.join(theirs.hint("merge"), ["gx", "gy"]).where(~apart).select("ring", "other")
     one = lambda e: e.groupBy("ring").agg(F.min(F.struct("x0", "y0")).alias("p")).select(F.col("ring").alias("id"), F.col("p.x0").alias("x"), F.col("p.y0").alias("y"))
     within = inside(one(edges), others, size).select(F.col("id").alias("ring"), F.col("ring").alias("other"))
     around = inside(one(others), edges, size).select("ring", F.col("id").alias("other"))

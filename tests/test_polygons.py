@@ -100,3 +100,20 @@ def test_simplification(spark, rings):
         got.setdefault(r.ring, set()).add(r.k - 1)
     assert got == {i: plain(ring, 60.0) for i, ring in rings.items()}
     assert any(len(got[i]) < len(rings[i]) for i in rings)
+
+
+def test_no_broadcasts_and_no_rows_for_each_copy_of_a_place(spark, rings, monkeypatch):
+    """The planner does not see how many cells an edge has; and what is written does not grow with points at one place."""
+    edges = G.edges_of(vertices(spark, rings))
+    rows, keep = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, *a: (out := keep(df, *a), rows.append(out.count()))[0])
+    places = [(i, 37 * i % 400, 53 * i % 400) for i in range(50)]
+    found = []
+    for copies in (1, 5):
+        rows.clear()
+        points = spark.createDataFrame([(1000 * c + i, x, y) for c in range(copies) for i, x, y in places], "id long, x long, y long")
+        out = G.inside(points, edges, 64)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        found.append((sum(rows), {(r.id % 1000, r.ring) for r in out.collect()}, out.count()))
+    assert found[0][:2] == found[1][:2] and found[1][2] == 5 * found[0][2]
+    assert "BroadcastHashJoin" not in G.intersecting(edges, edges, 64)._jdf.queryExecution().executedPlan().toString()
