@@ -11,8 +11,9 @@ range meets in a cell. In a cell, neighbours are found breadth first: each finge
 not yet reached, first by the Manhattan bound, then by the Hamming distance. So links of a dense group are not
 enumerated; a cell yields one edge for each fingerprint that is linked in it, which is all that components need.
 
-Documents similar enough to be copies of each other with changed words differ in more bits; for these, candidates share
-a band of least hashes of their shingles and are verified by the exact similarity of their sets (`similar_texts`).
+Documents similar enough to be copies of each other with changed words may differ in more bits (`similar_texts`): the grid
+meets those within the bound first; for the rest, candidates share a band of least hashes of their shingles. All are
+verified by the exact similarity of their sets.
 
 Copies share a fingerprint and take part once. Fingerprints and edges stay in DataFrames.
 
@@ -364,7 +365,8 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_hash, node (its set of shingles) and root of every row; equal roots: linked by pairs of similarity NEAR.
 
-    Candidates share a band of least hashes; each is verified by its sets of shingles, which are made only for these.
+    Candidates are met by the grid over segment popcounts of fingerprints, within BITS bits, as op6's; those that it cannot
+    meet share a band of least hashes. Each is verified by its sets of shingles, which are made only for these.
     """
     rows = df.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("kept"), F.col(text).alias("text"))
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, node long, size long, " + ", ".join(f"{f} long" for f in PRINTS) + ", bands array<long>"
@@ -373,13 +375,21 @@ def similar_texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     texts = df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text")
     cells = nodes.select("node", "size", *PRINTS, F.posexplode("bands").alias("choice", "cell")).withColumn("choice", F.col("choice").cast("long"))
-    now, edges = cells.withColumn("done", F.lit(0).cast("long")).withColumn("label", F.col("node")), None
+    # What the grid over fingerprints meets (`links`, as op6 does) is verified first; the bands then meet the rest.
+    prints = nodes.select("node", F.col(PRINTS[0]).alias("fp"))
+    firsts = prints.groupBy("fp").agg(F.min("node").alias("node"))
+    ends = links(firsts).select(F.col("a.f0").alias("fa"), F.col("b.f0").alias("fb"))
+    met = ends.join(firsts.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(firsts.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
+    met = met.union(prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b"))
+    edges = materialize(_similar(materialize(met, "grid-pairs"), texts), "similar")
+    start = cells.withColumn("done", F.lit(0).cast("long"))
+    now = start.join(components(edges, "near"), "node", "left").withColumn("label", F.coalesce("root", "node"))
     for turn in count():
         dealt = now.select(*MEMBER).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "node")
         out = materialize(dealt.mapInArrow(_candidates(turn), "choice long, cell long, done long, a long, b long"), "candidates")
         pairs = out.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialize(_similar(pairs, texts), "similar")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         roots = components(edges, "near")
         wait = out.where("a IS NULL").select("choice", "cell", "done")
         if wait.isEmpty():

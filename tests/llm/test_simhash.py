@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from cases import ODD, odd
 
@@ -184,3 +185,21 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     kept = [(r.doc_id, r.text) for r in S.keep_one(odd(spark, docs)).collect()]
     want = [(None, text(k)) for k in "bcdef"] + [(9, text("g")), (9, text("h")), (3, text("a"))]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_the_grid_meets_near_copies_before_the_bands(spark, monkeypatch):
+    """Copies whose fingerprints are within the bound are linked by the grid alone; what it does not meet is left to the bands."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(900)]
+        texts += [" ".join(base), " ".join([*base[:-1], word()])]
+    near = [S.sketch(S.shingles(t))[0][0] for t in texts]
+    close = {i for i in range(0, 24, 2) if (near[i] ^ near[i + 1]) % (1 << 64) in {0} or bin((near[i] ^ near[i + 1]) % (1 << 64)).count("1") <= S.BITS}
+    assert close
+    met, keep = [], S.links
+    monkeypatch.setattr(S, "links", lambda *a, **k: met.append(1) or keep(*a, **k))
+    monkeypatch.setattr(S, "_candidates", lambda turn: lambda batches: (pa.RecordBatch.from_pylist([], pa.schema([(c, pa.int64()) for c in ("choice", "cell", "done", "a", "b")])) for b in batches))
+    kept = {r.doc_id for r in S.keep_one(odd(spark, list(enumerate(texts)))).collect()}
+    assert met and kept == set(range(24)) - {i + 1 for i in close}
