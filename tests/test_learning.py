@@ -131,3 +131,17 @@ def test_median_slope_of_listed_pairs(seed):
     slopes = [(x[j] - x[i]) / (y[j] - y[i]) for i in range(80) for j in range(80) if y[j] > y[i]]
     assert abs(N.median_slope(x, y) - np.median(slopes)) < 1e-12
     assert np.isnan(N.median_slope(x[:5], np.ones(5)))
+
+
+def test_a_round_reads_the_rows_once_a_level_of_splits(spark, monkeypatch):
+    """The last level's sums are those of the splits above it, and rows lie packed, not one by one."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame([([float(a) for a in v], int(v[0] > 0) + int(v[1] > 0), 1.0) for v in x], "features array<double>, label int, weight double").repartition(2)
+    passes, sizes, split, write = [], [], B._splits, B.written
+    monkeypatch.setattr(B, "_splits", lambda *a: passes.append(1) or split(*a))
+    monkeypatch.setattr(B, "written", lambda *a: (out := write(*a), sizes.append(out.count()))[0])
+    model = B.fit(df, 3, rounds=2, depth=2, bins=8)
+    assert len(model.trees) == 2 and len(passes) == 4 and max(sizes) <= 10
+    leaves = {int(n) for t in model.trees[0] for n in t.nodes(model.bins(x))}
+    assert max(leaves) >= 3 and all(t.value[n] != 0 for t in model.trees[0] for n in np.unique(t.nodes(model.bins(x))))
