@@ -3,6 +3,7 @@
 Edges are (ring, x0, y0, x1, y1) in whole numbers; a ring's interior is where a ray crosses its edges an odd number of times.
 A cell that no edge passes through lies inside or outside as a whole, which its centre decides once for all its points;
 only points in cells on a ring's border meet the ring's edges, and of these only those in their own band of cells.
+Rings meet rings as wholes, block by block within tiles of 16 x 16 cells: pairs of edges are never rows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.operators import rings
 from geoloom.sources.written import removed, written
 
+BLOCK = 1 << 18  # weight of a block of rings that are compared with another: their edges, and RING for each
+RING = 48  # what a ring weighs besides its edges: the cells that are drawn of it
+TASKS = 4096  # tasks that the groups of blocks are dealt to, at most
+
 
 def _cell(x: Column, size: int) -> Column:
     return F.floor(x / size).cast("int")
@@ -68,25 +74,50 @@ def inside(points: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     return points.select("id", "x", "y").join(held.hint("merge"), ["x", "y"]).select("id", "ring")
 
 
+def _shapes(edges: DataFrame) -> DataFrame:
+    """A row for each ring: lists x0, y0, x1, y1 of its own edges, and its box."""
+    ends = ("x0", "y0", "x1", "y1")
+    whole = edges.dropna(subset=["ring", *ends]).select("ring", *[F.col(c).cast("long").alias(c) for c in ends])
+    least = lambda c: F.min(F.least(f"{c}0", f"{c}1")).alias(f"{c}a")
+    most = lambda c: F.max(F.greatest(f"{c}0", f"{c}1")).alias(f"{c}b")
+    rows = whole.groupBy("ring").agg(F.collect_list(F.struct(*ends)).alias("e"), least("x"), least("y"), most("x"), most("y"))
+    return written(rows.select("ring", *[F.col(f"e.{c}").alias(c) for c in ends], "xa", "ya", "xb", "yb"), "rings")
+
+
+def _meeting(shapes: DataFrame, others: DataFrame | None, size: int) -> DataFrame:
+    """ring, other: pairs that meet, each once; without others, pairs of two rings of one table, in either order.
+
+    Rings lie in all tiles that their boxes touch, and a pair is judged in the tile where the boxes' common part begins, so no
+    pair is found twice and none is shuffled. A tile's rings are dealt to blocks of bounded size; each two blocks are a group.
+    """
+    tile, once = rings.CELLS // 2 * size, others is None
+    number = lambda c: F.explode(F.sequence(_cell(F.col(f"{c}a"), tile), _cell(F.col(f"{c}b"), tile))).alias(f"t{c}")
+    tiled = lambda df: df.select("*", number("x")).select("*", number("y"))
+    parts = lambda df, name: tiled(df).groupBy("tx", "ty").agg(F.ceil(F.sum(F.size("x0") + RING) / BLOCK).cast("int").alias(name))
+    tiles = parts(shapes, "m").withColumn("n", F.col("m")) if once else parts(shapes, "m").join(parts(others, "n").hint("merge"), ["tx", "ty"])
+    tiles = written(tiles, "ring-tiles")
+    groups = tiles.agg(F.sum(F.col("m") * (F.col("m") + 1) / 2 if once else F.col("m") * F.col("n"))).first()[0] or 1
+    own = lambda n: F.pmod(F.xxhash64("ring"), F.col(n)).cast("int")
+    each = lambda low, high: F.explode(F.sequence(low, high))
+    dealt = lambda df, n: tiled(df).join(tiles.hint("merge"), ["tx", "ty"]).withColumn("own", own(n)).drop("xa", "ya", "xb", "yb")
+    left = dealt(shapes, "m").withColumnRenamed("own", "i").withColumn("j", each(F.col("i") if once else F.lit(0), F.col("n") - 1))
+    right = dealt(shapes if once else others, "n").withColumnRenamed("own", "j").withColumn("i", each(F.lit(0), F.col("j") if once else F.col("m") - 1))
+    right = right.withColumnsRenamed({"ring": "other", "x0": "u0", "y0": "v0", "x1": "u1", "y1": "v1"})
+    by = ["tx", "ty", "i", "j"]
+    grouped = lambda df, *names: df.select(*by, *names).repartition(int(min(2 * groups, TASKS)), *by).groupBy(*by)
+    met = rings.meeting(tile, once)
+    kinds = f"ring {left.schema['ring'].dataType.simpleString()}, other {right.schema['other'].dataType.simpleString()}"
+    return grouped(left, "ring", "x0", "y0", "x1", "y1").cogroup(grouped(right, "other", "u0", "v0", "u1", "v1")).applyInArrow(met, kinds)
+
+
 def intersecting(edges: DataFrame, others: DataFrame, size: int) -> DataFrame:
     """ring, other: pairs whose edges touch or of which one holds the other; both sides are edges (ring, x0, y0, x1, y1)."""
-    mine = edge_cells(edges, size)
-    names = {"ring": "other", "x0": "u0", "y0": "v0", "x1": "u1", "y1": "v1"}
-    theirs = edge_cells(others, size).withColumnsRenamed(names)
-
-    def turn(ax, ay, bx, by, cx, cy) -> Column:
-        return F.signum(((F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))).cast("double"))
-
-    apart = turn("x0", "y0", "x1", "y1", "u0", "v0") * turn("x0", "y0", "x1", "y1", "u1", "v1") > 0
-    apart = apart | (turn("u0", "v0", "u1", "v1", "x0", "y0") * turn("u0", "v0", "u1", "v1", "x1", "y1") > 0)
-    for a, b, c, d in (("x0", "x1", "u0", "u1"), ("y0", "y1", "v0", "v1")):
-        apart = apart | (F.greatest(a, b) < F.least(c, d)) | (F.greatest(c, d) < F.least(a, b))
-    # The planner does not see how many cells an edge has, so without the hint it may broadcast them.
-    touch = mine.join(theirs.hint("merge"), ["gx", "gy"]).where(~apart).select("ring", "other")
-    one = lambda e: e.groupBy("ring").agg(F.min(F.struct("x0", "y0")).alias("p")).select(F.col("ring").alias("id"), F.col("p.x0").alias("x"), F.col("p.y0").alias("y"))
-    within = inside(one(edges), others, size).select(F.col("id").alias("ring"), F.col("ring").alias("other"))
-    around = inside(one(others), edges, size).select("ring", F.col("id").alias("other"))
-    return touch.unionByName(within).unionByName(around).distinct()
+    return _meeting(_shapes(edges), _shapes(others), size)
+
+
+def intersecting_pairs(edges: DataFrame, size: int) -> DataFrame:
+    """ring, other: the pairs of two rings of one table that `intersecting` finds, each once, in either order."""
+    return _meeting(_shapes(edges), None, size)
 
 
 def union_edges(edges: DataFrame, group: str) -> DataFrame:

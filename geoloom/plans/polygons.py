@@ -36,9 +36,9 @@ INSIDE = f"""WITH e AS MATERIALIZED ({_EDGES}), b AS (SELECT ring, min(x0) AS xa
 
 def polygon_intersects(spark, sf_dir):
     """How many other rings each ring meets, and the least of them."""
-    edges = G.edges_of(_rings(spark, sf_dir))
-    pairs = G.intersecting(edges, edges, SIZE).where("ring <> other")
-    return pairs.groupBy("ring").agg(F.count("*").alias("met"), F.min("other").alias("first_met"))
+    pairs = G.intersecting_pairs(G.edges_of(_rings(spark, sf_dir)), SIZE)
+    both = F.explode(F.array(F.struct("ring", "other"), F.struct(F.col("other").alias("ring"), F.col("ring").alias("other")))).alias("p")
+    return pairs.select(both).select("p.*").groupBy("ring").agg(F.count("*").alias("met"), F.min("other").alias("first_met"))
 
 
 _TURN = lambda a, b, c: f"sign(({b}[1] - {a}[1]) * ({c}[2] - {a}[2]) - ({b}[2] - {a}[2]) * ({c}[1] - {a}[1]))"

@@ -117,3 +117,64 @@ def test_no_broadcasts_and_no_rows_for_each_copy_of_a_place(spark, rings, monkey
         found.append((sum(rows), {(r.id % 1000, r.ring) for r in out.collect()}, out.count()))
     assert found[0][:2] == found[1][:2] and found[1][2] == 5 * found[0][2]
     assert "BroadcastHashJoin" not in G.intersecting(edges, edges, 64)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_meet_as_wholes(spark, monkeypatch):
+    """What is shuffled is rings, not edges in cells nor pairs; each pair is found once, in however many blocks and tiles."""
+    rng = random.Random(7)
+    many = {i: star(rng, 40, rng.randint(-300, 300), rng.randint(-300, 300), 400) for i in range(50)}
+    many |= {50 + i: star(rng, 9, rng.randint(-900, 900), rng.randint(-900, 900), 150) for i in range(30)}
+    many |= {90: many[0], 91: many[0][::-1], 92: [(5, 5)], 93: [(-800, 10), (800, 11)], 94: [(p[0] + 2000, p[1]) for p in many[1]]}
+    edges = G.edges_of(vertices(spark, many)).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    want = {(a, b) for a in many for b in many if a < b and meet(many[a], many[b])}
+    before = shuffled()
+    assert {(r.ring, r.other) for r in G.intersecting(edges, edges, 20).collect()} == want | {(b, a) for a, b in want} | {(a, a) for a in many}
+    assert shuffled() - before < G.edge_cells(edges, 20).count() / 2
+    monkeypatch.setattr(G, "BLOCK", 500)
+    for size in (20, 150):
+        got = [tuple(sorted((r.ring, r.other))) for r in G.intersecting_pairs(edges, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_two_tables_of_rings_with_nulls(spark, monkeypatch):
+    """Names of two kinds, rings of one table against those of another, edges without a place, and tables without rings."""
+    monkeypatch.setattr(G, "BLOCK", 300)
+    rng = random.Random(8)
+    mine, theirs = ({i: star(rng, rng.randint(1, 30), rng.randint(-900, 900), rng.randint(-900, 900), 300) for i in range(n)} for n in (25, 12))
+    left = G.edges_of(vertices(spark, mine)).unionByName(spark.createDataFrame([(None, 1, 1, 9, 9), (3, None, 1, 9, 9)], "ring int, x0 long, y0 long, x1 long, y1 long"))
+    right = G.edges_of(vertices(spark, theirs)).selectExpr("concat('r', ring) AS ring", "x0", "y0", "x1", "y1")
+    got = sorted((r.ring, r.other) for r in G.intersecting(left, right, 40).collect())
+    assert got == sorted((a, f"r{b}") for a in mine for b in theirs if meet(mine[a], theirs[b]))
+    assert G.intersecting(left.limit(0), right, 40).count() == G.intersecting(left, right.limit(0), 40).count() == G.intersecting_pairs(left.limit(0), 40).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 20])
+def test_blocks_of_rings_in_small_pieces(rings, monkeypatch, most):
+    """Strips and pieces of any size find the same pairs; cells never settle a pair that edges do not."""
+    import pyarrow as pa
+
+    from geoloom.operators import rings as R
+
+    monkeypatch.setattr(R, "MOST", most)
+    monkeypatch.setattr(R, "STRIP", most)
+    ends = [[[p[k] for p in ring[s:] + ring[:s]] for ring in rings.values()] for s, k in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    table = pa.table([pa.array(list(rings)), *[pa.array(e, pa.list_(pa.int64())) for e in ends]], names=["ring", "x0", "y0", "x1", "y1"])
+    for side in (800, 16000):
+        found = []
+        for tx in range(-6, 6):
+            for ty in range(-6, 6):
+                within = [all(min(p[k] for p in ring) // side <= t <= max(p[k] for p in ring) // side for k, t in enumerate((tx, ty))) for ring in rings.values()]
+                own = table.filter(pa.array(within))
+                out = R.meeting(side, True)((pa.scalar(tx), pa.scalar(ty), pa.scalar(0), pa.scalar(0)), own, own.rename_columns(["other", *table.column_names[1:]]))
+                found += [tuple(sorted(p)) for p in zip(*out.to_pydict().values(), strict=True)]
+        assert sorted(found) == [(a, b) for a in rings for b in rings if a < b and meet(rings[a], rings[b])]
+    far = pa.table([[1], *[pa.array([[0, v]], pa.list_(pa.int64())) for v in (1 << 30, 5, 1 << 30, 5)]], names=table.column_names)
+    with pytest.raises(ValueError, match="differ"):
+        R.Block(far, (0, 0), 800)
